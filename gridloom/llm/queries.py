@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, packing, sharding, tokens
+from .tables import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/gridloom-ids-{uuid.uuid4().hex}"
+    tokens.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokens.read(spark.read.schema(tokens.FILES).parquet(path))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, room=1024)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_source_mixing, op9_flow_resharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_bit_plane_ids, op6_source_mixing, op7_genetic_packing, op9_flow_resharding)}
 ORACLE_SQL: dict[str, str] = {"op6_source_mixing": mixing.ORACLE_SQL}
