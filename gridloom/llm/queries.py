@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, tokens
+from . import langmodel, mixing, packing, quality, sharding, tokens
 from .tables import scratch
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/gridloom-ids-{uuid.uuid4().hex}"
     tokens.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -31,10 +35,22 @@ def op7_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_bit_plane_ids, op6_source_mixing, op7_genetic_packing, op9_flow_resharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+        op3_bloom_language_model,
+        op5_bit_plane_ids,
+        op6_source_mixing,
+        op7_genetic_packing,
+        op8_factorisation_machine,
+        op9_flow_resharding,
+    )}
 ORACLE_SQL: dict[str, str] = {"op6_source_mixing": mixing.ORACLE_SQL}
