@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langmodel, mixing, packing, quality, sharding, tokens
+from . import langmodel, mixing, ngram_join, packing, quality, sharding, tokens
 from .tables import scratch
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
 def op3_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+        op1_ngram_jaccard_join,
         op3_bloom_language_model,
         op5_bit_plane_ids,
         op6_source_mixing,
