@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langmodel, mixing, ngram_join, packing, quality, sharding, tokens
+from . import langmodel, mixing, ngram_join, packing, quality, sharding, substring, tokens
 from .tables import scratch
 
 
@@ -49,6 +50,11 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old")
 
 
+def op10_automaton_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
         op1_ngram_jaccard_join,
         op3_bloom_language_model,
@@ -57,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
         op7_genetic_packing,
         op8_factorisation_machine,
         op9_flow_resharding,
+        op10_automaton_substring_dedup,
     )}
 ORACLE_SQL: dict[str, str] = {"op6_source_mixing": mixing.ORACLE_SQL}
