@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langmodel, mixing, ngram_join, packing, quality, sharding, substring, tokens
+from . import langmodel, mixing, ngram_join, packing, quality, sharding, substring, tokens, topk, vector_dedup
 from .tables import scratch
 
 
@@ -21,10 +21,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def op2_impact_ordered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op3_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(_table(spark, sf_dir, "documents"))
 
 
+def op4_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op5_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/gridloom-ids-{uuid.uuid4().hex}"
     tokens.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -57,7 +65,9 @@ def op10_automaton_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
         op1_ngram_jaccard_join,
+        op2_impact_ordered_top_k,
         op3_bloom_language_model,
+        op4_cross_polytope_dedup,
         op5_bit_plane_ids,
         op6_source_mixing,
         op7_genetic_packing,
