@@ -35,13 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, kept
+from .tables import components, if_few, kept
 from .text import U64, avalanche, chunks, shingle_sets
 
 SKETCH_BITS = 1024
 #: Classes of a bucket that are compared within one task; a larger bucket is cut into pairs of such parts.
 PART = 1500
-MOST_BROADCAST = 2_000_000
 
 
 def fingerprint(own: np.ndarray) -> int:
@@ -170,9 +169,8 @@ def _stars(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int =
 
 def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     """(set, n, sketch, shingles) of the classes in wanted(set, doc_id)."""
-    few = wanted.count() <= MOST_BROADCAST
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    chosen = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    ids = if_few(wanted.select(F.col("doc_id").alias("_id")))
+    chosen = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,3 +289,15 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, range_bytes: int = 8 <<
     tops = kept(classes.join(final, F.col("doc_id") == F.col("id"), "left").select(F.col("set").alias("_set"), F.coalesce("component", "doc_id").alias("top")), "class-tops")
     out = rows.join(tops, (F.col("set") == F.col("_set")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """docs without the documents of a component but its smallest doc_id; of rows that share that doc_id one stays. Rows without doc_id stay."""
+    found = join(docs, k, percent)
+    gone = kept(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    left = docs.join(if_few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = kept(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    if not twice.limit(1).count():
+        return left
+    same = F.col("doc_id") == F.col("_twice")
+    return left.join(if_few(twice), same, "left_anti").union(left.join(if_few(twice), same, "left_semi").dropDuplicates(["doc_id"]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import if_few, kept
 from .text import chunks
 from .tokens import encoder
 
@@ -194,5 +194,5 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, room: int = 1024, with_i
     cut = kept(pieces(docs, vocabulary, end_id, room, with_ids), "pieces")
     placed = kept(arrange(cut.where(F.col("length") < room).select("uid", "length"), room), "placed")
     full = cut.where(F.col("length") == room).select("*", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    part = cut.join(placed, "uid")
+    part = cut.join(if_few(placed), "uid")
     return part.select(*full.columns).union(full).withColumn("length", F.col("length").cast("long")).drop("uid")

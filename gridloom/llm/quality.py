@@ -228,3 +228,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
     model = train(docs, labels, folds, sample)
     out = scored(docs, model)
     return out.withColumn("held_out", fold(folds) == 0).withColumn("score", F.col("_score")).withColumn("predicted", (F.col("_score") >= threshold).cast("int")).drop("_score")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs that the classifier does not reject."""
+    return classify(docs, labels).where("predicted = 1").select(*docs.columns)

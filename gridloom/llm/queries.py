@@ -40,7 +40,7 @@ def op5_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("turns")
 
 
 def op7_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,6 @@ table gives an empty result; other columns are not looked at but by dedup().
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -276,3 +275,11 @@ def dedup(docs: DataFrame, length: int = 35, shard_words: int = 120_000) -> Data
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_words", "n_removed", "kept_text"])
 
     return joined.mapInArrow(cut, fields)
+
+
+def without_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
+    """docs whose texts lack the words of repeated windows; a text without any stays as it is, one that loses all words becomes empty."""
+    cut = dedup(docs, length).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)

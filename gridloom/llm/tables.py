@@ -42,6 +42,15 @@ def _clean() -> None:
             return
 
 
+#: Rows of ids (some bytes each) that may be broadcast; more rows are joined by a shuffle.
+FEW = 1_000_000
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows; df should be cheap to count (a kept table)."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def running(df: DataFrame, key: str, order: list[Column], value: Column, bucket: Column, out: str) -> DataFrame:
     """Adds `out`: the sum of value over the rows of the same key up to and with this one.
 
