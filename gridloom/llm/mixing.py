@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import if_few, kept, running
+from .tables import if_few, kept, pick, running, shielded
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, turns) for each document: taken is size times the number of turns in the mix."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("key", key)
+    rows = pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("key", key)
     rows = kept(rows, "mix-sizes")
     targets = kept(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     queue = rows.join(targets.withColumnRenamed("source", "_source"), rows.source.eqNullSafe(F.col("_source"))).drop("_source")
@@ -90,8 +90,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     """docs as the mix has them: each row as many times as its turns. Rows that share doc_id and source take the same number of turns."""
     turns = mix(docs, weights, share, most).groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source")).agg(F.max("turns").alias("_turns"))
     turns = kept(turns.where("_turns > 0"), "mix-turns")
+    docs, restored = shielded(docs, "doc_id", "source")
     out = docs.join(if_few(turns), F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns")))).select(*[out[c] for c in docs.columns])
+    return restored(out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns")))))
 
 
 ORACLE_SQL = """

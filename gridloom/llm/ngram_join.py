@@ -12,10 +12,10 @@ shared one is among them).  A set with too few non-empty blocks, which is rare,
 sends all, and besides single shingles that reach every other such set.
 
 Equal sets are one class.  In a bucket of equal blocks the classes are compared
-with one of them; what a verified link has joined needs no more comparing.
+with one of them, the one that stands in most buckets; what a verified link has joined needs no more comparing.
 Where a bucket still holds several components, its other pairs are screened by
 fixed-size bit sketches, whose Hamming distance is at most the symmetric
-difference, without leaving the bucket; those that pass are verified as well.
+difference, without leaving the bucket (sketches are folded to a like size there); those that pass are verified as well.
 Every candidate is decided on its whole sets.  No bucket, candidate or partner
 is dropped.
 
@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, if_few, kept
-from .text import U64, avalanche, chunks, shingle_sets
+from .tables import FEW, components, if_few, kept, pick, shielded
+from .text import U64, avalanche, binaries, chunks, shingle_sets
 
-SKETCH_BITS = 1024
+#: Bits of the sketches that travel with bucket rows.
+SMALL_BITS = 2048
 #: Classes of a bucket that are compared within one task; a larger bucket is cut into pairs of such parts.
 PART = 1500
 
@@ -82,23 +83,33 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bit_sketch(own: np.ndarray) -> bytes:
-    bits = np.bincount((avalanche(own ^ U64(0xE7037ED1A0B428DB)) % U64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+def bit_sketch(own: np.ndarray) -> np.ndarray:
+    """The whole set's parity sketch (uint64 words), four to eight bits for each shingle."""
+    bits = max(256, 1 << (2 + (len(own) - 1).bit_length())) if len(own) else 256
+    odd = np.bincount((avalanche(own ^ U64(0xE7037ED1A0B428DB)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits."""
+    return sketch if len(sketch) <= words else np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
 def _classes(docs: DataFrame, k: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
-                got = [(len(own), fingerprint(own)) for _, own in shingle_sets(chunk, k)]
-                part = batch.slice(chunk.first, len(chunk))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", "n_shingles", "set"])
+                got = []
+                for _, own in shingle_sets(chunk, k):
+                    sketch = bit_sketch(own)
+                    got.append((len(own), fingerprint(own), sketch.tobytes(), folded(sketch, SMALL_BITS // 64).tobytes()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), *columns], names=["doc_id", "n_shingles", "set", "sketch", "small"])
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, set long")
+    return docs.mapInArrow(rows, "doc_id long, n_shingles long, set long, sketch binary, small binary")
 
 
-def _stars(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int = 1_500_000) -> DataFrame:
+def _stars(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int = 800_000) -> DataFrame:
     """(bucket, pivot, member): in each bucket with several sets, all but the least one."""
     text_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(4, math.ceil(math.log2(max(1, text_bytes / range_bytes))))
@@ -167,69 +178,91 @@ def _stars(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int =
     return packed.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "bucket long, pivot long, member long")
 
 
-def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(set, n, sketch, shingles) of the classes in wanted(set, doc_id)."""
-    ids = if_few(wanted.select(F.col("doc_id").alias("_id")))
-    chosen = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                got = [(fingerprint(own), len(own), bit_sketch(own), own.astype("<u8").tobytes()) for _, own in shingle_sets(chunk, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["set", "n", "sketch", "shingles"])
+def _hubs(stars: DataFrame) -> DataFrame:
+    """stars with another pivot for each bucket: its member that stands in most buckets, which in a family of near copies is the most central one."""
+    rows = stars.select("bucket", F.col("member").alias("set")).union(stars.select("bucket", "pivot").distinct())
+    count = rows.groupBy(F.col("set").alias("_set")).agg(F.count("*").alias("_n"))
+    rows = kept(rows.join(count, F.col("set") == F.col("_set")).select("bucket", "set", "_n"), "bucket-rows")
+    top = rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.max(F.struct("_n", "set")).alias("top"))
+    met = rows.join(top, F.col("bucket") == F.col("_bucket")).where(F.col("set") != F.col("top.set"))
+    return met.select("bucket", F.col("top.set").alias("pivot"), F.col("set").alias("member"))
 
-    got = chosen.select("text").mapInArrow(rows, "set long, n long, sketch binary, shingles binary")
-    return kept(got.join(wanted.select(F.col("set").alias("_set")), F.col("set") == F.col("_set"), "left_semi"), "sets").dropDuplicates(["set"])
 
+def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs(a, b) of similarity percent or more: sketches first, then whole sets.
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of similarity percent or more: sketches first, then whole sets."""
-    small = sets.select("set", "n", "sketch")
+    sketches: (set, doc_id, n, sketch, ...).  For each pair left, both documents'
+    sets are made anew where their texts are read and meet under the pair.
+    """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64)
-            y = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64)
-            apart = np.bitwise_count(x ^ y).sum(axis=1)
-            good = (apart * (100 + percent) <= (100 - percent) * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            good = []
+            for na, nb, x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), binaries(batch.column(3)), binaries(batch.column(5))):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                words = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                good.append(apart <= bound(na, nb, percent) and 100 * min(na, nb) >= percent * max(na, nb))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1, 6, 7)], names=["a", "b", "da", "db"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for chunk in chunks(batch.column(0)):
+                got = [(row, name, own.astype("<u8").tobytes()) for row, own in shingle_sets(chunk, k) if (name := fingerprint(own)) in (a[row], b[row])]
+                if got:
+                    rows = np.array([g[0] for g in got])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(b[rows]), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["a", "b", "set", "shingles"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, None
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], names=["a", "b"])
-
-    one = small.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = small.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    close = kept(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(near, "a long, b long"), "near-pairs")
-    one = sets.select(F.col("set").alias("a"), F.col("shingles").alias("xa"))
-    two = sets.select(F.col("set").alias("b"), F.col("shingles").alias("xb"))
-    return kept(close.join(two, "b").join(one, "a").select("a", "b", "xa", "xb").mapInArrow(exact, "a long, b long"), "links")
-
-
-def _rest(stars: DataFrame, of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+            out = []
+            for a, b, name, shingles in zip(*(batch.column(i).to_pylist() for i in range(3)), binaries(batch.column(3))):
+                if (a, b) != at:
+                    at, first = (a, b), (name, shingles)
+                elif first and name != first[0]:
+                    both = np.sort(np.concatenate((np.frombuffer(first[1], dtype="<u8"), np.frombuffer(shingles, dtype="<u8"))))
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (len(both) - shared):
+                        out.append(at)
+                    first = None  # a repeated row adds nothing
+            if first:
+                first = (first[0], bytes(first[1]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    one = sketches.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("doc_id").alias("da"))
+    two = sketches.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("doc_id").alias("db"))
+    close = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "sa", "nb", "sb", "da", "db").mapInArrow(near, "a long, b long, da long, db long")
+    close = kept(close, "near-pairs")
+    asked = close.select("a", "b", F.col("da").alias("_id")).union(close.select("a", "b", "db"))
+    asked = F.broadcast(asked) if close.count() <= FEW else asked
+    texts = docs.join(asked, F.col("doc_id") == F.col("_id")).select("text", "a", "b")
+    met = texts.mapInArrow(again, "a long, b long, set long, shingles binary").repartition("a", "b").sortWithinPartitions("a", "b")
+    return kept(met.mapInArrow(exact, "a long, b long"), "links")
+
+
+def _rest(stars: DataFrame, of: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket but of different components whose sketches allow a link; of: (set, component)."""
     top = of.select(F.col("set").alias("pivot"), F.col("component").alias("of_pivot"))
     own = of.select(F.col("set").alias("member"), F.col("component").alias("of_member"))
     placed = stars.join(own, "member").join(top, "pivot")
     mixed = placed.groupBy("bucket").agg(F.min("of_member").alias("low"), F.max("of_member").alias("high"), F.count("*").alias("size")).where("low <> high")
     rows = placed.join(mixed, "bucket").select("bucket", F.col("member").alias("set"), F.col("of_member").alias("component"), "size")
-    rows = rows.join(sets.select("set", "n", "sketch"), "set")
+    rows = rows.join(sketches.select("set", "n", "small"), "set")
     parts = F.ceil(F.col("size") / PART).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("set"), parts).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("bucket", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "set", "component", "n", "sketch")
+    rows = rows.select("bucket", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "set", "component", "n", "small")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(at: tuple, held: list) -> tuple[np.ndarray, np.ndarray]:
             part, names, of, n = (np.array([r[i] for r in held], dtype=np.int64) for i in range(4))
-            bits = np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint64).reshape(len(held), -1)
+            sketches = [np.frombuffer(r[4], dtype=np.uint64) for r in held]
+            words = min(len(x) for x in sketches)
+            bits = np.stack([folded(x, words) for x in sketches])
             left, right = [], []
             for i in range(len(held)):
                 js = np.arange(i + 1, len(held))
@@ -244,7 +277,14 @@ def _rest(stars: DataFrame, of: DataFrame, sets: DataFrame, percent: int) -> Dat
             none = np.zeros(0, dtype=np.int64)
             return np.concatenate([none, *left]), np.concatenate([none, *right])
 
-        at, held = None, []
+        at, held, sent = None, [], set()
+
+        def new(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+            """Pairs that this task has not sent yet."""
+            out = {pair for a, b in found for pair in zip(a.tolist(), b.tolist())} - sent
+            sent.update(out)
+            return sorted(out)
+
         for batch in batches:
             found = []
             for b, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -253,41 +293,41 @@ def _rest(stars: DataFrame, of: DataFrame, sets: DataFrame, percent: int) -> Dat
                         found.append(close(at, held))
                     at, held = (b, p, q), []
                 held.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
-        if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in close(at, held)], names=["a", "b"])
+            if pairs := new(found):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+        if len(held) > 1 and (pairs := new([close(at, held)])):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
     return rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(compare, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 75, range_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id: the smallest doc_id that its links reach."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     rows = kept(_classes(docs, k), "shingle-counts")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    classes = kept(rows.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "classes")
     named = docs.where("doc_id is not null")
-    stars = kept(_stars(named, k, percent, range_bytes), "stars")
+    stars = kept(_hubs(kept(_stars(named, k, percent, range_bytes), "stars")), "stars")
     used = stars.select(F.col("pivot").alias("_s")).union(stars.select("member")).distinct()
-    wanted = kept(classes.join(used, F.col("set") == F.col("_s"), "left_semi"), "wanted")
-    sets = _sets(named, k, wanted)
-    name = wanted.select(F.col("set").alias("s"), F.col("doc_id").alias("d"))
+    wanted = classes.join(used, F.col("set") == F.col("_s"), "left_semi")
+    drawn = rows.select(F.col("set").alias("_set"), F.col("doc_id").alias("_id"), "sketch", "small")
+    sketches = kept(wanted.join(drawn, (F.col("set") == F.col("_set")) & (F.col("doc_id") == F.col("_id"))).select("set", "doc_id", "n", "sketch", "small"), "sketches")
+    name = sketches.select(F.col("set").alias("s"), F.col("doc_id").alias("d"))
 
     def edges(links: DataFrame) -> DataFrame:
         left = links.join(name, F.col("a") == F.col("s")).select("b", F.col("d").alias("x"))
         return left.join(name, F.col("b") == F.col("s")).select(F.col("x").alias("a"), F.col("d").alias("b"))
 
-    links = _verified(stars.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), sets, percent)
-    first = components(edges(links))
-    of = wanted.join(first, F.col("doc_id") == F.col("id"), "left").select("set", F.coalesce("component", "doc_id").alias("component"))
-    rest = kept(_rest(stars, kept(of, "components"), sets, percent), "rest-pairs")
-    final = first
+    links = _verified(stars.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), sketches, named, k, percent)
+    first = kept(edges(links), "edges")
+    final = kept(components(first), "components")
+    of = sketches.join(final, F.col("doc_id") == F.col("id"), "left").select("set", F.coalesce("component", "doc_id").alias("component"))
+    rest = kept(_rest(stars, kept(of, "components"), sketches, percent), "rest-pairs")
     if rest.limit(1).count():
-        more = _verified(rest, sets, percent)
-        final = components(edges(links).union(edges(more)))
-    final = kept(final, "components")
+        more = _verified(rest, sketches, named, k, percent)
+        final = kept(components(first.union(edges(more))), "components")
     tops = kept(classes.join(final, F.col("doc_id") == F.col("id"), "left").select(F.col("set").alias("_set"), F.coalesce("component", "doc_id").alias("top")), "class-tops")
-    out = rows.join(tops, (F.col("set") == F.col("_set")) & (F.col("n_shingles") > 0), "left")
+    out = rows.drop("sketch", "small").join(tops, (F.col("set") == F.col("_set")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))
 
 
@@ -295,9 +335,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """docs without the documents of a component but its smallest doc_id; of rows that share that doc_id one stays. Rows without doc_id stay."""
     found = join(docs, k, percent)
     gone = kept(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    docs, restored = shielded(docs, "doc_id")
     left = docs.join(if_few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     twice = kept(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
     if not twice.limit(1).count():
-        return left
+        return restored(left)
     same = F.col("doc_id") == F.col("_twice")
-    return left.join(if_few(twice), same, "left_anti").union(left.join(if_few(twice), same, "left_semi").dropDuplicates(["doc_id"]))
+    return restored(left.join(if_few(twice), same, "left_anti").union(left.join(if_few(twice), same, "left_semi").dropDuplicates(["doc_id"])))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import if_few, kept
+from .tables import if_few, kept, pick
 from .text import chunks
 from .tokens import encoder
 
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, room: int, with_ids: b
         encode = encoder(vocabulary, True).encode
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else np.array(batch.column(0).to_pylist(), dtype=object)
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), 1 << 20):
                 ids, of = encode(chunk)
                 ids = np.insert(ids, of[1:], end_id).astype("<u4")
                 of = of + np.arange(len(of))
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, room: int, with_ids: b
                 uid += len(doc)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 
 def best_fit(order: list[int], length: list[int], bins: list[list[int]], fill: list[int], room: int) -> None:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import pick, shielded
 from .text import Chunk, U64, avalanche, chunks, windows
 
 #: Bytes that are counted apart.
@@ -151,7 +152,7 @@ def fit(docs: list[Features], labels: np.ndarray, buckets: int, rank: int = 6, e
     size, rng = buckets + STATS * CELLS + STATS, np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
     model = Model(buckets, float(np.log(np.clip(share, 1e-3, 1 - 1e-3) / np.clip(1 - share, 1e-3, 1))), np.zeros(size, dtype=np.float32), (rng.standard_normal((size, rank)) * 0.05).astype(np.float32))
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         model.factors[:] = 0
         return model
     seen_l, seen_f, seen_b = np.full(size, 1e-3, dtype=np.float32), np.full((size, rank), 1e-3, dtype=np.float32), 1e-3
@@ -224,12 +225,14 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, sample: int = 6000) -> DataFrame:
-    """docs with held_out, score and predicted."""
-    model = train(docs, labels, folds, sample)
-    out = scored(docs, model)
-    return out.withColumn("held_out", fold(folds) == 0).withColumn("score", F.col("_score")).withColumn("predicted", (F.col("_score") >= threshold).cast("int")).drop("_score")
+    """docs with held_out, score and predicted (input columns of these names are replaced)."""
+    model = train(pick(docs, "doc_id", "text"), pick(labels, "doc_id", "quality"), folds, sample)
+    docs, restored = shielded(docs.drop("held_out", "score", "predicted"), "doc_id", "text")
+    out = scored(docs, model).withColumn("held_out", fold(folds) == 0).withColumn("score", F.col("_score"))
+    return restored(out.withColumn("predicted", (F.col("_score") >= threshold).cast("int")), "held_out", "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the classifier does not reject."""
-    return classify(docs, labels).where("predicted = 1").select(*docs.columns)
+    docs, restored = shielded(docs, "doc_id", "text")
+    return restored(classify(docs, labels).where("predicted = 1"))

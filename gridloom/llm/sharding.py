@@ -10,7 +10,8 @@ Law: "bytes".  A new shard differs from its capacity by less than one document
 at each of its cuts; equal texts (a group may be larger than a shard) are not
 held together.  Cases: a null text has no bytes and the row weighs `overhead`;
 repeated rows are placed each for itself; an empty table gives an empty result;
-other columns stay out of the way in reshard() and are kept in rewrite().
+other columns stay out of the way in reshard() and are kept in rewrite()
+(columns named shard or slot are replaced; a doc_id names one row there).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept, running
+from .tables import kept, pick, running
 
 
 def cheapest_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -106,7 +107,7 @@ def reshard(rows: DataFrame, shards: int, capacities: list[int] | None = None) -
 def sized(docs: DataFrame, overhead: int = 16, old_shards: int = 32) -> DataFrame:
     """(doc_id, size, text_crc32, old) of documents; the present layout is a hash of doc_id over old_shards."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(
+    return pick(docs, "doc_id", "text").select(
         "doc_id",
         (F.octet_length(text) + overhead).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
@@ -125,6 +126,7 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     touched = placed.where("old <> shard")
     affected = sorted({r[0] for r in touched.select("shard").union(touched.select("old")).distinct().collect()})
     where = placed.select(F.col("doc_id").alias("_doc"), "shard", "slot")
+    docs = docs.drop("shard", "slot")
     out = docs.join(where, docs.doc_id.eqNullSafe(F.col("_doc"))).drop("_doc").where(F.col("shard").isin(affected))
     parts = F.pmod(F.xxhash64("slot"), F.lit(16))
     out.repartition("shard", parts).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -18,7 +18,8 @@ shard to every document would cost shards times corpus.
 Cases: null and empty texts have no words; a text shorter than a window keeps
 all; windows that overlap in one document (as in a period) count as often as
 they start; rows of one doc_id or none are documents of their own; an empty
-table gives an empty result; other columns are not looked at but by dedup().
+table gives an empty result; dedup() keeps other columns, but replaces such of
+its outputs' names (n_words, n_removed, kept_text).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import kept, shielded
 from .text import U64, chunks, windows
 
 ANCHOR = 16
@@ -242,6 +243,7 @@ def spans(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = 35, shard_words: int = 120_000) -> DataFrame:
     """docs with n_words, n_removed, and kept_text: the words that no repeated window covers, joined by one space."""
+    docs, restored = shielded(docs.drop("n_words", "n_removed", "kept_text"), "text")
     rows = docs.withColumn("_uid", F.monotonically_increasing_id())
     rows = kept(rows, "numbered")
     found = spans(rows.select(F.col("_uid").alias("uid"), "text"), length, shard_words)
@@ -274,12 +276,14 @@ def dedup(docs: DataFrame, length: int = 35, shard_words: int = 120_000) -> Data
             columns = batch.columns[:-1] + [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(cut, fields)
+    return restored(joined.mapInArrow(cut, fields), "n_words", "n_removed", "kept_text")
 
 
 def without_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     """docs whose texts lack the words of repeated windows; a text without any stays as it is, one that loses all words becomes empty."""
+    counted = ["n_chars"] if "n_chars" in docs.columns else []
+    docs, restored = shielded(docs, "text", *counted)
     cut = dedup(docs, length).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
+    if counted:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return restored(cut)

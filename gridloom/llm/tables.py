@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,24 @@ def _clean() -> None:
             return
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever others there are (also such as differ in case alone)."""
+    at = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"_in{i}" for i in range(len(df.columns))]).select(*[F.col(f"_in{i}").alias(n) for i, n in zip(at, names)])
+
+
+def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with all columns but `names` renamed out of the way, and the function that gives back all names and their order, with `more` columns behind."""
+    at = [names.index(c) if c in names and df.columns.index(c) == i else None for i, c in enumerate(df.columns)]
+    inner = [f"_in{i}" if k is None else names[k] for i, k in enumerate(at)]
+    columns = df.columns
+
+    def restored(out: DataFrame, *more: str) -> DataFrame:
+        return out.select(*[F.col(a).alias(f"_out{i}") for i, a in enumerate(inner)], *more).toDF(*columns, *more)
+
+    return df.toDF(*inner), restored
+
+
 #: Rows of ids (some bytes each) that may be broadcast; more rows are joined by a shuffle.
 FEW = 1_000_000
 

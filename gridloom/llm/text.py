@@ -24,7 +24,7 @@ _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that are handled at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -136,3 +136,11 @@ def shingle_sets(chunk: Chunk, k: int) -> Iterator[tuple[int, np.ndarray]]:
             own = windows(every[a:b], int(b - a)) if b > a else every[:0]
             own = own ^ U64(0xA5A5A5A5A5A5A5A5)  # a short text is no shingle of a longer one
         yield chunk.first + i, own
+
+
+def binaries(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column without copies."""
+    n = len(column)
+    ofs = np.frombuffer(column.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + n + 1].tolist()
+    raw = memoryview(column.buffers()[2]) if column.buffers()[2] is not None else memoryview(b"")
+    return [raw[a:b] for a, b in zip(ofs, ofs[1:])]

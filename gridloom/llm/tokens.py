@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import pick
 from .text import Chunk, chunks
 
 #: The blanks of Unicode outside ASCII, in UTF-8.
@@ -188,7 +188,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, blanks: bool
         encode = encoder(vocabulary, blanks).encode
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), 1 << 20):
                 ids, of = encode(chunk)
                 own = of[1:] - of[:-1] + 1
                 held.append(np.insert(ids, of[1:], end_id))
@@ -201,7 +201,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, blanks: bool
         if names:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.octet_length("text"), F.xxhash64("text"))
+    ordered = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.octet_length("text"), F.xxhash64("text"))
     ordered.mapInArrow(files, FILES).write.parquet(path)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import kept, pick
 
 LEVELS = 6
 
@@ -43,7 +43,7 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
 def integers(rows: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, vector): floor(scale * component) with the component as double."""
-    return usable(rows).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vector"))
+    return usable(pick(rows, "vec_id", "embedding")).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vector"))
 
 
 def dealt(rows: DataFrame, size: int) -> tuple[DataFrame, int]:

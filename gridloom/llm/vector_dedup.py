@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, kept
+from .tables import components, kept, pick
 from .topk import usable
 
 PART = 1024
@@ -76,7 +76,7 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 def dedup(rows: DataFrame, cosine: float = 0.98, tables: int = 6) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of rows(vec_id, embedding, label)."""
-    rows = rows.select(F.col("vec_id").cast("long"), "embedding", "label")
+    rows = pick(rows, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long"), "embedding", "label")
     classes = kept(_classes(rows).withColumn("uid", F.monotonically_increasing_id()), "vector-classes")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
