@@ -109,8 +109,8 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n_shingles long, set long, sketch binary, small binary")
 
 
-def _stars(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int = 800_000) -> DataFrame:
-    """(bucket, pivot, member): in each bucket with several sets, all but the least one."""
+def _buckets(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int = 800_000) -> DataFrame:
+    """(bucket, set) for all sets of each bucket with several."""
     text_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(4, math.ceil(math.log2(max(1, text_bytes / range_bytes))))
 
@@ -158,10 +158,13 @@ def _stars(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int =
             signs, sets = signs[~alone], sets[~alone]
             order = np.lexsort((sets, signs))
             signs, sets = signs[order], sets[order]
-            first = np.concatenate(([True], signs[1:] != signs[:-1])) if len(signs) else np.zeros(0, dtype=bool)
-            pivot = sets[np.flatnonzero(first)][np.cumsum(first) - 1]
-            new = np.concatenate(([False], sets[1:] != sets[:-1])) & ~first if len(signs) else first
-            return pa.RecordBatch.from_arrays([pa.array((at << 32) + signs[new].astype(np.int64)), pa.array(pivot[new]), pa.array(sets[new])], names=["bucket", "pivot", "member"])
+            if len(signs):
+                new = np.concatenate(([True], (signs[1:] != signs[:-1]) | (sets[1:] != sets[:-1])))
+                signs, sets = signs[new], sets[new]
+                like = signs[1:] == signs[:-1]
+                several = np.append(like, False) | np.concatenate(([False], like))
+                signs, sets = signs[several], sets[several]
+            return pa.RecordBatch.from_arrays([pa.array((at << 32) + signs.astype(np.int64)), pa.array(sets)], names=["bucket", "set"])
 
         at, held = None, []
         for batch in batches:
@@ -175,12 +178,11 @@ def _stars(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int =
             yield close(at, held)
 
     packed = docs.select("text").mapInArrow(send, "range int, signs binary, sets binary")
-    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "bucket long, pivot long, member long")
+    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "bucket long, set long")
 
 
-def _hubs(stars: DataFrame) -> DataFrame:
-    """stars with another pivot for each bucket: its member that stands in most buckets, which in a family of near copies is the most central one."""
-    rows = stars.select("bucket", F.col("member").alias("set")).union(stars.select("bucket", "pivot").distinct())
+def _stars(rows: DataFrame) -> DataFrame:
+    """(bucket, pivot, member) from rows(bucket, set); pivot: the set that stands in most buckets, which in a family of near copies is the most central one."""
     count = rows.groupBy(F.col("set").alias("_set")).agg(F.count("*").alias("_n"))
     rows = kept(rows.join(count, F.col("set") == F.col("_set")).select("bucket", "set", "_n"), "bucket-rows")
     top = rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.max(F.struct("_n", "set")).alias("top"))
@@ -189,7 +191,7 @@ def _hubs(stars: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of similarity percent or more: sketches first, then whole sets.
+    """Links (a, b) of documents, one of each set, for the pairs(a, b) of sets of similarity percent or more: sketches first, then whole sets.
 
     sketches: (set, doc_id, n, sketch, ...).  For each pair left, both documents'
     sets are made anew where their texts are read and meet under the pair.
@@ -208,12 +210,12 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, pe
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            a, b, da, db = (batch.column(i).to_numpy() for i in range(1, 5))
             for chunk in chunks(batch.column(0)):
                 got = [(row, name, own.astype("<u8").tobytes()) for row, own in shingle_sets(chunk, k) if (name := fingerprint(own)) in (a[row], b[row])]
                 if got:
                     rows = np.array([g[0] for g in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(b[rows]), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["a", "b", "set", "shingles"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in (da, db)), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["a", "b", "set", "shingles"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first = None, None
@@ -237,18 +239,17 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, pe
     two = sketches.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("doc_id").alias("db"))
     close = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "sa", "nb", "sb", "da", "db").mapInArrow(near, "a long, b long, da long, db long")
     close = kept(close, "near-pairs")
-    asked = close.select("a", "b", F.col("da").alias("_id")).union(close.select("a", "b", "db"))
+    asked = close.select("a", "b", "da", "db", F.col("da").alias("_id")).union(close.select("a", "b", "da", "db", "db"))
     asked = F.broadcast(asked) if close.count() <= FEW else asked
-    texts = docs.join(asked, F.col("doc_id") == F.col("_id")).select("text", "a", "b")
+    texts = docs.join(asked, F.col("doc_id") == F.col("_id")).select("text", "a", "b", "da", "db")
     met = texts.mapInArrow(again, "a long, b long, set long, shingles binary").repartition("a", "b").sortWithinPartitions("a", "b")
     return kept(met.mapInArrow(exact, "a long, b long"), "links")
 
 
 def _rest(stars: DataFrame, of: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket but of different components whose sketches allow a link; of: (set, component)."""
-    top = of.select(F.col("set").alias("pivot"), F.col("component").alias("of_pivot"))
     own = of.select(F.col("set").alias("member"), F.col("component").alias("of_member"))
-    placed = stars.join(own, "member").join(top, "pivot")
+    placed = stars.join(own, "member")
     mixed = placed.groupBy("bucket").agg(F.min("of_member").alias("low"), F.max("of_member").alias("high"), F.count("*").alias("size")).where("low <> high")
     rows = placed.join(mixed, "bucket").select("bucket", F.col("member").alias("set"), F.col("of_member").alias("component"), "size")
     rows = rows.join(sketches.select("set", "n", "small"), "set")
@@ -307,25 +308,19 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, range_bytes: int = 8 <<
     rows = kept(_classes(docs, k), "shingle-counts")
     classes = kept(rows.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "classes")
     named = docs.where("doc_id is not null")
-    stars = kept(_hubs(kept(_stars(named, k, percent, range_bytes), "stars")), "stars")
+    stars = kept(_stars(kept(_buckets(named, k, percent, range_bytes), "buckets")), "stars")
     used = stars.select(F.col("pivot").alias("_s")).union(stars.select("member")).distinct()
     wanted = classes.join(used, F.col("set") == F.col("_s"), "left_semi")
     drawn = rows.select(F.col("set").alias("_set"), F.col("doc_id").alias("_id"), "sketch", "small")
     sketches = kept(wanted.join(drawn, (F.col("set") == F.col("_set")) & (F.col("doc_id") == F.col("_id"))).select("set", "doc_id", "n", "sketch", "small"), "sketches")
-    name = sketches.select(F.col("set").alias("s"), F.col("doc_id").alias("d"))
-
-    def edges(links: DataFrame) -> DataFrame:
-        left = links.join(name, F.col("a") == F.col("s")).select("b", F.col("d").alias("x"))
-        return left.join(name, F.col("b") == F.col("s")).select(F.col("x").alias("a"), F.col("d").alias("b"))
 
     links = _verified(stars.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), sketches, named, k, percent)
-    first = kept(edges(links), "edges")
-    final = kept(components(first), "components")
+    final = kept(components(links), "components")
     of = sketches.join(final, F.col("doc_id") == F.col("id"), "left").select("set", F.coalesce("component", "doc_id").alias("component"))
     rest = kept(_rest(stars, kept(of, "components"), sketches, percent), "rest-pairs")
     if rest.limit(1).count():
         more = _verified(rest, sketches, named, k, percent)
-        final = kept(components(first.union(edges(more))), "components")
+        final = kept(components(final.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
     tops = kept(classes.join(final, F.col("doc_id") == F.col("id"), "left").select(F.col("set").alias("_set"), F.coalesce("component", "doc_id").alias("top")), "class-tops")
     out = rows.drop("sketch", "small").join(tops, (F.col("set") == F.col("_set")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))

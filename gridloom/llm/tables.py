@@ -92,20 +92,20 @@ def running(df: DataFrame, key: str, order: list[Column], value: Column, bucket:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component) for every id of edges(a, b): the smallest id that it reaches.
+    """(id, component) for every id of edges(a, b), a table cheap to read anew: the smallest id that it reaches.
 
     Alternates large-star and small-star steps; each halves the distances, so a
     chain of a billion links takes some thirty rounds.  A star is built from
-    one minimum per node, never from pairs of neighbours.
+    one minimum per node, never from pairs of neighbours.  In the end each id
+    stands in one row, beside its component.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = kept(edges, "edges")
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     seen = None
     for _ in range(most_rounds):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")  # at most one row for each link
         down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(down, large.a == down.u).select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("u", "m"))
         edges = kept(small.where("a <> b").distinct(), "edges")
@@ -115,5 +115,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = now
     else:
         raise RuntimeError("components did not settle")
-    tops = edges.groupBy("a").agg(F.min("b").alias("component"))
-    return tops.select(F.col("a").alias("id"), "component").union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
