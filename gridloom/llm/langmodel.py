@@ -7,9 +7,10 @@ and the range's segment of the filter is built.  A count c falls on level
 A reader probes j = 1, 2, ... until a miss and takes the mean count of the last
 level, so that all counts of an order still sum to what was counted.
 
-Size: `bits_each` bits for each entry, but at most `most_bits` in all, the
-proven bound of what is broadcast (64 MB).  Beyond it every n-gram is still put
-in, false positives grow instead (3 % at 7 bits an entry, 4 probes).
+Size: `bits_each` bits for each entry (n-gram and level), whatever the corpus.
+A filter of at most `most_bits` (64 MB) is broadcast; with more, the probes of
+blocks of texts travel to the segments of their hash ranges, and levels and
+exact counts come back to the blocks (`routed`).  Scores are the same.
 
 Probability: P(w|h) = a c(hw)/c(h) + (1 - a) P(w), P(w) = (c(w) + 0.1)/(N + 0.1 (V + 1)),
 with all c from the filter; a text's first word follows an end.
@@ -39,6 +40,8 @@ from .text import Chunk, U64, avalanche, chunks
 END = U64(0x656E64206F662074)
 PROBES = 4
 FLUSH = 1_500_000
+#: Bits that positions() can address in a segment.
+ADDRESSED = 1 << 32
 
 
 def token_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +80,11 @@ def positions(keys: np.ndarray, level: int, size: np.ndarray | int) -> Iterator[
 
 
 def segment(parts: list[tuple[np.ndarray, np.ndarray]], base: float, bits_each: float, most: int) -> np.ndarray:
-    """Packed bits for (keys, counts) pairs."""
+    """Packed bits for (keys, counts) pairs, bits_each for each entry; never fewer: more than `most` bits cannot be addressed."""
     marked = [(keys, levels(counts, base)) for keys, counts in parts]
-    size = int(min(most, max(64, bits_each * sum(int(q.sum()) for _, q in marked))))
+    size = int(max(64, bits_each * sum(int(q.sum()) for _, q in marked)))
+    if size > most:
+        raise ValueError(f"a segment of {size} bits is beyond {most}: hash ranges must be smaller")
     bits = np.zeros(size, dtype=bool)
     for keys, q in marked:
         for j in range(1, int(q.max(initial=0)) + 1):
@@ -112,12 +117,15 @@ class Counts:
 
     def probe(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Quantised counts by repeated membership probes."""
-        found, alive, means = np.zeros(len(keys)), np.arange(len(keys)), self.means[order - 1]
-        for j in range(1, len(means)):
+        return self.means[order - 1][self.level(keys, order)]
+
+    def level(self, keys: np.ndarray, order: int) -> np.ndarray:
+        found, alive = np.zeros(len(keys), dtype=np.uint8), np.arange(len(keys))
+        for j in range(1, len(self.means[order - 1])):
             alive = alive[self.has(keys[alive], j)]
             if not len(alive):
                 break
-            found[alive] = means[j]
+            found[alive] = j
         return found
 
     def floor(self) -> float:
@@ -125,11 +133,13 @@ class Counts:
 
     def score(self, tokens: np.ndarray, of: np.ndarray, own: np.ndarray, back: np.ndarray) -> np.ndarray:
         """log10 probability of each document; tokens = own[back]."""
-        single = self.probe(own, 1)[back]
+        return self.interpolated(of, self.probe(own, 1)[back], self.probe(pair_hashes(tokens, of), 2), self.probe(np.array([END]), 1)[0])
+
+    def interpolated(self, of: np.ndarray, single: np.ndarray, pair: np.ndarray, end: float) -> np.ndarray:
         before = np.empty_like(single)
         before[1:] = single[:-1]
-        before[of[:-1]] = self.probe(np.array([END]), 1)[0]
-        pair = np.minimum(self.probe(pair_hashes(tokens, of), 2), before)
+        before[of[:-1]] = end
+        pair = np.minimum(pair, before)
         a = np.where(before > 0, self.weight, 0.0)
         p = a * pair / np.maximum(before, 1) + (1 - a) * (single + 0.1) / self.floor()
         return np.add.reduceat(np.log10(p), of[:-1])
@@ -146,12 +156,11 @@ def held_out(folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, most_bits: int = 1 << 29, range_bytes: int = 8 << 20) -> DataFrame:
+def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, range_bytes: int = 8 << 20) -> DataFrame:
     """One row for each hash range: exact word counts, the filter's segment, and for each order and level the number of n-grams and their sum."""
     text_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(4, math.ceil(math.log2(max(1, text_bytes / range_bytes))))
     shift = 64 - bits
-    most = most_bits >> bits
 
     def map_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -182,7 +191,7 @@ def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, most_bits:
     def reduce_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(at: int, held: list[list]) -> pa.RecordBatch:
             parts = [counted(np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]).astype(np.int64)) for own in held]
-            packed, size = segment(parts, base, bits_each, most)
+            packed, size = segment(parts, base, bits_each, ADDRESSED)
             means = []
             for _, counts in parts:
                 q = levels(counts, base)
@@ -209,12 +218,13 @@ def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, most_bits:
     return kept(packed.repartition("range").sortWithinPartitions("range").mapInArrow(reduce_side, RANGES), "lm-counts")
 
 
-def model(ranges: DataFrame, weight: float, most_words: int) -> Counts:
-    """Gathers the bounded parts: segments (most_bits in all) and, if they are at most most_words, the exact word counts."""
-    size = ranges.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
+def model(ranges: DataFrame, weight: float, most_words: int, most_bits: int) -> Counts:
+    """Gathers the bounded parts: segments, if they are at most most_bits in all (else bits is None), and with them, if they are at most most_words, the exact word counts."""
+    size = ranges.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n"), F.sum("size").alias("bits")).first()
     total, distinct = int(size["n"] or 0), int(size["v"] or 0)
-    exact = distinct <= most_words
-    wanted = ["range", "bits", "size", "means", *(["keys1", "counts1"] if exact else [])]
+    whole_filter = int(size["bits"] or 0) <= most_bits
+    exact = whole_filter and distinct <= most_words
+    wanted = ["range", "size", "means", *(["bits"] if whole_filter else []), *(["keys1", "counts1"] if exact else [])]
     rows = sorted(ranges.select(*wanted).toLocalIterator(), key=lambda r: r["range"])
     n = 1 << max(4, (max((r["range"] for r in rows), default=0)).bit_length())
     begin, bits = np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)
@@ -222,8 +232,9 @@ def model(ranges: DataFrame, weight: float, most_words: int) -> Counts:
     sums = [np.zeros((2, 80)), np.zeros((2, 80))]
     for r in rows:
         begin[r["range"]], bits[r["range"]] = at * 8, r["size"]
-        packed.append(np.frombuffer(r["bits"], dtype=np.uint8))
-        at += len(packed[-1])
+        if whole_filter:
+            packed.append(np.frombuffer(r["bits"], dtype=np.uint8))
+            at += len(packed[-1])
         for k in range(2):
             for i in range(2):
                 own = r["means"][2 * k + i]
@@ -236,7 +247,7 @@ def model(ranges: DataFrame, weight: float, most_words: int) -> Counts:
     words = None
     if exact:
         words = (np.concatenate([np.frombuffer(r["keys1"], dtype="<u8") for r in rows] or [np.zeros(0, dtype=U64)]), np.concatenate([np.frombuffer(r["counts1"], dtype="<u4") for r in rows] or [np.zeros(0, dtype=np.uint32)]))
-    return Counts(64 - (n.bit_length() - 1), np.concatenate([*packed, np.zeros(1, dtype=np.uint8)]), begin, bits, means, total, distinct, words, weight)
+    return Counts(64 - (n.bit_length() - 1), np.concatenate([*packed, np.zeros(1, dtype=np.uint8)]) if whole_filter else None, begin, bits, means, total, distinct, words, weight)
 
 
 def _exact(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -249,12 +260,14 @@ def _exact(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, folds: int = 10, weight: float = 0.2, most_words: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, weight: float = 0.2, most_words: int = 8_000_000, most_bits: int = 1 << 29) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; learns from those that are not held out."""
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", held_out(folds).alias("held_out"))
     ranges = count(rows.where(~F.col("held_out")))
-    fitted = model(ranges, weight, most_words)
+    fitted = model(ranges, weight, most_words, most_bits)
+    if fitted.bits is None:
+        return routed(rows, ranges, fitted)
     sent = spark.sparkContext.broadcast(fitted)
     total, distinct = fitted.total, fitted.distinct
     shift, floor, exact = fitted.shift, fitted.floor(), fitted.words is not None
@@ -329,3 +342,101 @@ def _with_uid(function):
                 at += out.num_rows
 
     return run
+
+
+BLOCKS = "block long, range int, doc_id array<long>, held_out array<boolean>, text array<string>, levels1 binary, counts1 binary, levels2 binary"
+ASKED = "range int, asked int, block long, keys1 binary, counts1 binary, keys2 binary, bits binary, size long"
+
+
+def routed(rows: DataFrame, ranges: DataFrame, fitted: Counts) -> DataFrame:
+    """score() with a filter larger than may be broadcast.
+
+    Texts are held in blocks.  A block asks each hash range once for its distinct
+    words and pairs; a range answers a level for each and the words' exact counts,
+    in the order asked.  Hash ranges in rising order are the sorted keys again.
+    """
+    shift, means, total, distinct, weight = fitted.shift, fitted.means, fitted.total, fitted.distinct, fitted.weight
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(1)):
+                part = batch.slice(chunk.first, len(chunk))
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(chunk)], pa.int32()), part.column(i)) for i in (0, 2, 1)]
+                none = pa.array([None], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(3).slice(0, 1), pa.array([-1], pa.int32()), *lists, none, none, none], names=["block", "range", "doc_id", "held_out", "text", "levels1", "counts1", "levels2"])
+
+    def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (chunk,) = chunks(texts, 1 << 60)
+        tokens, of = token_hashes(chunk)
+        return tokens, pair_hashes(tokens, of), of
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                tokens, pairs, _ = grams(batch.column(1)[i].values)
+                held = [np.unique(tokens), np.unique(pairs)]
+                parts = [(keys >> U64(shift)).astype(np.int64) for keys in held]
+                wanted = np.unique(np.concatenate(parts))
+                columns = []
+                for keys, part in zip(held, parts):
+                    cuts = zip(np.searchsorted(part, wanted).tolist(), np.searchsorted(part, wanted, side="right").tolist())
+                    columns.append(pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()))
+                n = len(wanted)
+                none = pa.nulls(n, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(wanted.astype(np.int32)), pa.array([1] * n, pa.int32()), pa.array([name] * n, pa.int64()), columns[0], none, columns[1], none, pa.nulls(n, pa.int64())], names=["range", "asked", "block", "keys1", "counts1", "keys2", "bits", "size"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lm, words = None, None, None
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for i, (name, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                keys1 = np.frombuffer(batch.column(3)[i].as_py(), dtype="<u8")
+                if not asked:
+                    size, bits = batch.column(7)[i].as_py(), np.frombuffer(batch.column(6)[i].as_py(), dtype=np.uint8)
+                    at, words = name, (keys1, np.frombuffer(batch.column(4)[i].as_py(), dtype="<u4"))
+                    lm = Counts(63, bits, np.zeros(2, dtype=np.int64), np.full(2, size), means, total, distinct, None, weight)
+                    continue
+                keys2, here = np.frombuffer(batch.column(5)[i].as_py(), dtype="<u8"), at == name
+                found = [lm.level(keys, k) if here else np.zeros(len(keys), dtype=np.uint8) for k, keys in ((1, keys1), (2, keys2))]
+                counts = _exact(keys1, *words).astype("<u4") if here else np.zeros(len(keys1), dtype="<u4")
+                for own, value in zip(out, (batch.column(2)[i].as_py(), name, found[0].tobytes(), counts.tobytes(), found[1].tobytes())):
+                    own.append(value)
+            n = len(out[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_())), pa.nulls(n, pa.list_(pa.string())), *(pa.array(own, pa.binary()) for own in out[2:])],
+                names=["block", "range", "doc_id", "held_out", "text", "levels1", "counts1", "levels2"],
+            )
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lm = Counts(63, None, None, None, means, total, distinct, None, weight)
+
+        def scores(docs: list[pa.Array], parts: list[list[bytes]]) -> pa.RecordBatch:
+            tokens, pairs, of = grams(docs[2])
+            level1, counts, level2 = (np.frombuffer(b"".join(own), dtype=kind) for own, kind in zip(parts, ("u1", "<u4", "u1")))
+            own, back = np.unique(tokens, return_inverse=True)
+            single, pair = means[0][level1], means[1][level2][np.unique(pairs, return_inverse=True)[1]]
+            base = np.add.reduceat(lm.base(counts.astype(float))[back], of[:-1])
+            known = np.add.reduceat((counts > 0).astype(np.int64)[back], of[:-1])
+            score = lm.interpolated(of, single[back], pair, single[np.searchsorted(own, END)])
+            return pa.RecordBatch.from_arrays([docs[0], docs[1], pa.array(np.diff(of)), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+        docs, parts = None, [[], [], []]
+        for batch in batches:
+            for i, part in enumerate(batch.column(1).to_pylist()):
+                if part < 0:
+                    if docs:
+                        yield scores(docs, parts)
+                    docs, parts = [batch.column(k)[i].values for k in (2, 3, 4)], [[], [], []]
+                else:
+                    for own, k in zip(parts, (5, 6, 7)):
+                        own.append(batch.column(k)[i].as_py())
+        if docs:
+            yield scores(docs, parts)
+
+    blocks = kept(rows.withColumn("uid", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "uid").mapInArrow(block, BLOCKS), "lm-blocks")
+    none = F.lit(None)
+    held = ranges.select("range", F.lit(0).alias("asked"), none.cast("long").alias("block"), "keys1", "counts1", none.cast("binary").alias("keys2"), "bits", "size")
+    asked = blocks.select("block", "text").mapInArrow(ask, ASKED)
+    answers = held.union(asked).repartition("range").sortWithinPartitions("range", "asked").mapInArrow(answer, BLOCKS)
+    out = blocks.union(answers).repartition("block").sortWithinPartitions("block", "range").mapInArrow(close, SCORES)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

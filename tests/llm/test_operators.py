@@ -180,6 +180,18 @@ def test_vector_dedup(embeddings, monkeypatch):
     assert vector_dedup.dedup(embeddings.where("false")).count() == 0
 
 
+def test_language_model_beyond_the_broadcast_bound(docs):
+    """The filter keeps its bits for each entry, and scores do not depend on how it is reached."""
+    rows = tables.pick(docs, "text")
+    ranges = langmodel.count(rows, range_bytes=1 << 10)
+    entries = sum(sum(j * n for j, n in enumerate(r["means"][2 * k])) for r in ranges.collect() for k in range(2))
+    assert sum(r["size"] for r in ranges.collect()) >= 8 * entries > 1 << 12
+    want, got = (sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in langmodel.score(docs, most_bits=most).collect()) for most in (1 << 29, 1 << 12))
+    assert got == want and len(got) == len(documents())
+    with pytest.raises(ValueError):
+        langmodel.segment([(np.arange(2000, dtype=np.uint64), np.ones(2000))], 1.5, 8.0, 1 << 12)
+
+
 @pytest.mark.parametrize("most_words", [8_000_000, 10])
 def test_language_model(docs, none, most_words):
     rows = documents()
