@@ -15,6 +15,11 @@ than once are the repeated ones, and their maximal spans go back to the
 documents.  Automata are not broadcast but fed by that routing: sending every
 shard to every document would cost shards times corpus.
 
+A first document whose anchors occur so often that its runs might exceed a shard
+(a passage or family that many documents share) has no automaton: its windows
+are counted one by one, by 128-bit hash, those of a batch added up before the
+shuffle, so that no task holds all places of a window.
+
 Cases: null and empty texts have no words; a text shorter than a window keeps
 all; windows that overlap in one document (as in a period) count as often as
 they start; rows of one doc_id or none are documents of their own; an empty
@@ -29,13 +34,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import kept, shielded
-from .text import U64, chunks, windows
+from .text import U64, avalanche, binaries, chunks, windows
 
 ANCHOR = 16
+#: Distinct repeated windows (16 bytes each) that may be broadcast, and words that are cut into windows at a time.
+FEW_WINDOWS, CUT = 1_000_000, 500_000
 
 
 def _least(values: np.ndarray, k: int, pick) -> np.ndarray:
@@ -140,8 +147,12 @@ def repeated(runs: list[list[int]], length: int) -> list[np.ndarray]:
     return [counts[own] > 1 for own in reached]
 
 
-def spans(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
-    """(uid, spans: array of (first word, end)) of the words of rows(uid, text) that repeated windows cover."""
+def routed(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
+    """(home, uid, at, words): the runs of windows with repeated anchors of rows(uid, text).
+
+    home is the first document that has the anchors, or -2 minus it where all its
+    runs together might hold more than shard_words words.
+    """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,11 +177,14 @@ def spans(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
                 key, own = place[hit][order], owner[order]
                 first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])))) if len(key) else np.zeros(0, dtype=np.int64)
                 many = np.diff(np.append(first, len(key)))
-                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(uid[own[first]]), pa.array(np.minimum(many, 2).astype(np.int32))], names=["anchor", "uid", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(uid[own[first]]), pa.array(many.astype(np.int32))], names=["anchor", "uid", "many"])
 
     found = rows.select("uid", "text").mapInArrow(anchors, "anchor long, uid long, many int")
     found = kept(found, "anchors")
-    shared = found.groupBy("anchor").agg(F.sum("many").alias("many"), F.min("uid").alias("home")).where("many > 1").select(F.col("anchor").alias("_anchor"), "home")
+    shared = found.groupBy("anchor").agg(F.sum("many").alias("many"), F.min("uid").alias("home")).where("many > 1")
+    # Each place of an anchor lies in length - ANCHOR + 1 windows at most, and each run adds length - 1 words.
+    words = F.sum("many").over(Window.partitionBy("home")) * (2 * length - ANCHOR)
+    shared = shared.select(F.col("anchor").alias("_anchor"), F.when(words > shard_words, -2 - F.col("home")).otherwise(F.col("home")).alias("home"))
     of_doc = found.join(shared, F.col("anchor") == F.col("_anchor")).groupBy("uid").agg(F.collect_list(F.struct("anchor", "home")).alias("known"))
     texts = rows.select(F.col("uid").alias("_uid"), "text").join(of_doc, F.col("_uid") == F.col("uid")).select("uid", "text", "known")
 
@@ -196,16 +210,89 @@ def spans(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
                     to = np.where(know[where] == own, home[where], -1)
                     turn = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else [0]
                     for a, b in zip(turn[:-1], turn[1:]):
-                        if to[a] >= 0:
+                        if to[a] != -1:
                             out[0].append(int(to[a]))
                             out[1].append(batch.column(0)[row].as_py())
                             out[2].append(int(own_at[a] - of[i]))
                             out[3].append(every[own_at[a] : own_at[b - 1] + length].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["home", "uid", "at", "words"])
 
-    runs = kept(texts.mapInArrow(route, "home long, uid long, at long, words binary"), "runs")
-    n = runs.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(n / 8 / shard_words))
+    return kept(texts.mapInArrow(route, "home long, uid long, at long, words binary"), "runs")
+
+
+def counted(runs: DataFrame, length: int) -> DataFrame:
+    """(uid, first, end) that windows which occur more than once in runs(uid, at, words) cover."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Two hashes of each window and its place (uid, first word), some runs at a time."""
+        uid, at = (batch.column(i).to_numpy() for i in (0, 1))
+        held = [np.frombuffer(w, dtype="<u8") for w in binaries(batch.column(2))]
+        ends = np.cumsum([len(w) for w in held])
+        a = 0
+        while a < len(held):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CUT, side="right")))
+            own = np.array([len(w) for w in held[a:b]])
+            every = np.concatenate(held[a:b])
+            run = np.repeat(np.arange(len(own)), own)
+            inside = np.arange(len(every)) - np.repeat(np.cumsum(own) - own, own)
+            start = np.flatnonzero(inside + length <= own[run])
+            one, two = (windows(w, length)[start].view(np.int64) for w in (every, avalanche(every ^ U64(0x9E3779B97F4A7C15))))
+            yield one, two, np.stack((uid[a:b][run[start]], at[a:b][run[start]] + inside[start]), axis=1).astype("<i8")
+            a = b
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two, place in cut(batch):
+                order = np.lexsort((two, one))
+                one, two, place = one[order], two[order], np.ascontiguousarray(place[order])
+                first = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+                offsets = pa.py_buffer((np.append(first, len(one)) * 16).astype(np.int32).tobytes())
+                places = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(place.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(one[first]), pa.array(two[first]), places], names=["one", "two", "places"])
+
+    def covers(place: np.ndarray) -> pa.RecordBatch:
+        place = place[np.lexsort((place[:, 1], place[:, 0]))]
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = (place[1:, 0] != place[:-1, 0]) | (place[1:, 1] > place[:-1, 1] + length)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(place)) - 1 if len(place) else first
+        return pa.RecordBatch.from_arrays([pa.array(place[first, 0]), pa.array(place[first, 1]), pa.array(place[last, 1] + length)], names=["uid", "first", "end"])
+
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield covers(np.frombuffer(b"".join(binaries(batch.column(0))), dtype="<i8").reshape(-1, 2))
+
+    runs, schema = runs.select("uid", "at", "words"), "uid long, first long, end long"
+    every = runs.mapInArrow(grouped, "one long, two long, places binary")
+    again = every.groupBy("one", "two").agg(F.sum(F.octet_length("places")).alias("n")).where("n > 16")
+    again = kept(again.select(F.col("one").alias("_one"), F.col("two").alias("_two")), "windows")
+    if again.count() > FEW_WINDOWS:
+        return every.join(again, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left_semi").select("places").mapInArrow(covered, schema)
+
+    table = again.orderBy("_one", "_two").toArrow()
+    sent = runs.sparkSession.sparkContext.broadcast(tuple(table.column(i).to_numpy() for i in (0, 1)))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, twos = sent.value
+        most = int(np.unique(ones, return_counts=True)[1].max(initial=0))  # 1 unless first hashes meet
+        for batch in batches:
+            for one, two, place in cut(batch):
+                at, hit = np.searchsorted(ones, one), np.zeros(len(one), dtype=bool)
+                for k in range(most):
+                    here = np.minimum(at + k, len(ones) - 1)
+                    hit |= (ones[here] == one) & (twos[here] == two)
+                yield covers(place[hit])
+
+    return runs.mapInArrow(marked, schema)
+
+
+def spans(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
+    """(uid, spans: array of (first word, end)) of the words of rows(uid, text) that repeated windows cover."""
+    every = routed(rows, length, shard_words)
+    size = every.groupBy(F.col("home") < 0).agg(F.sum(F.octet_length("words"))).collect()  # two rows
+    words = {many: n // 8 for many, n in size}
+    runs = every.where("home >= 0")
+    shards = max(1, math.ceil(words.get(False, 0) / shard_words))
     # Runs of the same words are one, with the number of its places.
     runs = runs.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
 
@@ -238,6 +325,8 @@ def spans(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
             yield close(held)
 
     got = runs.select("shard", "uid", "at", "words").repartition("shard").sortWithinPartitions("shard").mapInArrow(match, "uid long, first long, end long")
+    if words.get(True):
+        got = got.union(counted(every.where("home < 0"), length))
     return got.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
 
 

@@ -386,6 +386,24 @@ def test_substring(docs, none, shard_words):
     assert substring.without_repeats(docs).columns == docs.columns
 
 
+def test_no_home_of_runs_exceeds_a_shard(spark, monkeypatch):
+    """A passage that all documents share is spread; what is cut stays the same."""
+    rng = random.Random(5)
+    passage = made(60, rng)
+    rows = [(i, made(20, rng) + " " + passage + " " + made(20, rng) + (" " + passage[: 40 * (i % 3)] if i % 2 else "")) for i in range(150)] + [(1000, made(90, rng)), (1001, "p q " * 40)]
+    texts = spark.createDataFrame(rows, "uid long, text string").repartition(3)
+    runs = substring.routed(texts, 35, 4000).groupBy("home").agg(F.sum(F.octet_length("words")).alias("n")).collect()
+    assert all(r.n <= 8 * 4000 for r in runs if r.home >= 0) and any(r.n > 8 * 4000 for r in runs if r.home < 0)
+    spoken, counts = [(i, words_of(t)) for i, t in rows], Counter()
+    for _, w in spoken:
+        counts.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
+    want = {i: sum(any(counts[tuple(w[k : k + 35])] > 1 for k in range(max(0, at - 34), min(at, len(w) - 35) + 1)) for at in range(len(w))) for i, w in spoken}
+    for most, few in ((4000, 1_000_000), (4000, 0), (120_000, 0)):
+        monkeypatch.setattr(substring, "FEW_WINDOWS", few)
+        got = substring.dedup(texts.withColumnRenamed("uid", "doc_id"), 35, most).collect()
+        assert {r.doc_id: r.n_removed for r in got} == want
+
+
 def test_automaton_against_counting():
     rng = random.Random(9)
     for _ in range(200):
