@@ -126,6 +126,15 @@ def features(chunk: Chunk, buckets: int) -> Features:
     return Features(index, value, offsets)
 
 
+def merged(f: Features) -> Features:
+    """Equal words of a document as one entry of summed value, by rising index."""
+    doc = np.repeat(np.arange(len(f.offsets) - 1), np.diff(f.offsets))
+    size = int(f.index.max(initial=0)) + 1
+    key, back = np.unique(doc * size + f.index, return_inverse=True)
+    value = np.bincount(back, weights=f.value, minlength=len(key)).astype("<f4")
+    return Features(key % size, value, np.searchsorted(key, np.arange(len(f.offsets)) * size))
+
+
 @dataclass
 class Model:
     buckets: int
@@ -198,13 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6000
         for batch in batches:
             quality = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
-                f = features(chunk, buckets)
+                f = merged(features(chunk, buckets))
                 for i in range(len(chunk)):
                     a, b = f.offsets[i], f.offsets[i + 1]
-                    # Equal words of a document are one entry of summed value.
-                    index, back = np.unique(f.index[a:b], return_inverse=True)
-                    value = np.bincount(back, weights=f.value[a:b]).astype("<f4")
-                    yield pa.RecordBatch.from_arrays([pa.array([float(quality[chunk.first + i])]), pa.array([index.astype("<i4").tobytes()]), pa.array([value.tobytes()])], names=["quality", "index", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([float(quality[chunk.first + i])]), pa.array([f.index[a:b].astype("<i4").tobytes()]), pa.array([f.value[a:b].tobytes()])], names=["quality", "index", "value"])
 
     got = chosen.mapInArrow(rows, "quality double, index binary, value binary").collect()  # at most `sample` rows
     got.sort(key=lambda r: (zlib.crc32(r["index"]), zlib.crc32(r["value"]), r["quality"]))
@@ -218,7 +224,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [sent.value.score(features(chunk, sent.value.buckets)) for chunk in chunks(batch.column(batch.schema.get_field_index("text")))]
+            parts = [sent.value.score(merged(features(chunk, sent.value.buckets))) for chunk in chunks(batch.column(batch.schema.get_field_index("text")))]
             yield batch.append_column("_score", pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64()))
 
     return docs.mapInArrow(rows, docs.select("*", F.lit(0.0).alias("_score")).schema)

@@ -327,6 +327,24 @@ def test_quality(docs, none, spark):
     assert bare.score == 0.5
 
 
+def test_scored_as_trained(spark):
+    """A text's score is that of its words with their repeats summed."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 64 + quality.STATS * quality.CELLS + quality.STATS
+    m = quality.Model(64, 0.1, rng.standard_normal(n) * 0.1, rng.standard_normal((n, 6)) * 0.3)
+    texts = ["one two three " * 50, "one two three", None, "a b a"]
+    want = []
+    for t in texts:
+        f = quality.features(next(iter(text.chunks(pa.array([t])))), 64)
+        x = np.zeros(n)
+        np.add.at(x, f.index, f.value)
+        want.append(1 / (1 + np.exp(-(0.1 + m.linear @ x + 0.5 * (((m.factors.T @ x) ** 2).sum() - ((m.factors * x[:, None]) ** 2).sum())))))
+    got = quality.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), m).collect()
+    assert np.allclose([r._score for r in sorted(got, key=lambda r: r.doc_id)], want, atol=1e-5)
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     m = quality.Model(8, 0.3, rng.standard_normal(40), rng.standard_normal((40, 3)))
