@@ -54,7 +54,8 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.place(_table(spark, sf_dir, "documents"))
+    path = f"{scratch(spark)}/gridloom-shards-{uuid.uuid4().hex}"
+    placed = sharding.resharded(_table(spark, sf_dir, "documents"), path)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old")
 
 

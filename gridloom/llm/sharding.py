@@ -11,14 +11,16 @@ at each of its cuts; equal texts (a group may be larger than a shard) are not
 held together.  Cases: a null text has no bytes and the row weighs `overhead`;
 repeated rows are placed each for itself; an empty table gives an empty result;
 other columns stay out of the way in reshard() and are kept in rewrite()
-(columns named shard or slot are replaced; a doc_id names one row there).
+(columns named shard or slot are replaced; rows of one doc_id and text are
+dealt to its placements one by one).
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import kept, pick, running
@@ -121,13 +123,53 @@ def place(docs: DataFrame, shards: int = 40, overhead: int = 16, old_shards: int
     return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _affected(placed: DataFrame) -> list[int]:
+    """The shards that gain or lose a document."""
+    touched = placed.where("old <> shard")
+    return sorted({r[0] for r in touched.select("shard").union(touched.select("old")).distinct().collect()})
+
+
+def _written(rows: DataFrame, path: str) -> None:
+    parts = F.pmod(F.xxhash64("slot"), F.lit(16))
+    rows.repartition("shard", parts).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Writes the files of the shards that gain or lose a document (path/shard=N); returns those shards. Files of the others stay as they are."""
-    touched = placed.where("old <> shard")
-    affected = sorted({r[0] for r in touched.select("shard").union(touched.select("old")).distinct().collect()})
-    where = placed.select(F.col("doc_id").alias("_doc"), "shard", "slot")
+    affected = _affected(placed)
     docs = docs.drop("shard", "slot")
-    out = docs.join(where, docs.doc_id.eqNullSafe(F.col("_doc"))).drop("_doc").where(F.col("shard").isin(affected))
-    parts = F.pmod(F.xxhash64("slot"), F.lit(16))
-    out.repartition("shard", parts).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    crc, size = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.octet_length(F.coalesce(F.col("text"), F.lit("")))
+    same = lambda crc, size: F.row_number().over(Window.partitionBy("doc_id", crc).orderBy(size))
+    where = placed.select(F.col("doc_id").alias("_doc"), F.col("text_crc32").alias("_crc"), same("text_crc32", "size").alias("_n"), "shard", "slot")
+    docs = docs.withColumn("_own_crc", crc).withColumn("_size", size)
+    docs = docs.withColumn("_own_n", same("_own_crc", "_size"))
+    out = docs.join(where, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own_crc") == F.col("_crc")) & (F.col("_own_n") == F.col("_n")))
+    _written(out.drop("_doc", "_crc", "_n", "_own_crc", "_own_n", "_size").where(F.col("shard").isin(affected)), path)
     return affected
+
+
+def _located(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _file, _row): rows with names that stay, those of their Parquet files where there are any."""
+    try:
+        return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return kept(pick(docs, "doc_id", "text").select("*", F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row")), "shard-rows")
+
+
+def resharded(docs: DataFrame, path: str, shards: int = 40, overhead: int = 16, old_shards: int = 32) -> DataFrame:
+    """place(), with the affected shards' files written under path and all of their columns read back from there."""
+    docs = _located(docs)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    size, crc, old = (F.octet_length(text) + overhead).cast("long"), F.crc32(text), F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int")
+    sizes = kept(docs.select("doc_id", "_file", "_row", size.alias("size"), crc.alias("text_crc32"), old.alias("old")), "shard-sizes")
+    placed = kept(reshard(sizes, shards), "placements")
+    affected = _affected(placed)
+    whole = ["doc_id", "size", "text_crc32", "old", "shard", "slot"]
+    out = placed.where(~F.col("shard").isin(affected)).select(whole) if affected else placed.select(whole)
+    if affected:
+        where = placed.where(F.col("shard").isin(affected)).select(F.col("_file").alias("_of"), F.col("_row").alias("_at"), "shard", "slot")
+        moved = docs.join(where, (F.col("_file") == F.col("_of")) & (F.col("_row") == F.col("_at")))
+        _written(moved.select("doc_id", "text", "slot", "shard"), path)
+        back = docs.sparkSession.read.schema("doc_id " + dict(docs.dtypes)["doc_id"] + ", text string, slot long, shard int").parquet(path)
+        out = out.union(back.select("doc_id", size.alias("size"), crc.alias("text_crc32"), old.alias("old"), "shard", "slot"))
+    return out.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))

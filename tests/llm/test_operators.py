@@ -373,6 +373,26 @@ def test_sharding(docs, none, spark, tmp_path):
     assert affected == list(range(10)) and spark.read.parquet(str(tmp_path / "shards")).count() == 3000
 
 
+def test_shard_files(docs, spark, tmp_path):
+    """The files hold every row once, repeated rows and null doc_ids too, and the result is what is read from them."""
+    rows = [(i, "x" * (i % 97)) for i in range(600)] + [(7, None), (7, ""), (None, "lost"), (None, "lost"), (None, None), (6, "other"), (6, "other")]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    few.write.parquet(str(tmp_path / "in"))
+    want = Counter(rows)
+    for k, given in enumerate((few, spark.read.parquet(str(tmp_path / "in")))):
+        at = str(tmp_path / f"shards{k}")
+        got = sharding.resharded(given, at, 4, old_shards=3).collect()
+        files = spark.read.parquet(at).collect()
+        assert Counter((r.doc_id, r.text) for r in files) == want
+        key = lambda r: (r.doc_id, r.shard, r.slot)
+        assert Counter(map(key, files)) == Counter(map(key, got))
+        for s in range(4):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    sharding.rewrite(few, sharding.place(few, 4, old_shards=3), str(tmp_path / "again"))
+    assert Counter((r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "again")).collect()) == want
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(1)
     for _ in range(20):
