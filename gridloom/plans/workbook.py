@@ -67,20 +67,46 @@ def dependencies(formulas: DataFrame) -> DataFrame:
     return formulas.select(F.upper("cell_id").alias("target"), F.explode(cell_refs(F.col("raw"))).alias("source"))
 
 
-def circular(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(cell) of the cells on a cycle, or between cycles: what is left once cells without sources or without dependants go, round by round."""
+def circular(edges: DataFrame, most_local: int = 500_000) -> DataFrame:
+    """(cell) of the cells on a cycle, or between cycles: what is left once cells without sources or without dependants go, round by round.
+
+    Rounds go on until none goes. Once at most most_local edges are left, one
+    task peels them to the end, so that a long chain takes no round for each cell.
+    """
     from .scratch import stored
 
-    left = edges.distinct()
+    left = stored(edges.select("target", "source").distinct(), "cycle")
     size = left.count()
-    for _ in range(most_rounds):
-        if not size:
-            break
+    while size > most_local:
         left = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("target", "source")
         left = left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("target", "source")
         left = stored(left, "cycle")
         now = left.count()
         if now == size:
-            break
+            return left.select(F.col("target").alias("cell")).distinct()
         size = now
-    return left.select(F.col("target").alias("cell")).distinct()
+    return left.coalesce(1).mapInArrow(_peeled, "cell string")
+
+
+def _peeled(batches):
+    """Cells that are left of edges(target, source), each edge looked at twice at most."""
+    import pyarrow as pa
+
+    edges = {(t, s) for batch in batches for t, s in zip(*(c.to_pylist() for c in batch.columns)) if t is not None and s is not None}
+    ends = {cell for edge in edges for cell in edge}
+    for near, far in ((0, 1), (1, 0)):
+        many, behind = dict.fromkeys(ends, 0), {cell: [] for cell in ends}
+        for edge in edges:
+            many[edge[near]] += 1
+            behind[edge[far]].append(edge[near])
+        free = [cell for cell in ends if not many[cell]]
+        gone = set(free)
+        while free:
+            for cell in behind[free.pop()]:
+                many[cell] -= 1
+                if not many[cell]:
+                    gone.add(cell)
+                    free.append(cell)
+        ends -= gone
+        edges = {edge for edge in edges if not (edge[0] in gone or edge[1] in gone)}
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(ends), pa.string())], names=["cell"])

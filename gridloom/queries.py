@@ -342,6 +342,15 @@ def spill_regions(spark, sf_dir):
     return workbook.regions(workbook.spill(cells, arrays_)[0]).select("anchor_r", "rows", "cols")
 
 
+@query("SELECT 'B' || k AS cell FROM range(1, 1001) t(k)")
+def circular_chain(spark, sf_dir):
+    """A chain of 5,000 cells, and a cycle of 1,000."""
+    n = F.col("id")
+    chain = spark.range(1, 5001).select(F.concat(F.lit("A"), n + 1).alias("cell_id"), F.concat(F.lit("=A"), n, F.lit("+1")).alias("raw"))
+    cycle = spark.range(1, 1001).select(F.concat(F.lit("B"), n).alias("cell_id"), F.concat(F.lit("=B"), n % 1000 + 1).alias("raw"))
+    return workbook.circular(workbook.dependencies(chain.union(cycle)))
+
+
 @query("SELECT k::INT AS r, k * 100::DOUBLE AS v FROM range(1, 4) t(k)")
 def pin_override(spark, sf_dir):
     """A pinned array stands in for the formula's at its anchor; A1# reads it."""

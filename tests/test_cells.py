@@ -76,6 +76,12 @@ def test_cycles(spark):
     assert got == {"A1", "B1", "F1"}
 
 
+def test_long_chains_are_no_cycles(spark):
+    edges = spark.createDataFrame([(f"A{i + 1}", f"A{i}") for i in range(300)] + [("B1", "B2"), ("B2", "B1"), ("B2", "C1"), ("C1", "D1"), ("D1", "D1")], "target string, source string")
+    for most in (500_000, 295):
+        assert {r.cell for r in workbook.circular(edges, most).collect()} == {"B1", "B2", "C1", "D1"}
+
+
 def test_positions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
     got = arrays.numbered(df, F.col("x")).collect()
