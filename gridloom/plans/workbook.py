@@ -12,31 +12,72 @@ from pyspark.sql import functions as F
 from ..functions.values import SPILL
 
 
-def spill(cells: DataFrame, arrays: DataFrame) -> tuple[DataFrame, DataFrame]:
+def spill(cells: DataFrame, arrays: DataFrame, most_local: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """Places arrays(anchor_r, anchor_c, seq, r, c, v) over authored cells(r, c, raw).
 
     r and c count from 1 within an array.  An array is blocked as a whole by an
     authored cell other than its anchor, or by a cell of an array placed before
     it (smaller seq); nothing of a blocked array is placed and its anchor shows
     #SPILL!.  Returns (placed(r, c, v, anchor_r, anchor_c), blocked(r, c, v)).
-    Arrays are taken as placed before if they overlap at all, so of three that
-    overlap in a row the third can be kept out by a second that is itself blocked
-    only where both share a cell with the first.
+    Blocked arrays block nothing.  Arrays that share cells are settled in rounds
+    (of those open, an array first on all its cells is placed, and what shares a
+    cell with it is blocked); once at most most_local of their cells are open,
+    one task settles the rest in order.
     """
+    from .scratch import stored
+
     at = arrays.select("anchor_r", "anchor_c", "seq", (F.col("anchor_r") + F.col("r") - 1).alias("r"), (F.col("anchor_c") + F.col("c") - 1).alias("c"), "v")
     own = (F.col("r") == F.col("anchor_r")) & (F.col("c") == F.col("anchor_c"))
     authored = cells.select("r", "c", F.lit(True).alias("taken"))
     marked = at.join(authored, ["r", "c"], "left").withColumn("hit", F.coalesce("taken", F.lit(False)) & ~own)
-    first = F.min("seq").over(Window.partitionBy("r", "c"))
     blocked_by_cell = marked.groupBy("anchor_r", "anchor_c").agg(F.max("hit").alias("by_cell"))
-    open_ = marked.join(blocked_by_cell, ["anchor_r", "anchor_c"])
-    live = open_.where("not by_cell").withColumn("behind", first < F.col("seq"))
-    state = live.groupBy("anchor_r", "anchor_c").agg(F.max("behind").alias("behind"))
-    good = live.drop("behind").join(state.where("not behind"), ["anchor_r", "anchor_c"]).select("r", "c", "v", "anchor_r", "anchor_c")
-    bad = blocked_by_cell.where("by_cell").select("anchor_r", "anchor_c").union(state.where("behind").select("anchor_r", "anchor_c"))
+    live = marked.join(blocked_by_cell, ["anchor_r", "anchor_c"]).where("not by_cell")
+    behind = _behind(live.select("seq", "anchor_r", "anchor_c", "r", "c"), most_local, stored)
+    good = live.join(behind, ["anchor_r", "anchor_c"], "left_anti").select("r", "c", "v", "anchor_r", "anchor_c")
+    bad = blocked_by_cell.where("by_cell").select("anchor_r", "anchor_c").union(behind)
     return good, bad.select(F.col("anchor_r").alias("r"), F.col("anchor_c").alias("c"), F.lit(SPILL).alias("v"))
 
 
+def _behind(live: DataFrame, most_local: int, stored) -> DataFrame:
+    """(anchor_r, anchor_c) of the arrays of live(seq, anchor_r, anchor_c, r, c) that an array placed before them blocks."""
+    anchor, on_cell = ["anchor_r", "anchor_c"], Window.partitionBy("r", "c")
+    rank = F.struct("seq", "anchor_r", "anchor_c")
+    shared = live.withColumn("many", F.min(rank).over(on_cell) != F.max(rank).over(on_cell)).where("many")
+    open_ = stored(shared.select("seq", *anchor, "r", "c").distinct(), "open")
+    blocked = []
+    while open_.count() > most_local:
+        first = open_.withColumn("first", F.min(rank).over(on_cell) == rank)
+        placed = first.groupBy(anchor).agg(F.min("first").alias("first")).where("first").select(anchor)
+        placed = stored(placed, "placed")
+        rest = open_.join(placed, anchor, "left_anti")
+        hit = rest.join(open_.join(placed, anchor, "left_semi").select("r", "c").distinct(), ["r", "c"], "left_semi").select(anchor).distinct()
+        blocked.append(stored(hit, "blocked"))
+        open_ = stored(rest.join(blocked[-1], anchor, "left_anti"), "open")
+    out = open_.coalesce(1).mapInArrow(_in_order, open_.select(anchor).schema)
+    for more in blocked:
+        out = out.union(more)
+    return out
+
+
+def _in_order(batches):
+    """Arrays that are kept out when cells(seq, anchor_r, anchor_c, r, c) are taken in order."""
+    import pyarrow as pa
+
+    cells, types = {}, None
+    for batch in batches:
+        types = [batch.schema.field(i).type for i in (1, 2)]
+        for seq, ar, ac, r, c in zip(*(x.to_pylist() for x in batch.columns)):
+            cells.setdefault((seq, ar, ac), []).append((r, c))
+    taken, out = set(), []
+    for name in sorted(cells):
+        if taken.isdisjoint(cells[name]):
+            taken.update(cells[name])
+        else:
+            out.append(name)
+    if types:
+        yield pa.RecordBatch.from_arrays([pa.array([name[i] for name in out], types[i - 1]) for i in (1, 2)], names=["anchor_r", "anchor_c"])
+
+
 def regions(placed: DataFrame) -> DataFrame:
     """(anchor_r, anchor_c, rows, cols) of placed arrays."""
     return placed.groupBy("anchor_r", "anchor_c").agg((F.max("r") - F.min("r") + 1).alias("rows"), (F.max("c") - F.min("c") + 1).alias("cols"))

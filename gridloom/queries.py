@@ -342,6 +342,15 @@ def spill_regions(spark, sf_dir):
     return workbook.regions(workbook.spill(cells, arrays_)[0]).select("anchor_r", "rows", "cols")
 
 
+@query("SELECT (3 * i)::INT AS r, CASE WHEN i % 2 = 1 THEN 'placed' ELSE '#SPILL!' END AS v FROM range(1, 2001) t(i)")
+def spill_chain(spark, sf_dir):
+    """Arrays of four cells that each overlap the next: a blocked one blocks nothing."""
+    cells, _ = _placed(spark)
+    one = spark.range(1, 2001).select((F.col("id") * 3).cast("int").alias("anchor_r"), F.lit(1).alias("anchor_c"), F.col("id").alias("seq"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("r"), F.lit(1).alias("c"), F.lit(1.0).alias("v"))
+    placed, blocked = workbook.spill(cells.limit(0), one)
+    return workbook.regions(placed).select(F.col("anchor_r").alias("r"), F.lit("placed").alias("v")).union(blocked.select("r", "v"))
+
+
 @query("SELECT 'B' || k AS cell FROM range(1, 1001) t(k)")
 def circular_chain(spark, sf_dir):
     """A chain of 5,000 cells, and a cycle of 1,000."""

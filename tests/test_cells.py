@@ -76,6 +76,15 @@ def test_cycles(spark):
     assert got == {"A1", "B1", "F1"}
 
 
+def test_a_blocked_array_blocks_nothing(spark):
+    chain = arrays_of(spark, [(3 * k, 1, k, i, 1, float(i)) for k in range(1, 6) for i in range(1, 5)])
+    none = spark.createDataFrame([], "r int, c int, raw string")
+    for most in (500_000, 4):
+        placed, blocked = workbook.spill(none, chain, most)
+        assert sorted({r.anchor_r for r in placed.collect()}) == [3, 9, 15]
+        assert sorted(r.r for r in blocked.collect()) == [6, 12]
+
+
 def test_long_chains_are_no_cycles(spark):
     edges = spark.createDataFrame([(f"A{i + 1}", f"A{i}") for i in range(300)] + [("B1", "B2"), ("B2", "B1"), ("B2", "C1"), ("C1", "D1"), ("D1", "D1")], "target string, source string")
     for most in (500_000, 295):
