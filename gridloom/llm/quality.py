@@ -7,8 +7,8 @@ low rank: sum over f of (sum v_if x_i)^2 - sum (v_if x_i)^2, halved, so that a
 text is scored in time linear in its words.
 
 Labels are learnt from at most `sample` rows (those of the smallest hash of
-doc_id), never from held-out ones.  The model has a fixed size and is sent to
-the workers; every text is scored whole.
+doc_id) and `sample_bytes` of their features, never from held-out ones.  The
+model has a fixed size and is sent to the workers; every text is scored whole.
 
 Cases: null and empty texts are scored by the cells of an empty text; null
 labels and labels without a document are left out; with one class alone, or
@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import pick, shielded
+from .tables import kept, pick, shielded
 from .text import Chunk, U64, avalanche, chunks, windows
 
 #: Bytes that are counted apart.
@@ -71,7 +71,7 @@ def statistics(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, of: np.ndarra
     line_doc = np.searchsorted(ofs, line_at, side="right") - 1
     line_end = np.append(line_at[1:], len(data))
     lines = np.bincount(line_doc, minlength=len(chunk))
-    line_hash = chunk.hashes(line_at, line_end, lower=False) if len(line_at) else hashes[:0]
+    line_hash = chunk.hashes(line_at, line_end, lower=False, rough=True) if len(line_at) else hashes[:0]
     columns = [
         np.log2(n_words + 1) / 20,
         np.log2(n_bytes + 1) / 24,
@@ -197,8 +197,8 @@ def fold(folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6000, buckets: int = 1 << 14) -> Model:
-    """Learns labels.quality from at most `sample` labelled documents outside fold 0."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6000, buckets: int = 1 << 14, sample_bytes: int = 64 << 20) -> Model:
+    """Learns labels.quality from at most `sample` labelled documents outside fold 0, whose features take at most sample_bytes (beyond them the last by hash are left out)."""
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     marked = marked.where(fold(folds) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("_quality", "text")
@@ -212,7 +212,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6000
                     a, b = f.offsets[i], f.offsets[i + 1]
                     yield pa.RecordBatch.from_arrays([pa.array([float(quality[chunk.first + i])]), pa.array([f.index[a:b].astype("<i4").tobytes()]), pa.array([f.value[a:b].tobytes()])], names=["quality", "index", "value"])
 
-    got = chosen.mapInArrow(rows, "quality double, index binary, value binary").collect()  # at most `sample` rows
+    whole = kept(chosen.mapInArrow(rows, "quality double, index binary, value binary"), "quality-sample")
+    order = [F.crc32("index"), F.crc32("value"), F.octet_length("index")]
+    sizes = whole.select(*[c.alias(f"o{i}") for i, c in enumerate(order)]).withColumn("through", 2 * F.sum("o2").over(Window.orderBy("o0", "o1", "o2")))  # at most `sample` rows
+    most = sizes.where(F.col("through") > sample_bytes).agg(F.min(F.struct("o0", "o1", "o2")).alias("most")).first()["most"]
+    if most is not None:
+        whole = whole.where(F.struct(*order) < F.struct(*[F.lit(v) for v in most]))
+    got = whole.collect()  # at most `sample` rows of sample_bytes
     got.sort(key=lambda r: (zlib.crc32(r["index"]), zlib.crc32(r["value"]), r["quality"]))
     held = [Features(np.frombuffer(r["index"], dtype="<i4").astype(np.int64), np.frombuffer(r["value"], dtype="<f4"), np.array([0])) for r in got]
     return fit(held, np.array([r["quality"] for r in got], dtype=np.float64), buckets)

@@ -1,46 +1,28 @@
-"""Scratch tables, prefix sums and connected components shared by the operators."""
+"""Stored tables, prefix sums, joins on hot keys and connected components shared by the operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_made: list[tuple[SparkSession, str]] = []
+from ..plans.scratch import folder as scratch
+from ..plans.scratch import place as shared_path
+from ..plans.scratch import scope, stored
 
+__all__ = ["components", "hot_join", "if_few", "kept", "pick", "running", "scope", "scratch", "shared_path", "shielded"]
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = getattr(scratch, "own", None) or tempfile.mkdtemp(prefix="gridloom-")
-        scratch.own = folder
-    return folder.rstrip("/")
+#: Bytes of rows that go to a Python worker at a time, unless the session says otherwise: a batch of long texts is as small as one of short ones.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as a Parquet table in the shared folder and read again: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended
-            return
+    """df as a stored table."""
+    if df.sparkSession.conf.get(BATCH[0], None) is None:
+        df.sparkSession.conf.set(*BATCH)
+    return stored(df, name)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -61,13 +43,56 @@ def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataF
     return df.toDF(*inner), restored
 
 
-#: Rows of ids (some bytes each) that may be broadcast; more rows are joined by a shuffle.
-FEW = 1_000_000
+#: Bytes of a table that may be broadcast; more are joined by a shuffle.
+FEW_BYTES = 32 << 20
 
 
-def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows; df should be cheap to count (a kept table)."""
-    return F.broadcast(df) if df.count() <= most else df
+def row_bytes(df: DataFrame) -> Column:
+    """The bytes of a row when it is broadcast."""
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType)) for f in df.schema):
+        raise ValueError("the size of an array is not known beforehand")
+    size = F.lit(16 + 16 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    return size
+
+
+def if_few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its rows take at most `most` bytes; df should be cheap to read (a kept table)."""
+    size = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if size <= (FEW_BYTES if most is None else most) else df
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, own: str, weight: str, total: int, each: int | None = 64) -> DataFrame:
+    """left joined with right on left[key] = right[own]; right has one row for each key, and in weight how many rows left has of it.
+
+    total is the number of left's rows.  The keys of most rows are hot: as many
+    as take FEW_BYTES, with `each` bytes a row of right (None: what they take is
+    measured, so right should be a kept table).  They are broadcast, so no task
+    gets all rows of a key; all others, which have about total / (FEW_BYTES /
+    each) rows at most, meet by a shuffle.
+    """
+    if each is None:
+        power = F.floor(F.log2(F.greatest(weight, F.lit(1)))).alias("power")
+        sizes = {r["power"]: r["n"] for r in right.groupBy(power).agg(F.sum(row_bytes(right)).alias("n")).collect()}  # a row for each power of two
+        powers, room = sorted(sizes, reverse=True), FEW_BYTES
+        least = 1 << (max(powers, default=0) + 1)
+        for p in powers:
+            room -= sizes[p]
+            if room < 0:
+                break
+            least = 1 << p
+        everything = room >= 0
+    else:
+        least = total * each // FEW_BYTES + 1
+        everything = least <= 1
+    if everything:
+        return left.join(F.broadcast(right), F.col(key) == F.col(own))
+    hot, cold = right.where(F.col(weight) >= least), right.where(F.col(weight) < least)
+    names = hot.select(F.col(own).alias("_hot"))
+    rest = left.join(F.broadcast(names), F.col(key) == F.col("_hot"), "left_anti")
+    return left.join(F.broadcast(hot), F.col(key) == F.col(own)).unionByName(rest.join(cold, F.col(key) == F.col(own)))
 
 
 def running(df: DataFrame, key: str, order: list[Column], value: Column, bucket: Column, out: str) -> DataFrame:
@@ -96,23 +121,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps; each halves the distances, so a
     chain of a billion links takes some thirty rounds.  A star is built from
-    one minimum per node, never from pairs of neighbours.  In the end each id
-    stands in one row, beside its component.
+    one minimum per node, never from pairs of neighbours, and the links of a
+    hub meet its minimum by hot_join().  In the end each id stands in one row,
+    beside its component.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    seen = None
+    seen, n = None, edges.count()
     for _ in range(most_rounds):
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b")  # at most one row for each link
-        down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(down, large.a == down.u).select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("u", "m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
+        large = hot_join(both, least, "a", "u", "n", 2 * n).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))  # at most one row for each link
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumnRenamed("a", "u")
+        small = hot_join(large, down, "a", "u", "n", n).select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("u", "m"))
         edges = kept(small.where("a <> b").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

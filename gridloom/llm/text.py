@@ -3,13 +3,17 @@
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D.  All positions are
 byte offsets into one flat buffer that holds the documents of a chunk one after
 the other; no word crosses a document.  Hashes are 64-bit: a polynomial over
-random byte values, finished by an avalanche step, so that equal words have
-equal hashes and different words differ but for a chance of about 2**-60.
+random byte values modulo 2**64, finished by an avalanche step.  Such polynomials
+have systematic clashes for long texts of a certain form (of 2**k letters, from
+2**10 on whatever the base), so spans of more than SHORT bytes are hashed by
+BLAKE2 instead.  Different words differ but for a chance of about 2**-64, and
+2**-50 for short ones of that form; a name of a set or a window is 128 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +27,9 @@ _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-#: Bytes of text that are handled at once.
-CHUNK_BYTES = 1 << 18
+#: Bytes of text that are handled at once, and the longest span that is hashed by a polynomial.
+CHUNK_BYTES, SHORT = 1 << 18, 32
+_FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -83,13 +88,18 @@ class Chunk:
         starts = np.flatnonzero(edge)
         return starts, np.append(starts[1:], n), np.searchsorted(starts, self.offsets)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-        """One hash for each span of bytes; lower folds A-Z."""
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool, rough: bool = False) -> np.ndarray:
+        """One hash for each span of bytes; lower folds A-Z; rough: long spans by the polynomial as well, for counts alone."""
         n = len(self.data)
         total = np.zeros(n + 1, dtype=U64)
         np.cumsum((_LOWER if lower else _BYTE)[self.data] * powers(_BASE, n), out=total[1:])
         span = (total[ends] - total[starts]) * powers(_BASE_INVERSE, n + 1)[starts]
-        return avalanche(span + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        out = avalanche(span + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        if not rough and len(wide := np.flatnonzero(ends - starts > SHORT)):
+            raw = self.data.tobytes()
+            raw = raw.translate(_FOLD) if lower else raw
+            out[wide] = np.frombuffer(b"".join(blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[wide].tolist(), ends[wide].tolist())), dtype="<u8")
+        return out
 
     def text(self, start: int, end: int) -> bytes:
         return self.data[start:end].tobytes()
@@ -138,6 +148,13 @@ def shingle_sets(chunk: Chunk, k: int) -> Iterator[tuple[int, np.ndarray]]:
         yield chunk.first + i, own
 
 
+def fixed_binaries(values: np.ndarray) -> pa.Array:
+    """The rows of a contiguous array as a binary column."""
+    each = values.nbytes // len(values) if len(values) else 0
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * each
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
 def binaries(column: pa.Array) -> list[memoryview]:
     """The values of a binary column without copies."""
     n = len(column)
