@@ -11,13 +11,15 @@ of most shingles first (the order depends on a block's content alone, so that a
 shared one is among them).  A set with too few non-empty blocks, which is rare,
 sends all, and besides single shingles that reach every other such set.
 
-Equal sets are one class.  In a bucket of equal blocks the classes are compared
-with one of them, the one that stands in most buckets; what a verified link has joined needs no more comparing.
+Equal sets are one class, named by 128 bits.  In a bucket of equal blocks the
+classes are compared with one of them, the one that stands in most buckets; what
+a verified link has joined needs no more comparing.
 Where a bucket still holds several components, its other pairs are screened by
 fixed-size bit sketches, whose Hamming distance is at most the symmetric
 difference, without leaving the bucket (sketches are folded to a like size there); those that pass are verified as well.
-Every candidate is decided on its whole sets.  No bucket, candidate or partner
-is dropped.
+Every candidate is decided on its whole sets: a pivot's set is made once for
+each SALT of its candidates and meets theirs there.  Hot buckets and pivots are
+looked up by hot_join().  No bucket, candidate or partner is dropped.
 
 Cases: null and empty texts have no shingles and link with nothing; a text of
 fewer than k words is one shingle; rows without doc_id take no part in links
@@ -35,19 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import FEW, components, if_few, kept, pick, shielded
-from .text import U64, avalanche, binaries, chunks, shingle_sets
+from .tables import components, hot_join, if_few, kept, pick, shielded
+from .text import U64, avalanche, binaries, chunks, fixed_binaries, shingle_sets
 
 #: Bits of the sketches that travel with bucket rows.
 SMALL_BITS = 2048
 #: Classes of a bucket that are compared within one task; a larger bucket is cut into pairs of such parts.
 PART = 1500
+#: Candidates of a pivot that meet its set in one place.
+SALT = 256
 
 
-def fingerprint(own: np.ndarray) -> int:
-    """64 bits that name a set."""
-    with np.errstate(over="ignore"):
-        return int(avalanche(np.array([avalanche(own + U64(0x5851F42D4C957F2D)).sum(dtype=U64) + U64(len(own))], dtype=U64)).view(np.int64)[0])
+def fingerprint(own: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    sums = np.array([avalanche(own + U64(0x5851F42D4C957F2D)).sum(dtype=U64), avalanche(own ^ U64(0x14057B7EF767814F)).sum(dtype=U64)])
+    return avalanche(sums + np.array([len(own), ~len(own) % 2**64], dtype=U64)).tobytes()
 
 
 def bound(a: int, b: int, percent: int) -> int:
@@ -103,13 +107,13 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
                 for _, own in shingle_sets(chunk, k):
                     sketch = bit_sketch(own)
                     got.append((len(own), fingerprint(own), sketch.tobytes(), folded(sketch, SMALL_BITS // 64).tobytes()))
-                columns = [pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+                columns = [pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), *columns], names=["doc_id", "n_shingles", "set", "sketch", "small"])
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, set long, sketch binary, small binary")
+    return docs.mapInArrow(rows, "doc_id long, n_shingles long, set binary, sketch binary, small binary")
 
 
-def _buckets(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int = 800_000) -> DataFrame:
+def _buckets(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int = 300_000) -> DataFrame:
     """(bucket, set) for all sets of each bucket with several."""
     text_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(4, math.ceil(math.log2(max(1, text_bytes / range_bytes))))
@@ -117,7 +121,7 @@ def _buckets(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs: list[np.ndarray] = []
         sets: list[np.ndarray] = []
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         n = 0
 
         def out() -> pa.RecordBatch:
@@ -139,7 +143,7 @@ def _buckets(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int
                         continue
                     seen.add(name)
                     signs.append(signatures(own, percent))
-                    sets.append(np.full(len(signs[-1]), name, dtype="<i8"))
+                    sets.append(np.tile(np.frombuffer(name, dtype="<u8"), (len(signs[-1]), 1)))
                     n += len(signs[-1])
                 if n >= flush:
                     yield out()
@@ -150,21 +154,21 @@ def _buckets(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(at: int, held: list) -> pa.RecordBatch:
             signs = np.concatenate([np.frombuffer(s, dtype="<u4") for s, _ in held])
-            sets = np.concatenate([np.frombuffer(s, dtype="<i8") for _, s in held])
+            sets = np.concatenate([np.frombuffer(s, dtype="<u8").reshape(-1, 2) for _, s in held])
             order = np.argsort(signs, kind="stable")
             signs, sets = signs[order], sets[order]
             first = np.concatenate(([True], signs[1:] != signs[:-1]))
             alone = first & np.append(first[1:], True)
             signs, sets = signs[~alone], sets[~alone]
-            order = np.lexsort((sets, signs))
+            order = np.lexsort((sets[:, 1], sets[:, 0], signs))
             signs, sets = signs[order], sets[order]
             if len(signs):
-                new = np.concatenate(([True], (signs[1:] != signs[:-1]) | (sets[1:] != sets[:-1])))
+                new = np.concatenate(([True], (signs[1:] != signs[:-1]) | (sets[1:] != sets[:-1]).any(axis=1)))
                 signs, sets = signs[new], sets[new]
                 like = signs[1:] == signs[:-1]
                 several = np.append(like, False) | np.concatenate(([False], like))
                 signs, sets = signs[several], sets[several]
-            return pa.RecordBatch.from_arrays([pa.array((at << 32) + signs.astype(np.int64)), pa.array(sets)], names=["bucket", "set"])
+            return pa.RecordBatch.from_arrays([pa.array((at << 32) + signs.astype(np.int64)), fixed_binaries(sets)], names=["bucket", "set"])
 
         at, held = None, []
         for batch in batches:
@@ -178,23 +182,24 @@ def _buckets(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int
             yield close(at, held)
 
     packed = docs.select("text").mapInArrow(send, "range int, signs binary, sets binary")
-    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "bucket long, set long")
+    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "bucket long, set binary")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
     """(bucket, pivot, member) from rows(bucket, set); pivot: the set that stands in most buckets, which in a family of near copies is the most central one."""
     count = rows.groupBy(F.col("set").alias("_set")).agg(F.count("*").alias("_n"))
     rows = kept(rows.join(count, F.col("set") == F.col("_set")).select("bucket", "set", "_n"), "bucket-rows")
-    top = rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.max(F.struct("_n", "set")).alias("top"))
-    met = rows.join(top, F.col("bucket") == F.col("_bucket")).where(F.col("set") != F.col("top.set"))
+    top = rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.max(F.struct("_n", "set")).alias("top"), F.count("*").alias("_rows"))
+    met = hot_join(rows, top, "bucket", "_bucket", "_rows", rows.count()).where(F.col("set") != F.col("top.set"))
     return met.select("bucket", F.col("top.set").alias("pivot"), F.col("set").alias("member"))
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) of documents, one of each set, for the pairs(a, b) of sets of similarity percent or more: sketches first, then whole sets.
 
-    sketches: (set, doc_id, n, sketch, ...).  For each pair left, both documents'
-    sets are made anew where their texts are read and meet under the pair.
+    sketches: (set, doc_id, n, sketch, ...).  The sets of the pairs left are made
+    anew where their texts are read: b's once for each pair, a's once for each
+    salt of its pairs, and meet under (a, salt).
     """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,43 +211,46 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, pe
                 apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
                 good.append(apart <= bound(na, nb, percent) and 100 * min(na, nb) >= percent * max(na, nb))
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1, 6, 7)], names=["a", "b", "da", "db"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1, 6, 7, 8)], names=["a", "b", "da", "db", "salt"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, da, db = (batch.column(i).to_numpy() for i in range(1, 5))
+            names = batch.column(5).to_pylist()
             for chunk in chunks(batch.column(0)):
-                got = [(row, name, own.astype("<u8").tobytes()) for row, own in shingle_sets(chunk, k) if (name := fingerprint(own)) in (a[row], b[row])]
+                got = [(row, own.astype("<u8").tobytes()) for row, own in shingle_sets(chunk, k) if fingerprint(own) == names[row]]
                 if got:
-                    rows = np.array([g[0] for g in got])
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in (da, db)), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["a", "b", "set", "shingles"])
+                    rows = pa.array([g[0] for g in got])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(1, 5)), pa.array([g[1] for g in got], pa.binary())], names=["a", "salt", "side", "doc", "shingles"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, first = None, None
+        at, doc, pivot = None, None, None
         for batch in batches:
             out = []
-            for a, b, name, shingles in zip(*(batch.column(i).to_pylist() for i in range(3)), binaries(batch.column(3))):
-                if (a, b) != at:
-                    at, first = (a, b), (name, shingles)
-                elif first and name != first[0]:
-                    both = np.sort(np.concatenate((np.frombuffer(first[1], dtype="<u8"), np.frombuffer(shingles, dtype="<u8"))))
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if 100 * shared >= percent * (len(both) - shared):
-                        out.append(at)
-                    first = None  # a repeated row adds nothing
-            if first:
-                first = (first[0], bytes(first[1]))
+            for a, salt, side, own, shingles in zip(*(batch.column(i).to_pylist() for i in range(4)), binaries(batch.column(4))):
+                shingles = np.frombuffer(shingles, dtype="<u8")
+                if side == 0:
+                    at, doc, pivot = (a, salt), own, shingles.copy()
+                elif at == (a, salt):
+                    where = np.minimum(np.searchsorted(pivot, shingles), len(pivot) - 1)
+                    shared = int((pivot[where] == shingles).sum())
+                    if 100 * shared >= percent * (len(pivot) + len(shingles) - shared):
+                        out.append((doc, own))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    one = sketches.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("doc_id").alias("da"))
-    two = sketches.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("doc_id").alias("db"))
-    close = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "sa", "nb", "sb", "da", "db").mapInArrow(near, "a long, b long, da long, db long")
+    pairs = kept(pairs, "pairs")
+    total = pairs.count()
+    side = lambda s: sketches.select(F.col("set").alias(f"_{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("doc_id").alias(f"d{s}"))
+    many = lambda s: pairs.groupBy(F.col(s).alias(f"_of_{s}")).agg(F.count("*").alias(f"_n{s}"))
+    drawn = {s: kept(side(s).join(many(s), F.col(f"_{s}") == F.col(f"_of_{s}")), "drawn") for s in "ab"}
+    close = hot_join(hot_join(pairs, drawn["a"], "a", "_a", "_na", total, None), drawn["b"], "b", "_b", "_nb", total, None)
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("_na") / SALT)).cast("int").alias("salt")
+    close = close.select("a", "b", "na", "sa", "nb", "sb", "da", "db", salt).mapInArrow(near, "a binary, b binary, da long, db long, salt int")
     close = kept(close, "near-pairs")
-    asked = close.select("a", "b", "da", "db", F.col("da").alias("_id")).union(close.select("a", "b", "da", "db", "db"))
-    asked = F.broadcast(asked) if close.count() <= FEW else asked
-    texts = docs.join(asked, F.col("doc_id") == F.col("_id")).select("text", "a", "b", "da", "db")
-    met = texts.mapInArrow(again, "a long, b long, set long, shingles binary").repartition("a", "b").sortWithinPartitions("a", "b")
+    pivots = close.select("a", "salt", F.lit(0).alias("side"), F.col("da").alias("doc"), F.col("a").alias("name")).distinct()
+    asked = kept(pivots.union(close.select("a", "salt", F.lit(1), "db", "b")), "asked")
+    texts = docs.join(if_few(asked), F.col("doc_id") == F.col("doc")).select("text", "a", "salt", "side", "doc", "name")
+    met = texts.mapInArrow(again, "a binary, salt int, side int, doc long, shingles binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
     return kept(met.mapInArrow(exact, "a long, b long"), "links")
 
 
@@ -250,21 +258,21 @@ def _rest(stars: DataFrame, of: DataFrame, sketches: DataFrame, percent: int) ->
     """Pairs (a, b) of one bucket but of different components whose sketches allow a link; of: (set, component)."""
     own = of.select(F.col("set").alias("member"), F.col("component").alias("of_member"))
     placed = stars.join(own, "member")
-    mixed = placed.groupBy("bucket").agg(F.min("of_member").alias("low"), F.max("of_member").alias("high"), F.count("*").alias("size")).where("low <> high")
-    rows = placed.join(mixed, "bucket").select("bucket", F.col("member").alias("set"), F.col("of_member").alias("component"), "size")
+    mixed = placed.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("of_member").alias("low"), F.max("of_member").alias("high"), F.count("*").alias("size")).where("low <> high")
+    rows = hot_join(placed, mixed, "bucket", "_bucket", "size", stars.count()).select("bucket", F.col("member").alias("set"), F.col("of_member").alias("component"), "size")
     rows = rows.join(sketches.select("set", "n", "small"), "set")
     parts = F.ceil(F.col("size") / PART).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("set"), parts).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("bucket", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "set", "component", "n", "small")
+    rows = rows.select("bucket", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "set", "part", "component", "n", "small")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(at: tuple, held: list) -> tuple[np.ndarray, np.ndarray]:
-            part, names, of, n = (np.array([r[i] for r in held], dtype=np.int64) for i in range(4))
+        def close(at: tuple, held: list) -> set[tuple[bytes, bytes]]:
+            part, of, n = (np.array([r[i] for r in held], dtype=np.int64) for i in (1, 2, 3))
             sketches = [np.frombuffer(r[4], dtype=np.uint64) for r in held]
             words = min(len(x) for x in sketches)
             bits = np.stack([folded(x, words) for x in sketches])
-            left, right = [], []
+            found = set()
             for i in range(len(held)):
                 js = np.arange(i + 1, len(held))
                 js = js[of[js] != of[i]]
@@ -273,46 +281,40 @@ def _rest(stars: DataFrame, of: DataFrame, sketches: DataFrame, percent: int) ->
                 js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
                 if len(js):
                     js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) * (100 + percent) <= (100 - percent) * (n[js] + n[i])]
-                    left.append(np.minimum(names[js], names[i]))
-                    right.append(np.maximum(names[js], names[i]))
-            none = np.zeros(0, dtype=np.int64)
-            return np.concatenate([none, *left]), np.concatenate([none, *right])
+                    found.update((held[i][0], held[j][0]) for j in js.tolist())  # in the order of their names
+            return found
 
-        at, held, sent = None, [], set()
-
-        def new(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-            """Pairs that this task has not sent yet."""
-            out = {pair for a, b in found for pair in zip(a.tolist(), b.tolist())} - sent
-            sent.update(out)
-            return sorted(out)
+        def rows_of(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*sorted(found))], names=["a", "b"])
 
+        at, held = None, []
         for batch in batches:
-            found = []
+            found = set()
             for b, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (b, p, q) != at:
                     if len(held) > 1:
-                        found.append(close(at, held))
+                        found |= close(at, held)
                     at, held = (b, p, q), []
                 held.append(row)
-            if pairs := new(found):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
-        if len(held) > 1 and (pairs := new([close(at, held)])):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+            if found:
+                yield rows_of(found)
+        if len(held) > 1 and (found := close(at, held)):
+            yield rows_of(found)
 
-    return rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(compare, "a long, b long").distinct()
+    return rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "set").mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 75, range_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id: the smallest doc_id that its links reach."""
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     rows = kept(_classes(docs, k), "shingle-counts")
-    classes = kept(rows.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "classes")
+    classes = kept(rows.where("n_shingles > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("_rows")), "classes")
     named = docs.where("doc_id is not null")
     stars = kept(_stars(kept(_buckets(named, k, percent, range_bytes), "buckets")), "stars")
     used = stars.select(F.col("pivot").alias("_s")).union(stars.select("member")).distinct()
     wanted = classes.join(used, F.col("set") == F.col("_s"), "left_semi")
     drawn = rows.select(F.col("set").alias("_set"), F.col("doc_id").alias("_id"), "sketch", "small")
-    sketches = kept(wanted.join(drawn, (F.col("set") == F.col("_set")) & (F.col("doc_id") == F.col("_id"))).select("set", "doc_id", "n", "sketch", "small"), "sketches")
+    sketches = kept(wanted.join(drawn, (F.col("set") == F.col("_set")) & (F.col("doc_id") == F.col("_id"))).select("set", "doc_id", "n", "sketch", "small").dropDuplicates(["set"]), "sketches")
 
     links = _verified(stars.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), sketches, named, k, percent)
     final = kept(components(links), "components")
@@ -321,9 +323,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, range_bytes: int = 8 <<
     if rest.limit(1).count():
         more = _verified(rest, sketches, named, k, percent)
         final = kept(components(final.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
-    tops = kept(classes.join(final, F.col("doc_id") == F.col("id"), "left").select(F.col("set").alias("_set"), F.coalesce("component", "doc_id").alias("top")), "class-tops")
-    out = rows.drop("sketch", "small").join(tops, (F.col("set") == F.col("_set")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))
+    tops = kept(classes.join(final, F.col("doc_id") == F.col("id"), "left").select(F.col("set").alias("_set"), F.coalesce("component", "doc_id").alias("component_id"), "_rows"), "class-tops")
+    linked = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    found = hot_join(rows.where(linked).select("doc_id", "n_shingles", "set"), tops, "set", "_set", "_rows", rows.count())
+    return found.select("doc_id", "n_shingles", "component_id").union(rows.where(~linked).select("doc_id", "n_shingles", "doc_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
