@@ -25,16 +25,27 @@ from .text import Chunk, chunks
 WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+#: Pieces that the tokenizer takes at a time, and bytes of text whose ids are made at a time.
+LEARNT, BYTES = 4096, 1 << 19
+
+
 class Encoder:
-    """ids of a chunk's texts without special tokens. blanks: the vocabulary keeps blanks, in front of words."""
+    """ids of a chunk's texts without special tokens. blanks: the vocabulary keeps blanks, in front of words.
 
-    def __init__(self, path: str, blanks: bool, most_kept: int = 1_500_000):
+    What is kept takes at most most_bytes; beyond them all of it is forgotten.
+    """
+
+    def __init__(self, path: str, blanks: bool, most_bytes: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.blanks, self.most = Tokenizer.from_file(path), blanks, most_kept
+        self.tokenizer, self.blanks, self.most = Tokenizer.from_file(path), blanks, most_bytes
         self.forget()
 
+    def size(self, more: int = 0) -> int:
+        """Bytes that are kept, with `more` pieces of some four ids."""
+        return 20 * (self.n + more) + 4 * (self.used + 4 * more)
+
     def forget(self) -> None:
         self.keys, self.at = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.begin, self.flat, self.used, self.n = np.zeros(1024, dtype=np.int64), np.zeros(4096, dtype=np.int32), 0, 0
@@ -44,7 +55,7 @@ class Encoder:
 
     def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """hashes: sorted, none known yet."""
-        ids = self.direct(pieces)
+        ids = [own for at in range(0, len(pieces), LEARNT) for own in self.direct(pieces[at : at + LEARNT])]
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         total = int(lengths.sum())
         while self.n + len(ids) + 1 > len(self.begin):
@@ -66,7 +77,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, dtype=np.int32), np.zeros(len(chunk) + 1, dtype=np.int64)
         own, first, back = np.unique(chunk.hashes(starts, ends, lower=False), return_index=True, return_inverse=True)
-        if self.n + len(own) > self.most:
+        if self.size(len(own)) > self.most:
             self.forget()
         where = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
         new = self.keys[where] != own if len(self.keys) else np.ones(len(own), dtype=bool)
@@ -98,8 +109,9 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, blanks: bool) -> Encoder:
-    """One for each worker and vocabulary, kept for the next task."""
+    """One a worker, kept for the next task of the same vocabulary."""
     if (path, blanks) not in _encoders:
+        _encoders.clear()
         _encoders[path, blanks] = Encoder(path, blanks)
     return _encoders[path, blanks]
 
@@ -169,7 +181,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, blanks: bool
 
     Each row of the table is one file in the format of pack(): whole documents,
     file_ids ids or a little more.  part and file order the files.  A null text
-    is empty: its ids are the end_id alone.  Equal doc_ids lie side by side.
+    is empty: its ids are the end_id alone.  Equal doc_ids lie side by side, in
+    the order of the table, by which the rows of one doc_id (or of none) can be
+    dealt to several tasks.
     """
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +202,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, blanks: bool
         encode = encoder(vocabulary, blanks).encode
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
-            for chunk in chunks(batch.column(1), 1 << 20):
+            for chunk in chunks(batch.column(1), BYTES):
                 ids, of = encode(chunk)
                 own = of[1:] - of[:-1] + 1
                 held.append(np.insert(ids, of[1:], end_id))
@@ -201,7 +215,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, blanks: bool
         if names:
             yield flush()
 
-    ordered = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.octet_length("text"), F.xxhash64("text"))
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("at"))
+    ordered = rows.repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id", "at")
     ordered.mapInArrow(files, FILES).write.parquet(path)
 
 
