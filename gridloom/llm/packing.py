@@ -3,11 +3,16 @@
 Documents longer than a sequence are cut; the first piece takes what is over,
 all others fill a sequence.  The pieces below a full sequence, at most one for
 each document, are dealt by hash into groups of some thousands.  Each group is
-packed by a grouping genetic algorithm on several islands: a crossover injects
-well-filled bins of one parent whole into the other, drops the bins that held
-the same pieces, and puts the displaced pieces back by best fit.  Between the
-epochs the islands' elites meet and each island goes on from all of them.  The
-bins that stay underfilled are dealt anew in a later round.
+packed by a grouping genetic algorithm: a crossover injects well-filled bins of
+one parent whole into the other, drops the bins that held the same pieces, and
+puts the displaced pieces back by best fit.
+
+The first individual is the best-fit packing of falling lengths.  A group that
+it packs into as few bins as lower_bound() proves necessary is done (so is most
+real text, with its many short pieces).  All other groups evolve on several
+islands of their own random numbers; between the epochs the islands' elites meet
+and each island goes on from all of them.  The bins that stay underfilled are
+dealt anew in a later round.
 
 Cases: a null or empty text has its end id alone; equal doc_ids are pieces of
 their own; an empty table gives an empty result.
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .tables import if_few, kept, pick
 from .text import chunks
-from .tokens import encoder
+from .tokens import BYTES, encoder
 
 PIECES = "uid long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -42,7 +47,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, room: int, with_ids: b
         encode = encoder(vocabulary, True).encode
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else np.array(batch.column(0).to_pylist(), dtype=object)
-            for chunk in chunks(batch.column(1), 1 << 20):
+            for chunk in chunks(batch.column(1), BYTES):
                 ids, of = encode(chunk)
                 ids = np.insert(ids, of[1:], end_id).astype("<u4")
                 of = of + np.arange(len(of))
@@ -58,7 +63,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, room: int, with_ids: b
                 columns = [pa.array(uid + np.arange(len(doc))), pa.array(doc_ids[chunk.first + doc], pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
                 names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    columns.append(pa.array([ids[a : a + k].astype(np.int32) for a, k in zip(at.tolist(), length.tolist())], pa.list_(pa.int32())))
+                    # The pieces of a chunk, one after the other, are all of its ids.
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.view(np.int32))))
                     names.append("ids")
                 uid += len(doc)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -114,71 +120,102 @@ def crossover(one: tuple[list, list], two: tuple[list, list], length: list[int],
     return bins, fill
 
 
-def evolve(length: list[int], start: list[tuple[list, list]], room: int, population: int, generations: int, rng: random.Random) -> tuple[list, list]:
-    """The best solution found; ends early at a bound that no packing can beat."""
-    least = max(-(-sum(length) // room), sum(k > room // 2 for k in length))
-    alive = list(start)
-    while len(alive) < population and (not alive or max(-len(s[1]) for s in alive) < -least):
-        order = sorted(range(len(length)), key=lambda i: -length[i] * (1 if not alive else rng.uniform(0.93, 1.0)))
-        bins: list[list[int]] = []
-        fill: list[int] = []
-        best_fit(order, length, bins, fill, room)
-        alive.append((bins, fill))
-    alive.sort(key=lambda s: fitness(s[1], room), reverse=True)
-    for _ in range(generations):
-        if len(alive[0][1]) <= least or len(alive) < 2:
-            break
-        for _ in range(population // 2):
-            one, two = rng.sample(alive, 2)
-            alive.append(crossover(one, two, length, room, rng))
+def lower_bound(length: list[int], room: int) -> int:
+    """Bins that any packing needs: all lengths together, and k at most of those above room / (k + 1) in one bin."""
+    sizes = np.array(length, dtype=np.int64)
+    return max([-(-int(sizes.sum()) // room), *(-(-int((sizes * (k + 1) > room).sum()) // k) for k in range(1, 9))])
+
+
+def falling(length: list[int], room: int, weight=lambda i: 1.0) -> tuple[list, list]:
+    """Best fit of the falling lengths, each times its weight."""
+    bins: list[list[int]] = []
+    fill: list[int] = []
+    best_fit(sorted(range(len(length)), key=lambda i: -length[i] * weight(i)), length, bins, fill, room)
+    return bins, fill
+
+
+def evolve(length: list[int], start: list[tuple[list, list]], room: int, population: int, generations: int, rng: random.Random, idle: int = 12) -> tuple[list, list]:
+    """The best solution found; ends early at lower_bound(), or after `idle` generations without a better one."""
+    least = lower_bound(length, room)
+    alive = list(start) or [falling(length, room)]
+    while len(alive) < population and max(-len(s[1]) for s in alive) < -least:
+        alive.append(falling(length, room, lambda i: rng.uniform(0.93, 1.0)))
+    best, waited = None, 0
+    for _ in range(generations + 1):
         alive.sort(key=lambda s: fitness(s[1], room), reverse=True)
         del alive[population:]
-    return alive[0]
+        now = fitness(alive[0][1], room)
+        best, waited = (now, 0) if best is None or now > best else (best, waited + 1)
+        if len(alive[0][1]) <= least or len(alive) < 2 or waited > idle:
+            break
+        alive += [crossover(*rng.sample(alive, 2), length, room, rng) for _ in range(population // 2)]
+    return max(alive, key=lambda s: fitness(s[1], room))
+
+
+def _bins_of(items: pd.DataFrame, column: str, length: list[int]) -> tuple[list, list]:
+    bins: dict[int, list[int]] = {}
+    for i, b in enumerate(items[column].astype(int).tolist()):
+        bins.setdefault(b, []).append(i)
+    return list(bins.values()), [sum(length[i] for i in own) for own in bins.values()]
 
 
-def _epoch(room: int, population: int, generations: int, islands: int, last: bool):
+def _packed(group: int, island: int, items: pd.DataFrame, found: tuple[list, list], room: int) -> pd.DataFrame:
+    bins, fill = found
+    at, offset = np.zeros(len(items), dtype=np.int64), np.zeros(len(items), dtype=np.int64)
+    length = items["length"].tolist()
+    for b, own in enumerate(bins):
+        to = 0
+        for i in own:
+            at[i], offset[i] = b, to
+            to += length[i]
+    filled = np.array(fill, dtype=np.int64)[at] if len(fill) else at
+    return pd.DataFrame({"group": group, "island": island, "uid": items["uid"], "length": items["length"], "bin": at, "offset": offset, "fill": filled, "bins": len(bins), "solved": len(bins) <= lower_bound(length, room)})
+
+
+def _seed(room: int):
+    def run(key, items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values("uid").reset_index(drop=True)
+        return _packed(int(key[0]), 0, items, falling(items["length"].tolist(), room), room)
+
+    return run
+
+
+def _epoch(room: int, population: int, generations: int, last: bool):
     def run(key, items: pd.DataFrame) -> pd.DataFrame:
         group, island = int(key[0]), int(key[1])
         elites = sorted(c for c in items.columns if c.startswith("bin") and items[c].notna().all())
         items = items.sort_values("uid").reset_index(drop=True)
         length = items["length"].tolist()
-        start = []
-        for c in elites:
-            bins: dict[int, list[int]] = {}
-            for i, b in enumerate(items[c].astype(int).tolist()):
-                bins.setdefault(b, []).append(i)
-            start.append((list(bins.values()), [sum(length[i] for i in own) for own in bins.values()]))
-        bins, fill = evolve(length, start, room, population, generations, random.Random(f"{group} {island} {last}"))
-        at, offset = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
-        for b, own in enumerate(bins):
-            to = 0
-            for i in own:
-                at[i], offset[i] = b, to
-                to += length[i]
-        filled = np.array(fill, dtype=np.int64)[at] if len(fill) else at
-        return pd.DataFrame({"group": group, "island": island, "uid": items["uid"], "length": items["length"], "bin": at, "offset": offset, "fill": filled, "bins": len(bins)})
+        start = [_bins_of(items, c, length) for c in elites]
+        return _packed(group, island, items, evolve(length, start, room, population, generations, random.Random(f"{group} {island} {last}")), room)
 
     return run
 
 
-EPOCH = "group long, island int, uid long, length int, bin long, offset long, fill long, bins long"
+PLACED = "group long, island int, uid long, length int, bin long, offset long, fill long, bins long, solved boolean"
+
+
+def evolved(hard: DataFrame, room: int, islands: int, population: int, generations: int) -> DataFrame:
+    """The rows of PLACED of the best packing found for each group of hard(group, uid, length, bin0), bin0 being its first packing."""
+    apart = F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))
+    first = kept(hard.withColumn("island", apart).groupBy("group", "island").applyInPandas(_epoch(room, population, generations, False), PLACED), "pack-epoch")
+    # Migration: every island of a group gets the elites of all, the best packing wins.
+    elites = first.groupBy("group", "uid", "length").agg(*[F.max(F.when(F.col("island") == i, F.col("bin"))).alias(f"bin{i}") for i in range(islands)])
+    second = kept(elites.withColumn("island", apart).groupBy("group", "island").applyInPandas(_epoch(room, population, generations, True), PLACED), "pack-epoch")
+    best = second.groupBy("group").agg(F.min(F.struct("bins", "island")).alias("best")).select(F.col("group").alias("_group"), F.col("best.island").alias("_island"))  # one row a group
+    return second.join(best, (F.col("group") == F.col("_group")) & (F.col("island") == F.col("_island"))).drop("_group", "_island")
 
 
-def arrange(items: DataFrame, room: int, group_size: int = 8192, islands: int = 2, population: int = 4, generations: int = 3, rounds: int = 3) -> DataFrame:
+def arrange(items: DataFrame, room: int, group_size: int = 8192, islands: int = 2, population: int = 12, generations: int = 40, rounds: int = 3) -> DataFrame:
     """(uid, sequence_id, offset) of items(uid, length), each shorter than room."""
     done = None
     for k in range(rounds):
-        n = items.count()
-        groups = max(1, -(-n // group_size))
+        groups = max(1, -(-items.count() // group_size))
         dealt = items.select(F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(groups)).alias("group"), "uid", "length")
-        apart = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
-        first = kept(apart.groupBy("group", "island").applyInPandas(_epoch(room, population, generations, islands, False), EPOCH), "pack-epoch")
-        # Migration: every island of a group gets the elites of all, the best packing wins.
-        elites = first.groupBy("group", "uid", "length").agg(*[F.max(F.when(F.col("island") == i, F.col("bin"))).alias(f"bin{i}") for i in range(islands)])
-        again = elites.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
-        second = kept(again.groupBy("group", "island").applyInPandas(_epoch(room, population, generations, islands, True), EPOCH), "pack-epoch")
-        best = second.groupBy("group").agg(F.min(F.struct("bins", "island")).alias("best")).select(F.col("group").alias("_group"), F.col("best.island").alias("_island"))
-        found = second.join(best, (F.col("group") == F.col("_group")) & (F.col("island") == F.col("_island")))
+        found = kept(dealt.groupBy("group").applyInPandas(_seed(room), PLACED), "pack-seeds")
+        hard = found.where("not solved")
+        if hard.limit(1).count():
+            found = found.where("solved").unionByName(evolved(hard.select("group", "uid", "length", F.col("bin").alias("bin0")), room, islands, population, generations))
         found = found.select("uid", "length", "offset", "fill", (F.lit(k + 1) * F.lit(1 << 56) + F.col("group") * (1 << 24) + F.col("bin")).alias("sequence_id"))
         final = k == rounds - 1 or groups == 1
         good = found if final else found.where(F.col("fill") >= room - room // 128)
