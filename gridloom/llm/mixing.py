@@ -2,15 +2,21 @@
 
 Every document waits in its source's queue, in shuffled order, and leaves it at
 a virtual finish time: the source's words up to and with the document, divided
-by the source's target.  The document's last half counts as not yet served, so
-that whole documents round to the nearer side of a target.  The mix takes documents in the order of their finish
+by the source's target.  The mix takes documents in the order of their finish
 times, over all sources, until its budget of words is used up.  A document can
 leave at most `most` times (its repeats queue behind the source's last document).
 
+Two departures from the method as it is usually put: the document's last half
+counts as not yet served, so that whole documents round to the nearer side of a
+target; and the order of finish times is not sorted as a whole, as all that it
+decides is where the budget ends.  That place is found by sums over slices of
+finish times, each time within the one slice that holds it, until few documents
+are left to be put in order.  What is taken is what the whole sort would take.
+
 Cases: a null text has size 0; null sources are one source, after all others;
-documents of size 0 are returned with taken 0; repeated rows are documents of
-their own; an empty table gives an empty result; columns other than doc_id,
-text and source are not looked at.
+documents of size 0 (null, empty or blank) use no words and are in the mix once,
+taken 0; repeated rows are documents of their own; an empty table gives an empty
+result; columns other than doc_id, text and source are not looked at.
 """
 
 from __future__ import annotations
@@ -58,34 +64,60 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     order = [F.col("key"), F.col("doc_id"), F.col("size")]
     queue = running(queue, "rank", order, F.col("size"), F.conv(F.substring("key", 1, 3), 16, 10).cast("int"), "up_to")
     queue = kept(queue, "mix-queue")
-    turn = F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
-    finish = F.when(F.col("target") > 0, (F.col("turn") * F.col("source_size") + F.col("up_to") - F.col("size") / 2) / F.col("target")).otherwise(0.0)
-    slice_ = F.when(F.col("finish") < 2, F.floor(F.col("finish") * 4096)).otherwise(8192 + F.floor(F.log2(F.greatest("finish", F.lit(2.0))) * 256))
-    place = F.struct("finish", "rank", "turn", "key", "doc_id", "size")
-    turns = queue.withColumn("turn", turn).withColumn("finish", finish).withColumn("slice", slice_).withColumn("place", place)
-    # The budget ends inside one slice of finish times; only that slice is put in order.
+    # Only documents with words use up the budget, and only the slice of finish times in which it ends is looked at more closely.
+    worded = queue.where("size > 0")
+    turns = worded.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("finish", _finish(F.col("turn")))
     budget = F.floor(F.lit(share) * targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"])
-    sums = turns.groupBy("slice").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("through", F.sum("words").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)))
-    last = sums.where(F.col("through") > budget).orderBy("slice").select("slice", (F.col("through") - F.col("words")).alias("before")).first()
-    taken = F.lit(most)
-    if last is not None:
-        inside = turns.where(F.col("slice") == last["slice"])
-        inside = inside.withColumn("through", last["before"] + F.sum("size").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
-        end = inside.where(F.col("through") <= budget).agg(F.max("place").alias("end")).first()["end"]
-        goes = F.col("slice") < last["slice"]
-        if end is not None:
-            fields = [F.lit(end[n]).cast(turns.schema["place"].dataType[n].dataType).alias(n) for n in ("finish", "rank", "turn", "key", "doc_id", "size")]
-            goes = goes | ((F.col("slice") == last["slice"]) & (F.col("place") <= F.struct(*fields)))
-        at = queue
-        taken = F.lit(0)
+    end = _end(turns, budget)
+    goes = [F.lit(True)] * most
+    if end is not None:
+        fields = [F.lit(v).cast(turns.schema[n].dataType).alias(n) for n, v in zip(PLACE, end)]
         for k in range(most):
-            at = at.withColumn("turn", F.lit(k)).withColumn("finish", finish).withColumn("slice", slice_).withColumn("place", place).withColumn(f"_goes{k}", goes.cast("int"))
-            taken = taken + F.col(f"_goes{k}")
-        queue = at
+            at = F.struct(*[F.lit(k).alias("turn") if n == "turn" else _finish(F.lit(k)).alias("finish") if n == "finish" else F.col(n) for n in PLACE])
+            goes[k] = at <= F.struct(*fields)
+    taken = F.lit(0)
+    for g in goes:
+        taken = taken + g.cast("int")
+    taken = F.when(F.col("size") > 0, taken).otherwise(1)
     return queue.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * taken).cast("long").alias("taken"), taken.cast("int").alias("turns"))
 
 
+#: The order of the mix.
+PLACE = ("finish", "rank", "turn", "key", "doc_id", "size")
+
+
+def _finish(turn: Column) -> Column:
+    """Virtual time at which a document has left its queue for the turn-th time, but for its last half."""
+    return F.when(F.col("target") > 0, (turn * F.col("source_size") + F.col("up_to") - F.col("size") / 2) / F.col("target")).otherwise(0.0)
+
+
+def _end(turns: DataFrame, budget: Column, slices: int = 4096, most: int = 100_000, depth: int = 4) -> tuple | None:
+    """The place of the last document that the budget holds; () sorts before all others, None: it holds all."""
+    words = turns.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), budget.cast("long").alias("budget"), F.min("finish").alias("low"), F.max("finish").alias("high")).first()
+    if words["n"] <= words["budget"]:
+        return None
+    left, before, low, high = turns, 0, words["low"], words["high"]
+    for _ in range(depth):
+        width = (high - low) / slices
+        if not width > 0:
+            break
+        slice_ = F.least(F.floor((F.col("finish") - low) / width), F.lit(slices - 1))
+        sums = left.groupBy(slice_.alias("slice")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.min("finish").alias("low"), F.max("finish").alias("high")).orderBy("slice").collect()  # `slices` rows at most
+        for r in sums:
+            if before + r["words"] > words["budget"]:
+                break
+            before += r["words"]
+        left, low, high = left.where(F.col("finish").between(r["low"], r["high"])), r["low"], r["high"]
+        if r["rows"] <= most:
+            break
+    order = Window.orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    inside = left.select(*PLACE, (F.lit(before) + F.sum("size").over(order)).alias("through"))
+    end = inside.where(F.col("through") <= words["budget"]).agg(F.max(F.struct(*PLACE)).alias("end")).first()["end"]
+    if end is None:  # the slice's first document is beyond the budget
+        end = turns.where(F.col("finish") < low).agg(F.max(F.struct(*PLACE)).alias("end")).first()["end"]
+    return (-1.0, None, None, None, None, None) if end is None else tuple(end)
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """docs as the mix has them: each row as many times as its turns. Rows that share doc_id and source take the same number of turns."""
     turns = mix(docs, weights, share, most).groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source")).agg(F.max("turns").alias("_turns"))
