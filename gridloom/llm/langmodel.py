@@ -16,7 +16,7 @@ Probability: P(w|h) = a c(hw)/c(h) + (1 - a) P(w), P(w) = (c(w) + 0.1)/(N + 0.1
 with all c from the filter; a text's first word follows an end.
 
 The base score needs exact counts of words.  Up to `most_words` of them are
-broadcast (12 bytes each); with more, texts' words travel to the counts' ranges
+broadcast (16 bytes each); with more, texts' words travel to the counts' ranges
 and partial sums come back.
 
 Cases: a null or empty text is one end; a null doc_id counts as held out; with
@@ -170,7 +170,7 @@ def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, range_byte
             for own in held:
                 keys, counts = counted(np.concatenate(own))
                 cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(shift)).tolist() + [len(keys)]
-                counts = counts.astype("<u4")
+                counts = counts.astype("<u4")  # of FLUSH tokens and a chunk
                 columns += [pa.array([a[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary()) for a in (keys, counts)]
                 own.clear()
             return pa.RecordBatch.from_arrays(columns, names=["range", "keys1", "counts1", "keys2", "counts2"])
@@ -198,7 +198,7 @@ def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, range_byte
                 means += [np.bincount(q).astype(float).tolist(), np.bincount(q, weights=counts).tolist()]
             (keys, counts), _ = parts
             return pa.RecordBatch.from_arrays(
-                [pa.array([at], pa.int32()), pa.array([keys.tobytes()]), pa.array([counts.astype("<u4").tobytes()]), pa.array([packed.tobytes()]), pa.array([size], pa.int64()), pa.array([means], pa.list_(pa.list_(pa.float64()))), pa.array([int(counts.sum())], pa.int64()), pa.array([len(keys)], pa.int64())],
+                [pa.array([at], pa.int32()), pa.array([keys.tobytes()]), pa.array([counts.astype("<u8").tobytes()]), pa.array([packed.tobytes()]), pa.array([size], pa.int64()), pa.array([means], pa.list_(pa.list_(pa.float64()))), pa.array([int(counts.sum())], pa.int64()), pa.array([len(keys)], pa.int64())],
                 names=["range", "keys1", "counts1", "bits", "size", "means", "total", "distinct"],
             )
 
@@ -246,7 +246,7 @@ def model(ranges: DataFrame, weight: float, most_words: int, most_bits: int) ->
         means.append(np.maximum.accumulate(filled))
     words = None
     if exact:
-        words = (np.concatenate([np.frombuffer(r["keys1"], dtype="<u8") for r in rows] or [np.zeros(0, dtype=U64)]), np.concatenate([np.frombuffer(r["counts1"], dtype="<u4") for r in rows] or [np.zeros(0, dtype=np.uint32)]))
+        words = (np.concatenate([np.frombuffer(r["keys1"], dtype="<u8") for r in rows] or [np.zeros(0, dtype=U64)]), np.concatenate([np.frombuffer(r["counts1"], dtype="<u8") for r in rows] or [np.zeros(0, dtype=np.uint64)]))
     return Counts(64 - (n.bit_length() - 1), np.concatenate([*packed, np.zeros(1, dtype=np.uint8)]) if whole_filter else None, begin, bits, means, total, distinct, words, weight)
 
 
@@ -260,7 +260,7 @@ def _exact(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, folds: int = 10, weight: float = 0.2, most_words: int = 8_000_000, most_bits: int = 1 << 29) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, weight: float = 0.2, most_words: int = 6_000_000, most_bits: int = 1 << 29) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; learns from those that are not held out."""
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", held_out(folds).alias("held_out"))
@@ -290,12 +290,14 @@ def score(docs: DataFrame, folds: int = 10, weight: float = 0.2, most_words: int
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(known), pa.array(base), pa.array(lm.score(tokens, of, own, back))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     if exact:
-        out = rows.select("doc_id", "text", "held_out").mapInArrow(scores, SCORES)
+        out = kept(rows.select("doc_id", "text", "held_out").mapInArrow(scores, SCORES), "lm-scores")
+        sent.destroy()
         return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
     # More words than may be broadcast: each text's words go to their ranges, sums come back.
     rows = kept(rows.withColumn("uid", F.monotonically_increasing_id()), "lm-texts")
-    scored = rows.select("doc_id", "text", "held_out", "uid").mapInArrow(_with_uid(scores), SCORES + ", uid long")
+    scored = kept(rows.select("doc_id", "text", "held_out", "uid").mapInArrow(_with_uid(scores), SCORES + ", uid long"), "lm-scores")
+    sent.destroy()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,12 +315,12 @@ def score(docs: DataFrame, folds: int = 10, weight: float = 0.2, most_words: int
                 )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, table = None, (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.uint32))
+        at, table = None, (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.uint64))
         for batch in batches:
             for row in batch.to_pylist():
                 keys = np.frombuffer(row["keys"], dtype="<u8")
                 if not row["asked"]:
-                    at, table = row["range"], (keys, np.frombuffer(row["with"], dtype="<u4"))
+                    at, table = row["range"], (keys, np.frombuffer(row["with"], dtype="<u8"))
                     continue
                 c = _exact(keys, *(table if at == row["range"] else (keys[:0], keys[:0])))
                 uid, back = np.unique(np.frombuffer(row["with"], dtype="<i8"), return_inverse=True)
@@ -393,12 +395,12 @@ def routed(rows: DataFrame, ranges: DataFrame, fitted: Counts) -> DataFrame:
                 keys1 = np.frombuffer(batch.column(3)[i].as_py(), dtype="<u8")
                 if not asked:
                     size, bits = batch.column(7)[i].as_py(), np.frombuffer(batch.column(6)[i].as_py(), dtype=np.uint8)
-                    at, words = name, (keys1, np.frombuffer(batch.column(4)[i].as_py(), dtype="<u4"))
+                    at, words = name, (keys1, np.frombuffer(batch.column(4)[i].as_py(), dtype="<u8"))
                     lm = Counts(63, bits, np.zeros(2, dtype=np.int64), np.full(2, size), means, total, distinct, None, weight)
                     continue
                 keys2, here = np.frombuffer(batch.column(5)[i].as_py(), dtype="<u8"), at == name
                 found = [lm.level(keys, k) if here else np.zeros(len(keys), dtype=np.uint8) for k, keys in ((1, keys1), (2, keys2))]
-                counts = _exact(keys1, *words).astype("<u4") if here else np.zeros(len(keys1), dtype="<u4")
+                counts = _exact(keys1, *words).astype("<u8") if here else np.zeros(len(keys1), dtype="<u8")
                 for own, value in zip(out, (batch.column(2)[i].as_py(), name, found[0].tobytes(), counts.tobytes(), found[1].tobytes())):
                     own.append(value)
             n = len(out[0])
@@ -412,7 +414,7 @@ def routed(rows: DataFrame, ranges: DataFrame, fitted: Counts) -> DataFrame:
 
         def scores(docs: list[pa.Array], parts: list[list[bytes]]) -> pa.RecordBatch:
             tokens, pairs, of = grams(docs[2])
-            level1, counts, level2 = (np.frombuffer(b"".join(own), dtype=kind) for own, kind in zip(parts, ("u1", "<u4", "u1")))
+            level1, counts, level2 = (np.frombuffer(b"".join(own), dtype=kind) for own, kind in zip(parts, ("u1", "<u8", "u1")))
             own, back = np.unique(tokens, return_inverse=True)
             single, pair = means[0][level1], means[1][level2][np.unique(pairs, return_inverse=True)[1]]
             base = np.add.reduceat(lm.base(counts.astype(float))[back], of[:-1])
