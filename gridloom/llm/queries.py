@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langmodel, mixing, ngram_join, packing, quality, sharding, substring, tokens, topk, vector_dedup
-from .tables import scratch
+from .tables import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +33,7 @@ def op4_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch(spark)}/gridloom-ids-{uuid.uuid4().hex}"
+    path = shared_path(spark, "ids")
     tokens.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokens.read(spark.read.schema(tokens.FILES).parquet(path))
 
@@ -54,7 +53,7 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch(spark)}/gridloom-shards-{uuid.uuid4().hex}"
+    path = shared_path(spark, "shards")
     placed = sharding.resharded(_table(spark, sf_dir, "documents"), path)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old")
 

@@ -6,13 +6,22 @@ is free and any other costs one for each byte.  Each edge's bytes are one block
 of the old shard's documents, cut from the documents in the order of falling
 size class, so that what moves, and what lies at a cut, are the smallest ones.
 
+Files: a store of shards has the files of each version of a shard in a folder of
+their own, and a manifest, to which a version's shards are added once all of its
+files are written.  A reader takes each shard's greatest version in the manifest,
+so a rewrite that dies, or tasks that run twice, change nothing, and the files
+of shards that neither gain nor lose a document are never touched.
+
 Law: "bytes".  A new shard differs from its capacity by less than one document
-at each of its cuts; equal texts (a group may be larger than a shard) are not
-held together.  Cases: a null text has no bytes and the row weighs `overhead`;
-repeated rows are placed each for itself; an empty table gives an empty result;
-other columns stay out of the way in reshard() and are kept in rewrite()
-(columns named shard or slot are replaced; rows of one doc_id and text are
-dealt to its placements one by one).
+at each of its cuts.  Groups: equal texts are not held together, for a group may
+be larger than a shard (a third of all rows) and the law is that of the bytes;
+each row of a group is placed for itself.
+
+Cases: a null text has no bytes and the row weighs `overhead`; repeated rows and
+rows of one doc_id or none are placed each for itself, by where they stand; an
+empty table gives an empty result and no files; other columns stay out of the
+way and are written with the rows, under _file_names() (columns named shard, slot
+or version are replaced).
 """
 
 from __future__ import annotations
@@ -20,10 +29,10 @@ from __future__ import annotations
 import heapq
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import kept, pick, running
+from .tables import kept, pick, running, shielded
 
 
 def cheapest_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -113,7 +122,7 @@ def sized(docs: DataFrame, overhead: int = 16, old_shards: int = 32) -> DataFram
         "doc_id",
         (F.octet_length(text) + overhead).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int").alias("old"),
+        _present(old_shards).alias("old"),
     )
 
 
@@ -126,50 +135,90 @@ def place(docs: DataFrame, shards: int = 40, overhead: int = 16, old_shards: int
 def _affected(placed: DataFrame) -> list[int]:
     """The shards that gain or lose a document."""
     touched = placed.where("old <> shard")
-    return sorted({r[0] for r in touched.select("shard").union(touched.select("old")).distinct().collect()})
+    return sorted({r[0] for r in touched.select("shard").union(touched.select("old")).distinct().collect()})  # one row a shard
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, int]:
+    """Each shard's version in the store's manifest."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return {}
+    rows = spark.read.schema("shard int, version int").parquet(f"{path}/manifest")
+    return {r["shard"]: r["version"] for r in rows.groupBy("shard").agg(F.max("version").alias("version")).collect()}  # one row a shard
 
 
-def _written(rows: DataFrame, path: str) -> None:
+def commit(rows: DataFrame, path: str, shards: list[int]) -> None:
+    """Writes rows (with shard and slot) as the next version of those shards in the store at path."""
+    spark = rows.sparkSession
+    version = max(_versions(spark, path).values(), default=-1) + 1
     parts = F.pmod(F.xxhash64("slot"), F.lit(16))
-    rows.repartition("shard", parts).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    ordered = rows.repartition("shard", parts).sortWithinPartitions("shard", "slot")
+    ordered.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/files/version={version}")
+    spark.createDataFrame([(s, version) for s in shards], "shard int, version int").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Writes the files of the shards that gain or lose a document (path/shard=N); returns those shards. Files of the others stay as they are."""
-    affected = _affected(placed)
-    docs = docs.drop("shard", "slot")
-    crc, size = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.octet_length(F.coalesce(F.col("text"), F.lit("")))
-    same = lambda crc, size: F.row_number().over(Window.partitionBy("doc_id", crc).orderBy(size))
-    where = placed.select(F.col("doc_id").alias("_doc"), F.col("text_crc32").alias("_crc"), same("text_crc32", "size").alias("_n"), "shard", "slot")
-    docs = docs.withColumn("_own_crc", crc).withColumn("_size", size)
-    docs = docs.withColumn("_own_n", same("_own_crc", "_size"))
-    out = docs.join(where, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own_crc") == F.col("_crc")) & (F.col("_own_n") == F.col("_n")))
-    _written(out.drop("_doc", "_crc", "_n", "_own_crc", "_own_n", "_size").where(F.col("shard").isin(affected)), path)
-    return affected
-
-
-def _located(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _file, _row): rows with names that stay, those of their Parquet files where there are any."""
+def read_shards(spark: SparkSession, path: str, shards: list[int] | None = None) -> DataFrame:
+    """All rows of the store's shards (or of some), each shard in its version of the manifest."""
+    by_version: dict[int, list[int]] = {}
+    for shard, version in _versions(spark, path).items():
+        if shards is None or shard in shards:
+            by_version.setdefault(version, []).append(shard)
+    there = F.lit(False)
+    for version, own in by_version.items():
+        there = there | ((F.col("version") == version) & F.col("shard").isin(own))
+    return spark.read.option("basePath", f"{path}/files").option("mergeSchema", True).parquet(f"{path}/files").where(there).drop("version")
+
+
+def _located(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs (columns `names`) with _file and _row, which name a row for good: its place in its Parquet file, or else in a stored copy."""
     try:
-        return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return docs.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:
-        return kept(pick(docs, "doc_id", "text").select("*", F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row")), "shard-rows")
+        return kept(docs.select(*names, F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row")), "shard-rows")
 
 
-def resharded(docs: DataFrame, path: str, shards: int = 40, overhead: int = 16, old_shards: int = 32) -> DataFrame:
-    """place(), with the affected shards' files written under path and all of their columns read back from there."""
-    docs = _located(docs)
+def _file_names(columns: list[str]) -> list[str | None]:
+    """Names in the files: of such as differ in case alone the later ones get their place as a suffix; None: not written."""
+    out: list[str | None] = []
+    for i, c in enumerate(columns):
+        taken = {n.lower() for n in out if n}
+        out.append(None if c.lower() in ("shard", "slot", "version") else f"{c}_{i}" if c.lower() in taken else c)
+    return out
+
+
+def rewrite(docs: DataFrame, path: str, shards: int = 40, overhead: int = 16, old: Column | None = None, capacities: list[int] | None = None) -> tuple[DataFrame, list[int]]:
+    """Places docs and writes the files of the shards that gain or lose a document to the store at path; the others' files stay as they are.
+
+    old: each row's present shard (from 0), an expression over docs.  Gives
+    (placed, affected): placed(doc_id, size, text_crc32, old, shard, slot) of all
+    rows, those of affected shards read back from their files.
+    """
+    docs = docs.withColumn("_old", (_present(32) if old is None else old).cast("int"))
+    names = _file_names(docs.columns)
+    docs = shielded(docs, "doc_id", "text", "_old")[0]
+    inner = {c: n for c, n in zip(docs.columns, names) if n}
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    size, crc, old = (F.octet_length(text) + overhead).cast("long"), F.crc32(text), F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int")
-    sizes = kept(docs.select("doc_id", "_file", "_row", size.alias("size"), crc.alias("text_crc32"), old.alias("old")), "shard-sizes")
-    placed = kept(reshard(sizes, shards), "placements")
+    size, crc = (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    docs = _located(docs, list(inner))
+    sizes = kept(docs.select("doc_id", "_file", "_row", size, crc, F.col("_old").alias("old")), "shard-sizes")
+    placed = kept(reshard(sizes, shards, capacities), "placements")
     affected = _affected(placed)
     whole = ["doc_id", "size", "text_crc32", "old", "shard", "slot"]
-    out = placed.where(~F.col("shard").isin(affected)).select(whole) if affected else placed.select(whole)
-    if affected:
-        where = placed.where(F.col("shard").isin(affected)).select(F.col("_file").alias("_of"), F.col("_row").alias("_at"), "shard", "slot")
-        moved = docs.join(where, (F.col("_file") == F.col("_of")) & (F.col("_row") == F.col("_at")))
-        _written(moved.select("doc_id", "text", "slot", "shard"), path)
-        back = docs.sparkSession.read.schema("doc_id " + dict(docs.dtypes)["doc_id"] + ", text string, slot long, shard int").parquet(path)
-        out = out.union(back.select("doc_id", size.alias("size"), crc.alias("text_crc32"), old.alias("old"), "shard", "slot"))
-    return out.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+    if not affected:
+        return placed.select(whole), affected
+    where = placed.where(F.col("shard").isin(affected)).select(F.col("_file").alias("_of"), F.col("_row").alias("_at"), "shard", "slot")
+    moved = docs.join(where, (F.col("_file") == F.col("_of")) & (F.col("_row") == F.col("_at")))
+    commit(moved.select(*[F.col(c).alias(n) for c, n in inner.items()], "slot", "shard"), path, affected)
+    back = read_shards(docs.sparkSession, path, affected).select("doc_id", size, crc, F.col("_old").alias("old"), F.col("shard").cast("int").alias("shard"), "slot")
+    return placed.where(~F.col("shard").isin(affected)).select(whole).union(back), affected
+
+
+def _present(shards: int) -> Column:
+    """The present layout where none is told: a hash of doc_id."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+
+
+def resharded(docs: DataFrame, path: str, shards: int = 40, overhead: int = 16, old_shards: int = 32) -> DataFrame:
+    """rewrite() from a layout by a hash of doc_id over old_shards, with law and grown_shard."""
+    placed, _ = rewrite(docs, path, shards, overhead, _present(old_shards))
+    return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
