@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import kept, pick
@@ -35,10 +35,14 @@ from .tables import kept, pick
 LEVELS = 6
 
 
+def finite(vector: str) -> Column:
+    """Whether there is a vector and all of its components are finite."""
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     """Rows with vectors of finite components."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.where(F.col(vector).isNotNull() & ~bad)
+    return rows.where(finite(vector))
 
 
 def integers(rows: DataFrame, scale: int = 256) -> DataFrame:
