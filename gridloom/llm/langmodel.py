@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import kept, pick
-from .text import Chunk, U64, avalanche, chunks
+from .text import Chunk, U64, avalanche, begin, chunks, sliced
 
 END = U64(0x656E64206F662074)
 PROBES = 4
@@ -163,6 +163,7 @@ def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, range_byte
     shift = 64 - bits
 
     def map_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         held: list[list[np.ndarray]] = [[], []]
 
         def flush() -> pa.RecordBatch:
@@ -183,10 +184,10 @@ def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, range_byte
                 held[1].append(pair_hashes(tokens, of))
                 n += len(tokens)
                 if n >= FLUSH:
-                    yield flush()
+                    yield from sliced(flush())
                     n = 0
         if n:
-            yield flush()
+            yield from sliced(flush())
 
     def reduce_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(at: int, held: list[list]) -> pa.RecordBatch:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import components, hot_join, if_few, kept, pick, shielded
-from .text import U64, avalanche, binaries, chunks, fixed_binaries, shingle_sets
+from .text import U64, avalanche, begin, binaries, chunks, fixed_binaries, shingle_sets, sliced
 
 #: Bits of the sketches that travel with bucket rows.
 SMALL_BITS = 2048
@@ -101,6 +101,7 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 def _classes(docs: DataFrame, k: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 got = []
@@ -119,6 +120,7 @@ def _buckets(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int
     bits = max(4, math.ceil(math.log2(max(1, text_bytes / range_bytes))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         signs: list[np.ndarray] = []
         sets: list[np.ndarray] = []
         seen: set[bytes] = set()
@@ -146,10 +148,10 @@ def _buckets(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int
                     sets.append(np.tile(np.frombuffer(name, dtype="<u8"), (len(signs[-1]), 1)))
                     n += len(signs[-1])
                 if n >= flush:
-                    yield out()
+                    yield from sliced(out())
                     signs, sets, seen, n = [], [], set(), 0
         if n:
-            yield out()
+            yield from sliced(out())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(at: int, held: list) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import kept, pick, shielded
-from .text import Chunk, U64, avalanche, chunks, windows
+from .text import Chunk, U64, avalanche, begin, chunks, windows
 
 #: Bytes that are counted apart.
 MARKS = "|*&%$#!?.,;:-_=+<>{}[]()/\\@\"'"
@@ -204,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6000
     chosen = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("_quality", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             quality = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
@@ -229,6 +230,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             parts = [sent.value.score(merged(features(chunk, sent.value.buckets))) for chunk in chunks(batch.column(batch.schema.get_field_index("text")))]
             yield batch.append_column("_score", pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64()))

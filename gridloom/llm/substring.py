@@ -11,9 +11,14 @@ A shard's task streams these runs through a suffix automaton over words: a run
 whose matching statistics reach `length` everywhere is known, any other is
 added to the automaton.  Then it streams them once more and counts how often
 each state of match length `length` is reached; windows of states reached more
-than once are the repeated ones, and their maximal spans go back to the
-documents.  Automata are not broadcast but fed by that routing: sending every
-shard to every document would cost shards times corpus.
+than once are the repeated ones.
+
+Where all shards' automata together are small (`most_broadcast` bytes, of which
+the runs' words are a lower bound that is looked at first), they are broadcast,
+and the documents with repeated anchors stream through each of them for their
+matching statistics (`streamed`).  Beyond it the runs themselves are what meets
+the automaton, in the shard's own task (`spans`): sending every shard to every
+document would cost shards times corpus.  Both give the same maximal spans.
 
 A first document whose anchors occur so often that its runs might exceed a shard
 (a passage or family that many documents share) has no automaton: its windows
@@ -30,6 +35,8 @@ its outputs' names (n_words, n_removed, kept_text).
 from __future__ import annotations
 
 import math
+import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import kept, shielded
-from .text import U64, avalanche, binaries, chunks, windows
+from .tables import hot_join, kept, shielded
+from .text import U64, avalanche, begin, binaries, chunks, windows
 
 ANCHOR = 16
 #: Distinct repeated windows (16 bytes each) that may be broadcast, and words that are cut into windows at a time.
 FEW_WINDOWS, CUT = 1_000_000, 500_000
+#: Bytes of all automata together that may be broadcast.
+MOST_BROADCAST = 8 << 20
 
 
 def _least(values: np.ndarray, k: int, pick) -> np.ndarray:
@@ -155,6 +164,7 @@ def routed(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 starts, ends, of = chunk.words()
@@ -181,11 +191,11 @@ def routed(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
 
     found = rows.select("uid", "text").mapInArrow(anchors, "anchor long, uid long, many int")
     found = kept(found, "anchors")
-    shared = found.groupBy("anchor").agg(F.sum("many").alias("many"), F.min("uid").alias("home")).where("many > 1")
+    shared = found.groupBy("anchor").agg(F.sum("many").alias("many"), F.min("uid").alias("home"), F.count("*").alias("docs")).where("many > 1")
     # Each place of an anchor lies in length - ANCHOR + 1 windows at most, and each run adds length - 1 words.
     words = F.sum("many").over(Window.partitionBy("home")) * (2 * length - ANCHOR)
-    shared = shared.select(F.col("anchor").alias("_anchor"), F.when(words > shard_words, -2 - F.col("home")).otherwise(F.col("home")).alias("home"))
-    of_doc = found.join(shared, F.col("anchor") == F.col("_anchor")).groupBy("uid").agg(F.collect_list(F.struct("anchor", "home")).alias("known"))
+    shared = shared.select(F.col("anchor").alias("_anchor"), F.when(words > shard_words, -2 - F.col("home")).otherwise(F.col("home")).alias("home"), "docs")
+    of_doc = hot_join(found, shared, "anchor", "_anchor", "docs", found.count()).groupBy("uid").agg(F.collect_list(F.struct("anchor", "home")).alias("known"))
     texts = rows.select(F.col("uid").alias("_uid"), "text").join(of_doc, F.col("_uid") == F.col("uid")).select("uid", "text", "known")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +296,82 @@ def counted(runs: DataFrame, length: int) -> DataFrame:
     return runs.mapInArrow(marked, schema)
 
 
-def spans(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
+#: Bytes that an automaton takes for each word at least, pickled.
+WORD_BYTES = 60
+
+
+def streamed(rows: DataFrame, runs: DataFrame, length: int, shards: int, most_broadcast: int) -> DataFrame | None:
+    """(uid, first, end) of the repeated windows of rows(uid, text), by the broadcast automata of runs(home, uid, words); None if they are too large."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(at: int, held: dict[bytes, int]) -> pa.RecordBatch:
+            machine, counts = Automaton(), Counter()
+            every = [(np.frombuffer(w, dtype="<u8").tolist(), n) for w, n in held.items()]
+            for words, _ in every:
+                if -1 in machine.states(words, length):
+                    machine.add(words)
+            for words, n in every:
+                for state in machine.states(words, length):
+                    counts[state] += n
+            data = pickle.dumps((machine.next, machine.link, machine.size, {state for state, n in counts.items() if n > 1}))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["shard", "data"])
+
+        at, held = None, Counter()
+        for batch in batches:
+            for shard, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if shard != at:
+                    if held:
+                        yield close(at, held)
+                    at, held = shard, Counter()
+                held[words] += 1
+        if held:
+            yield close(at, held)
+
+    shard = F.pmod(F.xxhash64(F.greatest("home", -2 - F.col("home"))), F.lit(shards)).cast("int").alias("shard")
+    built = kept(runs.select(shard, "words").repartition("shard").sortWithinPartitions("shard").mapInArrow(learn, "shard int, data binary"), "automata")
+    if (built.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0) > most_broadcast:
+        return None
+    sent = rows.sparkSession.sparkContext.broadcast([bytes(r["data"]) for r in built.collect()])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = []
+        for data in sent.value:
+            machine = Automaton()
+            machine.next, machine.link, machine.size, repeats = pickle.loads(data)
+            machines.append((machine, repeats))
+        for batch in batches:
+            for chunk in chunks(batch.column(1)):
+                starts, ends, of = chunk.words()
+                every = chunk.hashes(starts, ends, lower=False).tolist() if len(starts) else []
+                out: list[list] = [[], [], []]
+                for i in range(len(chunk)):
+                    words = every[of[i] : of[i + 1]]
+                    hit = np.zeros(max(0, len(words) - length + 1), dtype=bool)
+                    for machine, repeats in machines:
+                        hit |= np.fromiter((state in repeats for state in machine.states(words, length)), dtype=bool, count=len(hit))
+                    turn = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
+                    uid = batch.column(0)[chunk.first + i].as_py()
+                    for a, b in zip(turn[::2], turn[1::2]):
+                        for own, value in zip(out, (uid, a, b - 1 + length)):
+                            own.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["uid", "first", "end"])
+
+    asked = F.broadcast(runs.select(F.col("uid").alias("_of")).distinct())  # not more than there are runs, whose words are bounded
+    found = kept(rows.select("uid", "text").join(asked, F.col("uid") == F.col("_of"), "left_semi").mapInArrow(stream, "uid long, first long, end long"), "streamed")
+    sent.destroy()
+    return found
+
+
+def spans(rows: DataFrame, length: int, shard_words: int, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(uid, spans: array of (first word, end)) of the words of rows(uid, text) that repeated windows cover."""
     every = routed(rows, length, shard_words)
     size = every.groupBy(F.col("home") < 0).agg(F.sum(F.octet_length("words"))).collect()  # two rows
     words = {many: n // 8 for many, n in size}
+    together = sum(words.values())
+    if together * WORD_BYTES <= most_broadcast:
+        got = streamed(rows, every, length, max(1, math.ceil(together / shard_words)), most_broadcast)
+        if got is not None:
+            return got.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
     runs = every.where("home >= 0")
     shards = max(1, math.ceil(words.get(False, 0) / shard_words))
     # Runs of the same words are one, with the number of its places.
@@ -330,17 +411,18 @@ def spans(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
     return got.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
 
 
-def dedup(docs: DataFrame, length: int = 35, shard_words: int = 120_000) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 35, shard_words: int = 120_000, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """docs with n_words, n_removed, and kept_text: the words that no repeated window covers, joined by one space."""
     docs, restored = shielded(docs.drop("n_words", "n_removed", "kept_text"), "text")
     rows = docs.withColumn("_uid", F.monotonically_increasing_id())
     rows = kept(rows, "numbered")
-    found = spans(rows.select(F.col("_uid").alias("uid"), "text"), length, shard_words)
+    found = spans(rows.select(F.col("_uid").alias("uid"), "text"), length, shard_words, most_broadcast)
     joined = rows.join(found.withColumnRenamed("uid", "_of"), F.col("_uid") == F.col("_of"), "left").drop("_uid", "_of")
     fields = joined.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).drop("spans").schema
     column = joined.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             n, gone, texts = [], [], []
             spans_ = batch.column(batch.num_columns - 1)

@@ -15,7 +15,8 @@ from ..plans.scratch import scope, stored
 __all__ = ["components", "hot_join", "if_few", "kept", "pick", "running", "scope", "scratch", "shared_path", "shielded"]
 
 #: Bytes of rows that go to a Python worker at a time, unless the session says otherwise: a batch of long texts is as small as one of short ones.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+#: Each task's batches are native memory of the executor, which it does not give back.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +45,7 @@ def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataF
 
 
 #: Bytes of a table that may be broadcast; more are joined by a shuffle.
-FEW_BYTES = 32 << 20
+FEW_BYTES = 16 << 20
 
 
 def row_bytes(df: DataFrame) -> Column:

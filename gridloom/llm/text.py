@@ -12,7 +12,7 @@ BLAKE2 instead.  Different words differ but for a chance of about 2**-64, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -31,6 +31,14 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 CHUNK_BYTES, SHORT = 1 << 18, 32
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _powers: dict[int, np.ndarray] = {}
+#: How to drop what a worker keeps for its next task, by name: done once other work begins there.
+spare: dict[str, Callable[[], None]] = {}
+
+
+def begin(keeps: str | None = None) -> None:
+    """At the start of a task's work: drops what earlier work has kept, but for `keeps`."""
+    for name in [n for n in spare if n != keeps]:
+        spare.pop(name)()
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -148,6 +156,13 @@ def shingle_sets(chunk: Chunk, k: int) -> Iterator[tuple[int, np.ndarray]]:
         yield chunk.first + i, own
 
 
+def sliced(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes."""
+    rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def fixed_binaries(values: np.ndarray) -> pa.Array:
     """The rows of a contiguous array as a binary column."""
     each = values.nbytes // len(values) if len(values) else 0

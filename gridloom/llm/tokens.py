@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import pick
-from .text import Chunk, chunks
+from .text import Chunk, chunks, spare
 
 #: The blanks of Unicode outside ASCII, in UTF-8.
 WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -109,10 +109,11 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, blanks: bool) -> Encoder:
-    """One a worker, kept for the next task of the same vocabulary."""
+    """One a worker, kept for the next task of the same vocabulary; other work in the same worker has it dropped."""
     if (path, blanks) not in _encoders:
         _encoders.clear()
         _encoders[path, blanks] = Encoder(path, blanks)
+    spare["encoders"] = _encoders.clear
     return _encoders[path, blanks]
 
 

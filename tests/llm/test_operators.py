@@ -153,10 +153,25 @@ def test_top_k(embeddings, few):
     ints = tables.kept(topk.integers(embeddings), "ints")
     got = topk.search(topk.build(ints, 90), ints.where("vec_id % 50 = 0"), 5, query_block=4, few=few)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+    again = topk.search(topk.build(ints, 7), ints.where("vec_id % 50 = 0"), 5, query_block=1000, few=few)
+    assert sorted(map(tuple, again.collect())) == sorted(want)
     assert topk.top_k(embeddings.limit(0)).count() == 0
     assert topk.top_k(embeddings.where("vec_id in (0, 3)")).count() == 1
 
 
+def test_top_k_of_odd_vectors(spark):
+    """Vectors of no component score 0, repeated rows are rows, great components are exact, a query alone finds nothing."""
+    rows = [(0, []), (1, [1.0]), (2, [1.0]), (2, [1.0]), (50, [1e6, -2.0]), (3, [-1e6, 3.0])]
+    ints = {i: [np.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        scored = sorted((-int(sum(int(a) * int(b) for a, b in zip(ints[q], [int(x) for x in ints[c]]))), c) for c, _ in rows if c != q)[:5]
+        want += [(q, k, c, -s) for k, (s, c) in enumerate(scored, 1)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_size=2)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert topk.top_k(spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_vector_dedup(embeddings, monkeypatch):
     monkeypatch.setattr(vector_dedup, "PART", 3)
     rows = vectors()
@@ -429,8 +444,9 @@ def test_flow_moves_the_fewest_bytes():
         assert sum(v for (i, j), v in flow.items() if i != j) == sum(supply) - stay
 
 
-@pytest.mark.parametrize("shard_words", [50, 120_000])
-def test_substring(docs, none, shard_words):
+@pytest.mark.parametrize("shard_words, broadcast", [(50, 0), (50, 1 << 23), (120_000, 0), (120_000, 1 << 23), (120_000, 1 << 19)])
+def test_substring(docs, none, shard_words, broadcast):
+    """Routed runs, broadcast automata, and automata that turn out too large to be broadcast."""
     rows = documents()
     spoken, counts = [words_of(r[1]) for r in rows], Counter()
     for w in spoken:
@@ -442,7 +458,7 @@ def test_substring(docs, none, shard_words):
             if counts[tuple(w[i : i + 35])] > 1:
                 gone.update(range(i, i + 35))
         want[r[0], len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()] += 1
-    got = substring.dedup(docs, 35, shard_words).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("h")).collect()
+    got = substring.dedup(docs, 35, shard_words, broadcast).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("h")).collect()
     assert Counter(map(tuple, got)) == want
     assert substring.dedup(none).count() == 0
     assert substring.without_repeats(docs).columns == docs.columns
@@ -462,7 +478,7 @@ def test_no_home_of_runs_exceeds_a_shard(spark, monkeypatch):
     want = {i: sum(any(counts[tuple(w[k : k + 35])] > 1 for k in range(max(0, at - 34), min(at, len(w) - 35) + 1)) for at in range(len(w))) for i, w in spoken}
     for most, few in ((4000, 1_000_000), (4000, 0), (120_000, 0)):
         monkeypatch.setattr(substring, "FEW_WINDOWS", few)
-        got = substring.dedup(texts.withColumnRenamed("uid", "doc_id"), 35, most).collect()
+        got = substring.dedup(texts.withColumnRenamed("uid", "doc_id"), 35, most, 0).collect()
         assert {r.doc_id: r.n_removed for r in got} == want
 
 
