@@ -195,6 +195,7 @@ def routed(rows: DataFrame, length: int, shard_words: int) -> DataFrame:
     # Each place of an anchor lies in length - ANCHOR + 1 windows at most, and each run adds length - 1 words.
     words = F.sum("many").over(Window.partitionBy("home")) * (2 * length - ANCHOR)
     shared = shared.select(F.col("anchor").alias("_anchor"), F.when(words > shard_words, -2 - F.col("home")).otherwise(F.col("home")).alias("home"), "docs")
+    shared = kept(shared, "shared-anchors")
     of_doc = hot_join(found, shared, "anchor", "_anchor", "docs", found.count()).groupBy("uid").agg(F.collect_list(F.struct("anchor", "home")).alias("known"))
     texts = rows.select(F.col("uid").alias("_uid"), "text").join(of_doc, F.col("_uid") == F.col("uid")).select("uid", "text", "known")
 

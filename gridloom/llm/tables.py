@@ -44,8 +44,8 @@ def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataF
     return df.toDF(*inner), restored
 
 
-#: Bytes of a table that may be broadcast; more are joined by a shuffle.
-FEW_BYTES = 16 << 20
+#: Bytes of hot keys, and of a whole table, that may be broadcast; more are joined by a shuffle.
+FEW_BYTES, MOST_BYTES = 16 << 20, 32 << 20
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -59,10 +59,10 @@ def row_bytes(df: DataFrame) -> Column:
     return size
 
 
-def if_few(df: DataFrame, most: int | None = None) -> DataFrame:
+def if_few(df: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """df with a broadcast hint if its rows take at most `most` bytes; df should be cheap to read (a kept table)."""
     size = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("n")).first()["n"]
-    return F.broadcast(df) if size <= (FEW_BYTES if most is None else most) else df
+    return F.broadcast(df) if size <= most else df
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, own: str, weight: str, total: int, each: int | None = 64) -> DataFrame:
