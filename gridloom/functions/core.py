@@ -92,15 +92,18 @@ def JOIN(*args: object) -> Value:
     return Value(F.concat(*[v.text for v in vs]), "text", vs[0].error(*vs[1:]))
 
 
-def IF(condition: object, then: object = None, otherwise: object = None, eager: bool = False) -> Value:
-    """Branches of one kind keep it, else the result is text. eager: an error in either branch is the result, as where all arguments are evaluated first."""
+def IF(condition: object, then: object = None, otherwise: object = None, eager: bool = True) -> Value:
+    """Branches of one kind keep it, else the result is text. All arguments are evaluated first, so an error in either branch is the result; with eager off only the chosen branch's is."""
     c, a, b = Value.of(condition), Value.of(then), Value.of(otherwise)
-    kinds = {v.kind for v in (a, b)} - {"empty"}
-    kind = kinds.pop() if len(kinds) == 1 else "text" if kinds else "empty"
+    kinds = {(v.kind, v.handler.tag if v.handler else None) for v in (a, b) if v.kind != "empty"}
+    handler = next((v.handler for v in (a, b) if v.handler is not None), None) if len(kinds) == 1 else None
+    kind = kinds.pop()[0] if len(kinds) == 1 else "text" if kinds else "empty"
 
     def as_(v: Value) -> Column:
         if kind == "text":
             return v.text if v.kind != "text" else v.col
+        if kind == "custom":
+            return F.lit(None) if v.kind == "empty" else v.col
         return v.col.cast({"number": "double", "boolean": "boolean"}.get(kind, "double"))
 
     out = F.when(c.truth, as_(a)).otherwise(as_(b))
@@ -108,4 +111,4 @@ def IF(condition: object, then: object = None, otherwise: object = None, eager:
     if not eager and (a.err is not None or b.err is not None or c.err is not None):
         none = F.lit(None).cast("string")
         err = F.coalesce(c.err if c.err is not None else none, F.when(c.truth, a.err if a.err is not None else none).otherwise(b.err if b.err is not None else none))
-    return Value(out, kind, err)
+    return Value(out, kind, err, handler)

@@ -16,24 +16,39 @@ from .values import VALUE, Value
 
 
 class CustomType:
-    """All methods are optional; each takes and gives Columns. None declines."""
+    """All methods are optional. None declines."""
 
     tag = "custom"
 
+    @property
+    def numeric(self) -> bool:
+        """Whether number() can give one."""
+        return type(self).number is not CustomType.number
+
     def parse(self, text: Column) -> Column | None:
         """The canonical data of a text that is a literal of this type, NULL for others."""
 
+    def parse_with(self, text: Column, fmt: str) -> Column | None:
+        """The data of a text by a format."""
+
     def display(self, data: Column) -> Column:
-        return data
+        return data.cast("string")
+
+    def edit_text(self, data: Column) -> Column:
+        """What an editor shows: a text that parse() reads as the same data."""
+        return data.cast("string")
 
     def number(self, data: Column) -> Column:
         return F.lit(None).cast("double")
 
-    def binary(self, op: str, left: Value, right: Value) -> Column | None:
-        """The data of left op right."""
+    def binary(self, op: str, left: Value, right: Value) -> Value | Column | None:
+        """left op right: a Value, or a Column of this type's data."""
 
-    def compare(self, left: Column, right: Column) -> Column | None:
-        """-1, 0 or 1; without it two values are equal if their data are."""
+    def compare(self, left: Value, right: Value) -> Column | None:
+        """-1, 0 or 1, NULL where neither comes first and they differ. Where all decline, two values are equal if their types and data are, and have no order."""
+
+    def mismatch(self, left: Value, right: Value) -> Column | None:
+        """The error text of a comparison that cannot be made, NULL where it can."""
 
 
 class Registry:
@@ -66,6 +81,19 @@ class Registry:
         """struct<value, error>; an unknown name raises KeyError (#NAME?)."""
         return self.functions[name.upper()](*[a.col if isinstance(a, Value) else a for a in args])
 
+    def over(self, df: DataFrame, name: str, f: Callable[[pd.DataFrame], object], returns: str, *keys: str) -> DataFrame:
+        """A function of whole ranges: f of the rows of each group of keys (which one task holds), as columns keys, `name` and error."""
+        schema = ", ".join([*[f"{k} {dict(df.dtypes)[k]}" for k in keys], f"{name} {returns}", "error string"])
+
+        def safe(rows: pd.DataFrame) -> pd.DataFrame:
+            try:
+                value, error = f(rows), None
+            except Exception as e:  # the cell shows it
+                value, error = None, f"{VALUE} {e}"
+            return pd.DataFrame([[*rows[list(keys)].iloc[0], value, error]], columns=[*keys, name, "error"]).astype({k: rows[k].dtype for k in keys})
+
+        return df.groupBy(*keys).applyInPandas(safe, schema)
+
     def literal(self, text: Column) -> Column:
         """struct<tag, data> by the first type that reads the text, NULL if none does."""
         out = F.lit(None).cast("struct<tag:string,data:string>")
@@ -75,12 +103,17 @@ class Registry:
                 out = F.when(data.isNotNull(), F.struct(F.lit(handler.tag).alias("tag"), data.alias("data"))).otherwise(out)
         return out
 
-    def binary(self, op: str, left: Value, right: Value) -> Column:
-        for handler in self.types.values():
-            data = handler.binary(op, left, right)
-            if data is not None:
-                return data
-        raise TypeError(f"no type takes {op}")
+    def value(self, tag: str, data: Column) -> Value:
+        """Data of a type as a value, whose operators ask its handler."""
+        return Value(data, "custom", None, self.types[tag])
+
+    def read(self, tag: str, text: Column, fmt: str | None = None) -> Value:
+        """A text as a value of one type, by its literals or by a format; #VALUE! where it reads as none."""
+        handler = self.types[tag]
+        data = handler.parse(text) if fmt is None else handler.parse_with(text, fmt)
+        if data is None:
+            raise TypeError(f"{tag} reads no texts")
+        return Value(data, "custom", F.when(text.isNotNull() & data.isNull(), VALUE), handler)
 
 
 def aggregate(df: DataFrame, columns: list[str], partial: Callable[[pd.DataFrame], pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -1,18 +1,29 @@
 """Spreadsheet values on Spark columns: typed columns with the sheet's coercions.
 
-A Value is a Column with a static kind (number, text, boolean, empty) and, once
-an operation can fail, an error column beside it.  NULL stands for the empty
+A Value is a Column with a static kind (number, text, boolean, empty, custom) and,
+once an operation can fail, an error column beside it.  NULL stands for the empty
 cell.  All rules are Column expressions, so Catalyst sees the whole formula.
+
+A custom value has a handler (a custom.CustomType; dates, spans and quantities
+have theirs in types.py).  Handlers are asked first for operators and
+comparisons, the left side's and then the right one's; what both decline goes by
+the handlers' numbers, as for any other value.
 """
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    from .custom import CustomType
+
 #: The texts of error values.
 DIV0, NA, REF, NAME, VALUE, SIZE, SPILL, CIRCULAR, LOADING = "#DIV/0!", "#N/A", "#REF!", "#NAME?", "#VALUE!", "#SIZE!", "#SPILL!", "#CIRCULAR!", "#LOADING!"
 
@@ -37,13 +48,33 @@ def literal(c: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind == "number", number).alias("num"), F.when(plain, c).alias("str"), F.when(kind == "boolean", logical).alias("bool"))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x evaluated once and standing once in the plan, however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def render_number(x: Column) -> Column:
-    """Shortest digits without an exponent; exact for 1e-3 <= |x| < 1e15 and whole numbers below 2**53."""
-    whole = (x == F.rint(x)) & (F.abs(x) < 2.0**53)
-    plain = F.regexp_replace(x.cast("string"), r"\.0$", "")
-    spread = F.regexp_replace(x.cast("string").try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    """The double's shortest digits without an exponent."""
     named = F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-    return F.coalesce(named, F.when(whole, F.when((x == 0) & (F.signum(1 / F.nullif(x, F.lit(0.0))) < 0), "-0").otherwise(x.try_cast("long").cast("string"))), F.when((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7), plain).otherwise(spread))
+    whole = (x == F.rint(x)) & (F.abs(x) < 2.0**53) & (x != 0)
+    middle = (F.abs(x) >= 1e-3) & (F.abs(x) < 1e7)
+
+    def shortest(v: Column) -> Column:
+        """As 1.25e-07: with 15 digits, or 16, if these read back as the number; the JVM's own text can have more than are needed."""
+        texts = [F.format_string(f"%.{n}e", v) for n in (14, 15, 16)]
+        return F.when(texts[0].try_cast("double") == v, texts[0]).when(texts[1].try_cast("double") == v, texts[1]).otherwise(texts[2])
+
+    def spread(t: Column) -> Column:
+        """The digits with the point moved by the exponent."""
+        shape = r"^(-?)([0-9])\.([0-9]+?)0*e([+-][0-9]+)$"
+        sign, first, rest, power = (F.regexp_extract(t, shape, i) for i in (1, 2, 3, 4))
+        digits, power = F.concat(first, F.when(rest == "0", "").otherwise(rest)), power.try_cast("int")
+        small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        large = F.concat(sign, F.substring(F.rpad(digits, 400, "0"), F.lit(1), F.greatest(power + 1, F.lit(0))), F.when(F.length(digits) > power + 1, F.concat(F.lit("."), F.substring(digits, power + 2, F.lit(400)))).otherwise(""))
+        return F.when(power < 0, small).otherwise(large)
+
+    plain = F.regexp_replace(x.cast("string"), r"\.0$", "")
+    return F.coalesce(named, F.when(x.isNull(), None).when(whole, x.try_cast("long").cast("string")).when(middle | (x == 0), plain).otherwise(let(let(x, shortest), spread)))
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -58,6 +89,10 @@ def kind_of(data_type: T.DataType) -> str:
     return "custom"
 
 
+def _unlike(order: Column) -> Column:
+    return order != 0
+
+
 @dataclass(eq=False)
 class Value:
     """A typed column of a sheet; operators follow the sheet's rules and keep to expressions."""
@@ -65,6 +100,7 @@ class Value:
     col: Column
     kind: str
     err: Column | None = None
+    handler: CustomType | None = None
 
     @staticmethod
     def of(x: object) -> Value:
@@ -78,6 +114,10 @@ class Value:
             return Value(F.lit(float(x)), "number")
         if isinstance(x, str):
             return Value(F.lit(x), "text")
+        if isinstance(x, (datetime.date, datetime.datetime)):
+            from .types import of_data_type
+
+            return of_data_type(F.lit(x), T.DateType() if type(x) is datetime.date else T.TimestampNTZType())
         raise TypeError(f"a formula cannot hold {type(x).__name__}")
 
     # ---- coercions
@@ -91,10 +131,17 @@ class Value:
             got = self.col.cast("double")
         elif self.kind == "text":
             got = text_number(self.col)
+        elif self.handler is not None:
+            got = self.handler.number(self.col).cast("double")
         else:
             got = F.lit(None).cast("double")
         return got if self.err is None else F.when(self.err.isNull(), got)
 
+    @property
+    def numeric(self) -> bool:
+        """Whether the kind has numbers at all; a text may."""
+        return self.kind in ("number", "boolean", "text") or self.handler is not None and self.handler.numeric
+
     @property
     def truth(self) -> Column:
         """Number not 0 (NaN is true), text not empty, boolean; empty and errors are false."""
@@ -105,7 +152,7 @@ class Value:
         elif self.kind == "boolean":
             got = self.col
         else:
-            got = F.lit(self.kind == "custom")
+            got = self.col.isNotNull() if self.kind == "custom" else F.lit(False)
         got = F.coalesce(got, F.lit(False))
         return got if self.err is None else got & self.err.isNull()
 
@@ -118,6 +165,8 @@ class Value:
             got = F.when(self.col, "TRUE").when(~self.col, "FALSE")
         elif self.kind == "empty":
             got = F.lit("")
+        elif self.handler is not None:
+            got = self.handler.display(self.col)
         else:
             got = self.col.cast("string")
         got = F.coalesce(got, F.lit(""))
@@ -129,19 +178,34 @@ class Value:
 
     # ---- arithmetic
 
-    def _arith(self, other: object, f, fail: Column | None = None) -> Value:
+    def _asked(self, op: str, other: Value) -> Value | None:
+        """What the handlers make of self op other; None if there are none or they decline."""
+        for v in (self, other):
+            if v.handler is not None and (out := v.handler.binary(op, self, other)) is not None:
+                out = out if isinstance(out, Value) else Value(out, "custom", None, v.handler)
+                err = self.error(other, out)
+                return Value(out.col if err is None else F.when(err.isNull(), out.col), out.kind, err, out.handler)
+        return None
+
+    def _arith(self, op: str, other: object, f, fail: Callable[[Value], Column] | None = None) -> Value:
         other = Value.of(other)
+        if (out := self._asked(op, other)) is not None:
+            return out
+        if not (self.numeric and other.numeric):  # nothing to count with
+            return Value(F.lit(None).cast("double"), "number", self.error(other))
         err = self.error(other)
         if fail is not None:
-            err = fail if err is None else F.coalesce(err, fail)
+            err = fail(other) if err is None else F.coalesce(err, fail(other))
         out = f(self.number, other.number)
         return Value(out if err is None else F.when(err.isNull(), out), "number", err)
 
     def __add__(self, other: object) -> Value:
         """Sum of numbers; if a side can be text the result is text: the rendered sum, or both texts joined where a side is no number."""
         other = Value.of(other)
-        if {self.kind, other.kind} <= {"number", "boolean"}:
-            return self._arith(other, lambda a, b: a + b)
+        if all(v.numeric and v.kind != "text" for v in (self, other)):
+            return self._arith("+", other, lambda a, b: a + b)
+        if (out := self._asked("+", other)) is not None:
+            return out
         both = self.number + other.number
         return Value(F.when(both.isNotNull(), render_number(both)).otherwise(F.concat(self.text, other.text)), "text", self.error(other))
 
@@ -149,31 +213,30 @@ class Value:
         return Value.of(other) + self
 
     def __sub__(self, other: object) -> Value:
-        return self._arith(other, lambda a, b: a - b)
+        return self._arith("-", other, lambda a, b: a - b)
 
     def __rsub__(self, other: object) -> Value:
         return Value.of(other) - self
 
     def __mul__(self, other: object) -> Value:
-        return self._arith(other, lambda a, b: a * b)
+        return self._arith("*", other, lambda a, b: a * b)
 
     def __rmul__(self, other: object) -> Value:
         return Value.of(other) * self
 
     def __truediv__(self, other: object) -> Value:
-        other = Value.of(other)
-        zero = F.when(self.number.isNotNull() & (other.number == 0), DIV0)
-        return self._arith(other, lambda a, b: a / F.nullif(b, F.lit(0.0)), zero)
+        zero = lambda other: F.when(self.number.isNotNull() & (other.number == 0), DIV0)
+        return self._arith("/", other, lambda a, b: a / F.nullif(b, F.lit(0.0)), zero)
 
     def __rtruediv__(self, other: object) -> Value:
         return Value.of(other) / self
 
     def __pow__(self, other: object) -> Value:
-        return self._arith(other, F.pow)
+        return self._arith("^", other, F.pow)
 
     def __mod__(self, other: object) -> Value:
         """Sign of the dividend; modulo 0 is NaN."""
-        return self._arith(other, lambda a, b: F.when(a.isNull(), None).when(b == 0, F.lit(float("nan"))).otherwise(a % F.nullif(b, F.lit(0.0))))
+        return self._arith("%", other, lambda a, b: F.when(a.isNull(), None).when(b == 0, F.lit(float("nan"))).otherwise(a % F.nullif(b, F.lit(0.0))))
 
     def __neg__(self) -> Value:
         return Value(-self.number, "number", self.err)
@@ -184,6 +247,8 @@ class Value:
     def join(self, other: object) -> Value:
         """The & operator: both displayed texts, one after the other."""
         other = Value.of(other)
+        if (out := self._asked("&", other)) is not None:
+            return out
         return Value(F.concat(self.text, other.text), "text", self.error(other))
 
     # ---- comparison
@@ -211,17 +276,31 @@ class Value:
             return -b._order(a)
         raise TypeError(f"no order between {a.kind} and {b.kind}")
 
+    def _alike(self, other: Value) -> Column | None:
+        """_order() of two values of which one is custom, NULL where neither comes first and they differ; both empty are alike."""
+        for v in (self, other):
+            if v.handler is not None and (out := v.handler.compare(self, other)) is not None:
+                return F.when(self.col.isNull() & other.col.isNull(), 0).otherwise(out)
+        same = self.handler is not None and other.handler is not None and self.handler.tag == other.handler.tag
+        return F.when(self.col.eqNullSafe(other.col), 0) if same else F.when(self.col.isNull() & other.col.isNull(), 0)
+
     def _compare(self, other: object, test) -> Value:
         other = Value.of(other)
         err = self.error(other)
-        out = test(self._order(other))
+        if "custom" in (self.kind, other.kind):
+            failed = next((f for v in (self, other) if v.handler is not None and (f := v.handler.mismatch(self, other)) is not None), None)
+            if failed is not None:
+                err = failed if err is None else F.coalesce(err, failed)
+            out = F.coalesce(test(self._alike(other)), F.lit(test is _unlike))
+        else:
+            out = test(self._order(other))
         return Value(out if err is None else F.when(err.isNull(), out), "boolean", err)
 
     def __eq__(self, other: object) -> Value:  # type: ignore[override]
         return self._compare(other, lambda o: o == 0)
 
     def __ne__(self, other: object) -> Value:  # type: ignore[override]
-        return self._compare(other, lambda o: o != 0)
+        return self._compare(other, _unlike)
 
     def __lt__(self, other: object) -> Value:
         return self._compare(other, lambda o: o < 0)
@@ -238,7 +317,8 @@ class Value:
     __hash__ = None  # type: ignore[assignment]
 
     def out(self, name: str) -> Column:
-        """For select(): the value, or the error's text in a text column if it can fail."""
-        if self.err is None:
+        """For select(): the value, or the error's text in a text column if it can fail; a custom value's displayed text."""
+        if self.err is None and self.handler is None:
             return self.col.alias(name)
-        return F.coalesce(self.err, self.text if self.kind != "text" else self.col).alias(name)
+        shown = self.text if self.kind != "text" else self.col
+        return (shown if self.err is None else F.coalesce(self.err, shown)).alias(name)
