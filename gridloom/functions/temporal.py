@@ -7,21 +7,26 @@ zoned     STRUCT<utc TIMESTAMP_NTZ, tz STRING>: the instant in UTC and a zone
 zone      STRING, an IANA name or +HH:MM
 span      STRUCT of years, months, weeks, days, hours, minutes, seconds, nanos (BIGINT each)
 
-What a sheet shows as #VALUE! is NULL.  Sums over temporal values take their
-numbers: days since 1970 (date, datetime), fraction of a day (time), seconds
-since 1970 (zoned); a span has none.  Only IS_DST leaves the JVM.
+What a sheet shows as #VALUE! is NULL here; sheet.call() gives it as an error
+value.  Sums over temporal values take their numbers: days since 1970 (date,
+datetime), fraction of a day (time), seconds since 1970 (zoned); a span has
+none.  Only IS_DST leaves the JVM.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .values import let
+
 DAY = 86_400_000_000_000
 UNITS = ("years", "months", "weeks", "days", "hours", "minutes", "seconds", "nanos")
-ZONE = r"^([+-])([0-9]{2}):?([0-9]{2})$"
+ZONE = r"^([+-])([0-9]{2})(?::?([0-9]{2}))?$"
 NTZ = "timestamp_ntz"
 
 
@@ -31,6 +36,8 @@ def _c(x: object) -> Column:
 
 def _whole(x: object) -> Column:
     """An integer, or NULL if the number has a fraction."""
+    if isinstance(x, int):
+        return F.lit(x).cast("long")
     x = _c(x).cast("double")
     return F.when(x == F.rint(x), x.cast("long"))
 
@@ -96,10 +103,19 @@ def PARSE_DATETIME(s: Column, fmt: str | None = None) -> Column:
     return F.try_to_timestamp(s, F.lit(pattern(fmt))).cast(NTZ)
 
 
+def zone_ids() -> list[str]:
+    """The names of zones that the JVM knows."""
+    from pyspark.sql import SparkSession
+
+    return sorted(SparkSession.active()._jvm.java.time.ZoneId.getAvailableZoneIds())
+
+
 def TIMEZONE(name: Column) -> Column:
-    """The zone's canonical name: +0530 becomes +05:30; NULL for what no zone is called."""
-    offset = F.concat(F.regexp_extract(name, ZONE, 1), F.regexp_extract(name, ZONE, 2), F.lit(":"), F.regexp_extract(name, ZONE, 3))
-    return F.when(name.rlike(ZONE), offset).when(name.rlike(r"^[A-Za-z]+(/[A-Za-z0-9_+-]+)*$"), name)
+    """The zone's canonical name: +0530 and +5 hours' other forms become +05:30, Z is UTC; NULL for what no zone is called."""
+    sign, hours, minutes = (F.regexp_extract(name, ZONE, i) for i in (1, 2, 3))
+    offset = F.concat(sign, hours, F.lit(":"), F.when(minutes == "", "00").otherwise(minutes))
+    near = F.when(hours == "", 0).otherwise(hours).cast("int") * 60 + F.when(minutes == "", 0).otherwise(minutes).cast("int") <= 18 * 60
+    return F.when(name == "Z", "UTC").when(name.rlike(ZONE), F.when(near & (F.when(minutes == "", 0).otherwise(minutes).cast("int") < 60), offset)).when(name.isin(zone_ids()), name)
 
 
 def _shift(civil: Column, offset_of: Column, tz: Column) -> Column:
@@ -111,23 +127,43 @@ def _shift(civil: Column, offset_of: Column, tz: Column) -> Column:
 def ZONED(civil: Column, tz: Column, mode: str = "compatible") -> Column:
     """civil time in a zone. In a gap, compatible and later go on by the gap; in a fold, compatible and earlier take the first; reject takes neither."""
     first = F.convert_timezone(tz, F.lit("UTC"), civil)
-    after = _shift(civil, F.timestamp_add("HOUR", F.lit(6), first), tz)
-    gap = F.convert_timezone(F.lit("UTC"), tz, first) != civil
-    fold = ~gap & (after != first) & (F.convert_timezone(F.lit("UTC"), tz, after) == civil)
-    chosen = {"compatible": first, "earlier": F.when(gap, after).otherwise(first), "later": F.when(fold, after).otherwise(first), "reject": F.when(~gap & ~fold, first)}[mode]
-    return F.when(chosen.isNotNull() & tz.isNotNull(), F.struct(chosen.alias("utc"), tz.alias("tz")))
+    shown = lambda u: F.convert_timezone(F.lit("UTC"), tz, u)
+
+    def chosen(u: Column, civil: Column) -> Column:
+        after = lambda u: _shift(civil, F.timestamp_add("HOUR", F.lit(6), u), tz)
+        if mode == "earlier":
+            return F.when(shown(u) != civil, after(u)).otherwise(u)
+        fold = lambda a: (a != u) & (shown(u) == civil) & (shown(a) == civil)
+        if mode == "later":
+            return let(after(u), lambda a: F.when(fold(a), a).otherwise(u))
+        return let(after(u), lambda a: F.when((shown(u) == civil) & ~fold(a), u))
+
+    if mode == "compatible":
+        utc = first
+    elif mode in ("earlier", "later", "reject"):
+        utc = let(F.struct(first.alias("u"), civil.alias("civil")), lambda x: chosen(x["u"], x["civil"]))
+    else:
+        raise ValueError(f"no mode {mode}")
+    return let(utc, lambda u: F.when(u.isNotNull() & tz.isNotNull(), F.struct(u.alias("utc"), tz.alias("tz"))))
 
 
 TO_ZONED = ZONED
 
 
-def PARSE_ZONED(s: Column) -> Column:
-    """RFC 9557: 2024-06-15T12:00:00-04:00[America/New_York]; the offset fixes the instant."""
+def PARSE_ZONED(s: Column, fmt: str | None = None) -> Column:
+    """RFC 9557: 2024-06-15T12:00:00-04:00[America/New_York], the offset fixes the instant; or by a format that ends in a zone (%Q, an IANA name, or %z, an offset)."""
+    if fmt is not None:
+        if fmt[-2:] not in ("%Q", "%z"):
+            raise ValueError("the format of a zoned time ends in %Q or %z")
+        tail = r"^(.*?)\s*([A-Za-z_]+(?:/[A-Za-z0-9_+-]+)*)$" if fmt.endswith("%Q") else r"^(.*?)\s*(Z|[+-][0-9]{2}:?[0-9]{2})$"
+        civil = PARSE_DATETIME(F.regexp_extract(s, tail, 1), fmt[:-2].rstrip())
+        return F.when(s.rlike(tail), let(TIMEZONE(F.regexp_extract(s, tail, 2)), lambda tz: F.when(tz.isNotNull(), ZONED(civil, tz))))
     shape = r"^([0-9-]{10}[T ][0-9:.]{5,18})(Z|[+-][0-9]{2}:?[0-9]{2})?\[([^\]]+)\]$"
-    civil, offset, tz = PARSE_DATETIME(F.regexp_extract(s, shape, 1)), F.regexp_extract(s, shape, 2), F.regexp_extract(s, shape, 3)
+    civil, offset, tz = PARSE_DATETIME(F.regexp_extract(s, shape, 1)), F.regexp_extract(s, shape, 2), TIMEZONE(F.regexp_extract(s, shape, 3))
     fixed = F.when(offset == "Z", "+00:00").otherwise(F.regexp_replace(offset, r"^([+-][0-9]{2}):?", "$1:"))
-    by_offset = F.when(offset != "", F.convert_timezone(F.when(offset != "", fixed), F.lit("UTC"), civil))
-    return F.when(s.rlike(shape), F.when(offset != "", F.struct(by_offset.alias("utc"), tz.alias("tz"))).otherwise(ZONED(civil, tz)))
+    by_offset = F.convert_timezone(F.when(offset != "", fixed), F.lit("UTC"), civil)
+    known = let(tz, lambda tz: F.when(tz.isNotNull(), F.when(offset != "", let(by_offset, lambda u: F.when(u.isNotNull(), F.struct(u.alias("utc"), tz.alias("tz"))))).otherwise(ZONED(civil, tz))))
+    return F.when(s.rlike(shape), known)
 
 
 def IN_TZ(z: Column, tz: object) -> Column:
@@ -152,10 +188,16 @@ def NOW(now: Column | None = None) -> Column:
 
 def SPAN(years: object = 0, months: object = 0, weeks: object = 0, days: object = 0, hours: object = 0, minutes: object = 0, seconds: object = 0, nanos: object = 0) -> Column:
     parts = [_whole(x) for x in (years, months, weeks, days, hours, minutes, seconds, nanos)]
-    known = parts[0].isNotNull()
-    for p in parts[1:]:
-        known = known & p.isNotNull()
-    return F.when(known, F.struct(*[p.alias(n) for p, n in zip(parts, UNITS)]))
+    known = F.lit(True)
+    for p, x in zip(parts, (years, months, weeks, days, hours, minutes, seconds, nanos)):
+        if not isinstance(x, int):
+            known = known & p.isNotNull()
+    return F.when(known, _span(parts))
+
+
+def _span(parts: list[Column]) -> Column:
+    """A span of whole numbers."""
+    return F.struct(*[p.cast("long").alias(n) for p, n in zip(parts, UNITS)])
 
 
 def YEARS(n: object) -> Column:
@@ -206,7 +248,7 @@ def PARSE_SPAN(s: Column) -> Column:
     def named(words: str) -> Column:
         return F.coalesce(F.nullif(F.regexp_extract(s, rf"(\d+)\s*(?:{words})\b", 1), F.lit("")).cast("long"), F.lit(0))
 
-    return F.when(s.rlike(ISO_SPAN), SPAN(*[iso(i) for i in range(2, 9)], nanos)).when(s.rlike(friendly), SPAN(*[named(w) for w in FRIENDLY.values()]))
+    return F.when(s.rlike(ISO_SPAN), _span([*[iso(i) for i in range(2, 9)], nanos])).when(s.rlike(friendly), _span([*[named(w) for w in FRIENDLY.values()], F.lit(0)]))
 
 
 def _months(span: Column) -> Column:
@@ -233,7 +275,7 @@ def span_times(a: Column, n: object) -> Column:
 
 def _micros(span: Column, relative: Column) -> Column:
     start = relative.cast(NTZ)
-    return F.timestamp_diff("MICROSECOND", start, datetime_add(start, span))
+    return let(span, lambda x: F.timestamp_diff("MICROSECOND", start, datetime_add(start, x)))
 
 
 def SPAN_TO_SECONDS(span: Column, relative: Column | None = None) -> Column:
@@ -267,10 +309,15 @@ def datetime_add(t: Column, span: Column, sign: int = 1) -> Column:
 
 def zoned_add(z: Column, span: Column, sign: int = 1) -> Column:
     """Calendar units move the wall clock, clock units the instant."""
-    civil = TO_DATETIME_OF(z)
-    civil = F.timestamp_add("DAY", (_days(span) * sign).cast("int"), F.timestamp_add("MONTH", _months(span) * sign, civil))
-    moved = F.when((_months(span) == 0) & (_days(span) == 0), z["utc"]).otherwise(ZONED(civil, z["tz"])["utc"])
-    return F.struct(F.timestamp_add("MICROSECOND", F.floor(_nanos(span) * sign / 1000).cast("long"), moved).alias("utc"), z["tz"].alias("tz"))
+
+    def moved(x: Column) -> Column:
+        z, span = x["z"], x["span"]
+        civil = F.timestamp_add("DAY", (_days(span) * sign).cast("int"), F.timestamp_add("MONTH", _months(span) * sign, TO_DATETIME_OF(z)))
+        utc = F.when((_months(span) == 0) & (_days(span) == 0), z["utc"]).otherwise(ZONED(civil, z["tz"])["utc"])
+        utc = F.timestamp_add("MICROSECOND", F.floor(_nanos(span) * sign / 1000).cast("long"), utc)
+        return let(utc, lambda u: F.when(u.isNotNull(), F.struct(u.alias("utc"), z["tz"].alias("tz"))))
+
+    return let(F.struct(z.alias("z"), span.alias("span")), moved)
 
 
 ADD = {"date": date_add, "time": time_add, "datetime": datetime_add, "zoned": zoned_add}
@@ -284,16 +331,17 @@ def DATESUB(x: Column, span: Column, kind: str) -> Column:
     return ADD[kind](x, span, -1)
 
 
-def _clock(micros: Column, days: bool) -> dict[str, Column]:
-    size, sign = F.abs(micros), F.signum(micros).cast("long")
-    out = {}
-    if days:
-        out["days"] = F.floor(size / 86_400_000_000) * sign
-        size = size % 86_400_000_000
-    out["hours"], rest = F.floor(size / 3_600_000_000) * sign, size % 3_600_000_000
-    out["minutes"], rest = F.floor(rest / 60_000_000) * sign, rest % 60_000_000
-    out["seconds"], out["nanos"] = F.floor(rest / 1_000_000) * sign, rest % 1_000_000 * 1000 * sign
-    return out
+def _clock(micros: Column, days: bool) -> Column:
+    """The span of some microseconds: clock units, and days if there are to be any."""
+    day, hour, minute, second = 86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000
+
+    def parts(m: Column) -> Column:
+        size, sign, zero = F.abs(m), F.signum(m).cast("long"), F.lit(0).cast("long")
+        whole = lambda x, unit: F.floor(x / unit) * sign
+        rest = size % day if days else size
+        return F.when(m.isNotNull(), _span([zero, zero, zero, whole(size, day) if days else zero, whole(rest, hour), whole(rest % hour, minute), whole(rest % minute, second), rest % second * 1000 * sign]))
+
+    return let(micros, parts)
 
 
 def difference(a: Column, b: Column, kind: str) -> Column:
@@ -301,9 +349,9 @@ def difference(a: Column, b: Column, kind: str) -> Column:
     if kind == "date":
         return DAYS(F.datediff(a, b))
     if kind == "time":
-        return SPAN(**_clock(F.floor((a - b) / 1000), False))
+        return _clock(F.floor((a - b) / 1000), False)
     one, two = (a["utc"], b["utc"]) if kind == "zoned" else (a, b)
-    return SPAN(**_clock(F.timestamp_diff("MICROSECOND", two, one), kind == "datetime"))
+    return _clock(F.timestamp_diff("MICROSECOND", two, one), kind == "datetime")
 
 
 # ---- accessors; x is a DATE or TIMESTAMP_NTZ (for a zoned time, its civil time: TO_DATETIME_OF)
@@ -389,11 +437,23 @@ def TZ_OFFSET_SECONDS(z: Column) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def _is_dst(seconds: pd.Series, tz: pd.Series) -> pd.Series:
+    """Looked up once for each zone and UTC day, and by the second only on days that begin and end unlike."""
     from datetime import UTC, datetime
     from zoneinfo import ZoneInfo
 
-    zones = {name: None if name[:1] in "+-" else ZoneInfo(name) for name in tz.dropna().unique()}
-    return pd.Series([None if s is None or z is None or s != s else zones[z] is not None and bool(datetime.fromtimestamp(s, UTC).astimezone(zones[z]).dst()) for s, z in zip(seconds, tz)], dtype="object")
+    out = pd.Series([None] * len(tz), dtype="object")
+    known = seconds.notna() & tz.notna()
+    for name in tz[known].unique():
+        zone = None if name[:1] in "+-" else ZoneInfo(name)
+        dst = lambda s: zone is not None and bool(datetime.fromtimestamp(int(s), UTC).astimezone(zone).dst())
+        own = seconds[known & (tz == name)]
+        days = own // 86400
+        ends = {d: (dst(d * 86400), dst(d * 86400 + 86399)) for d in days.unique()}
+        one, two = days.map(lambda d: ends[d][0]), days.map(lambda d: ends[d][1])
+        turns = own[one != two]
+        out[own.index] = one
+        out[turns.index] = turns.map({s: dst(s) for s in turns.unique()})
+    return out
 
 
 def IS_DST(z: Column) -> Column:
@@ -401,38 +461,77 @@ def IS_DST(z: Column) -> Column:
     return _is_dst(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast(NTZ), z["utc"]), z["tz"])
 
 
-def FORMAT(x: Column, fmt: str) -> Column:
-    return F.date_format(x, pattern(fmt))
+def FORMAT(x: Column, fmt: str, kind: str = "datetime") -> Column:
+    """By a strftime format; kind: date, datetime, time or zoned, of which the last takes %Q (its zone) and %z (its offset) as well."""
+    if kind == "time":
+        return F.date_format(TO_DATETIME(F.lit("1970-01-01").cast("date"), x), pattern(fmt))
+    if kind != "zoned":
+        return F.date_format(x, pattern(fmt))
+
+    def shown(z: Column) -> Column:
+        parts = [z["tz"] if p == "%Q" else F.replace(offset_text(z), F.lit(":"), F.lit("")) if p == "%z" else F.date_format(TO_DATETIME_OF(z), pattern(p)) for p in re.split("(%Q|%z)", fmt) if p]
+        return F.concat(*parts)
+
+    return let(x, shown)
+
+
+def offset_text(z: Column) -> Column:
+    """+HH:MM of a zoned time."""
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return let(TZ_OFFSET_SECONDS(z).cast("int"), lambda o: F.concat(F.when(o < 0, "-").otherwise("+"), two(F.floor(F.abs(o) / 3600)), F.lit(":"), two(F.floor(F.abs(o) / 60) % 60)))
 
 
 def _fraction(nanos: Column) -> Column:
     return F.when(nanos == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad(nanos.cast("string"), 9, "0"), "0+$", "")))
 
 
+def _iso_time(x: Column) -> Column:
+    two = [F.lpad(f(x).cast("int").cast("string"), 2, "0") for f in (HOUR, MINUTE, SECOND)]
+    return F.concat(F.concat_ws(":", *two), _fraction(x % 1_000_000_000))
+
+
+def _iso_span(x: Column) -> Column:
+    sign = F.when(F.greatest(*[x[n] for n in UNITS]) > 0, 1).otherwise(-1)
+
+    def parts(y: Column) -> Column:
+        def part(n: str, letter: str) -> Column:
+            return F.when(y[n] != 0, F.concat(y[n].cast("string"), F.lit(letter))).otherwise("")
+
+        seconds = F.when((y["seconds"] != 0) | (y["nanos"] != 0), F.concat(y["seconds"].cast("string"), _fraction(y["nanos"]), F.lit("S"))).otherwise("")
+        clock = F.concat(part("hours", "H"), part("minutes", "M"), seconds)
+        shown = F.concat(F.lit("P"), part("years", "Y"), part("months", "M"), part("weeks", "W"), part("days", "D"), let(clock, lambda c: F.when(c != "", F.concat(F.lit("T"), c)).otherwise("")))
+        return let(shown, lambda t: F.when(t == "P", "PT0S").otherwise(F.concat(F.when(y["sign"] < 0, "-").otherwise(""), t)))
+
+    signed = let(sign, lambda s: F.struct(s.alias("sign"), *[(x[n] * s).alias(n) for n in UNITS]))
+    return F.when(x.isNotNull(), let(signed, parts))
+
+
+def friendly(x: Column) -> Column:
+    """A span as a sheet shows it: 1y 2mo 3d, 5h ago."""
+    letters = ("y", "mo", "w", "d", "h", "m")
+
+    def shown(x: Column) -> Column:
+        sign = F.when(F.greatest(*[x[n] for n in UNITS]) > 0, 1).otherwise(-1)
+        parts = [F.when(x[n] != 0, F.concat((x[n] * sign).cast("string"), F.lit(a))) for n, a in zip(UNITS, letters)]
+        seconds = F.when((x["seconds"] != 0) | (x["nanos"] != 0), F.concat((x["seconds"] * sign).cast("string"), _fraction(x["nanos"] * sign), F.lit("s")))
+        text = F.concat_ws(" ", *parts, seconds)
+        return let(text, lambda t: F.when(t == "", "0s").otherwise(F.concat(t, F.when(sign < 0, " ago").otherwise(""))))
+
+    return F.when(x.isNotNull(), let(x, shown))
+
+
 def ISO(x: Column, kind: str) -> Column:
     """Canonical text."""
     if kind == "date":
         return F.date_format(x, "yyyy-MM-dd")
     if kind == "time":
-        two = [F.lpad(f(x).cast("int").cast("string"), 2, "0") for f in (HOUR, MINUTE, SECOND)]
-        return F.concat(F.concat_ws(":", *two), _fraction(x % 1_000_000_000))
+        return let(x, _iso_time)
     if kind == "datetime":
-        return F.concat(ISO(x.cast("date"), "date"), F.lit("T"), ISO(TO_TIME(x), "time"))
+        return let(x, lambda t: F.concat(ISO(t.cast("date"), "date"), F.lit("T"), ISO(TO_TIME(t), "time")))
     if kind == "zoned":
-        offset = TZ_OFFSET_SECONDS(x).cast("int")
-        shown = F.concat(F.when(offset < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(offset) / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(F.abs(offset) / 60) % 60).cast("string"), 2, "0"))
-        return F.concat(ISO(TO_DATETIME_OF(x), "datetime"), shown, F.lit("["), x["tz"], F.lit("]"))
+        return let(x, lambda z: F.concat(ISO(TO_DATETIME_OF(z), "datetime"), offset_text(z), F.lit("["), z["tz"], F.lit("]")))
     if kind == "span":
-        sign = F.when(F.greatest(*[x[n] for n in UNITS]) > 0, 1).otherwise(-1)
-
-        def part(n: str, letter: str) -> Column:
-            return F.when(x[n] != 0, F.concat((x[n] * sign).cast("string"), F.lit(letter))).otherwise("")
-
-        nanos = x["nanos"] * sign
-        seconds = F.when((x["seconds"] != 0) | (nanos != 0), F.concat((x["seconds"] * sign).cast("string"), _fraction(nanos), F.lit("S"))).otherwise("")
-        clock = F.concat(part("hours", "H"), part("minutes", "M"), seconds)
-        shown = F.concat(F.lit("P"), part("years", "Y"), part("months", "M"), part("weeks", "W"), part("days", "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(""))
-        return F.when(shown == "P", "PT0S").otherwise(F.concat(F.when(sign < 0, "-").otherwise(""), shown))
+        return let(x, _iso_span)
     return x
 
 
@@ -486,3 +585,25 @@ def temporal_literal(c: Column) -> Column:
         .when(c.rlike(rf"^{clock}$"), "time")
         .when(c.rlike(ISO_SPAN) | c.rlike(rf"^\s*(\d+\s*({friendly})\b,?\s*)+$"), "span")
     )
+
+
+#: Parsers of the kinds' literals, in the order in which a cell's text is tried.
+PARSE = {"zoned": PARSE_ZONED, "datetime": PARSE_DATETIME, "date": PARSE_DATE, "time": PARSE_TIME, "span": PARSE_SPAN}
+
+
+def try_parse(kind: str, text: Column, fmt: str | None = None) -> Column:
+    """What a text reads as in a kind, by its literals or a format; NULL if it does not."""
+    if kind == "zone":
+        return TIMEZONE(text)
+    return PARSE[kind](text) if fmt is None or kind == "span" else PARSE[kind](text, fmt)
+
+
+def order(a: Column, b: Column, kind: str) -> Column:
+    """-1, 0 or 1 of two values of a kind: zoned times by instant, spans by their length from 1970-01-01; zones have only 0 and NULL."""
+    if kind == "zone":
+        return F.when(a == b, 0)
+    if kind == "zoned":
+        a, b = a["utc"], b["utc"]
+    elif kind == "span":
+        a, b = (_micros(x, F.lit("1970-01-01").cast("date")) * 1000 + x["nanos"] % 1000 for x in (a, b))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.when(x["a"] < x["b"], -1).when(x["a"] > x["b"], 1).when(x["a"] == x["b"], 0))
