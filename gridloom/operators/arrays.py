@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import NA, Value
+from ..functions.values import NA, VALUE, Value
 from ..plans.scratch import stored
 
 
@@ -44,7 +44,7 @@ def SORT(df: DataFrame, key: Value, ascending: bool = True, position: str = "_r"
 
 
 def FILTER(df: DataFrame, condition: Value) -> DataFrame:
-    """Rows whose condition is true."""
+    """Rows whose condition, a Value over the same frame and so of its height, is true."""
     return df.where(condition.truth)
 
 
@@ -92,15 +92,58 @@ def long_form(df: DataFrame, columns: list[str], position: str = "_r") -> DataFr
     return df.select(F.col(position).cast("int").alias("r"), F.inline(cells))
 
 
-def align(a: DataFrame, b: DataFrame, f) -> DataFrame:
-    """Elementwise f over two frames of one shape."""
+#: Cells of a row that are sent together, and bytes of a row that may be broadcast.
+ROW_BLOCK, FEW_BYTES = 10_000, 16 << 20
+
+
+def shape(frame: DataFrame) -> tuple[int, int]:
+    """Rows and columns of a frame (r, c, v)."""
+    top = frame.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    return top["r"] or 0, top["c"] or 0
+
+
+def broadcast(a: DataFrame, b: DataFrame, f) -> DataFrame:
+    """(r, c, v, error): elementwise f of two frames; a side of one row or one column is repeated, and other unlike shapes are one row of #VALUE!."""
+    (ra, ca), (rb, cb) = shape(a), shape(b)
+    none = F.lit(None).cast("string").alias("error")
+    if any(x != y and 1 not in (x, y) for x, y in ((ra, rb), (ca, cb))):
+        kind = a.select(f(F.col("v"), F.col("v")).alias("v")).schema["v"].dataType
+        return a.sparkSession.range(1).select(F.lit(1).alias("r"), F.lit(1).alias("c"), F.lit(None).cast(kind).alias("v"), F.lit(f"{VALUE} incompatible array shapes").alias("error"))
+    if (rb, cb) == (1, ca) and ra == 1 or (ra, ca) == (rb, cb):
+        out = _same(a, b, f)
+    elif ca == 1 and rb == 1:
+        out = outer(a, b, f)
+    elif cb == 1 and ra == 1:
+        out = outer(b, a, lambda y, x: f(x, y))
+    else:
+        # One side is a row or a column of the other, which keeps its cells.
+        whole, line, g = (a, b, f) if ra * ca >= rb * cb else (b, a, lambda x, y: f(y, x))
+        (rows, cols), key = shape(line), F.lit(1)
+        if (rows, cols) != (1, 1):
+            key = F.col("r" if cols == 1 else "c")
+        at = F.lit(1) if (rows, cols) == (1, 1) else key
+        out = whole.withColumn("_at", key).join(line.select(at.alias("_key"), F.col("v").alias("_w")), F.col("_at") == F.col("_key")).select("r", "c", g(F.col("v"), F.col("_w")).alias("v"))
+    return out.select("r", "c", "v", none)
+
+
+def _same(a: DataFrame, b: DataFrame, f) -> DataFrame:
     return a.join(b.select("r", "c", F.col("v").alias("_w")), ["r", "c"]).select("r", "c", f(F.col("v"), F.col("_w")).alias("v"))
 
 
+def align(a: DataFrame, b: DataFrame, f) -> DataFrame:
+    """Elementwise f over two frames of one shape; ValueError (#VALUE!) for others."""
+    if shape(a) != shape(b):
+        raise ValueError(f"{VALUE} incompatible array shapes")
+    return _same(a, b, f)
+
+
 def outer(column: DataFrame, row: DataFrame, f) -> DataFrame:
-    """A column (m x 1) against a row (1 x n). The row is a few cells of one table row: it is gathered into one array, so that no join of cells with cells is made."""
-    across = row.agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("_row")).withColumn("_k", F.lit(1))
-    spread = column.select("r", F.col("v").alias("_v"), F.lit(1).alias("_k")).join(F.broadcast(across), "_k")
+    """A column (m x 1) against a row (1 x n). The row is gathered into arrays of ROW_BLOCK cells, which each cell of the column meets by the block's number; they are broadcast if all of them are few."""
+    across = row.groupBy(F.floor((F.col("c") - 1) / ROW_BLOCK).alias("_k")).agg(F.collect_list(F.struct("c", "v")).alias("_row"))
+    size = row.agg(F.max("c").alias("n"), F.sum(F.octet_length(F.col("v").cast("string")) + 16).alias("bytes")).first()
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(((size["n"] or 1) - 1) // ROW_BLOCK).cast("long"))
+    spread = column.select("r", F.col("v").alias("_v"), F.explode(blocks).alias("_k"))
+    spread = spread.join(F.broadcast(across) if (size["bytes"] or 0) <= FEW_BYTES else across, "_k")
     return spread.select("r", "_v", F.explode("_row").alias("_x")).select("r", F.col("_x.c").alias("c"), f(F.col("_v"), F.col("_x.v")).alias("v"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import SPILL
+from ..functions.values import REF, SPILL
 
 
 def spill(cells: DataFrame, arrays: DataFrame, most_local: int = 500_000) -> tuple[DataFrame, DataFrame]:
@@ -83,8 +83,12 @@ def regions(placed: DataFrame) -> DataFrame:
     return placed.groupBy("anchor_r", "anchor_c").agg((F.max("r") - F.min("r") + 1).alias("rows"), (F.max("c") - F.min("c") + 1).alias("cols"))
 
 
-def spill_array(placed: DataFrame, anchor_r: int, anchor_c: int) -> DataFrame:
-    """The array at an anchor (A1#) as a frame (r, c, v); no rows stand for #REF!."""
+def spill_array(placed: DataFrame, anchor_r: int, anchor_c: int, shown: bool = False) -> DataFrame:
+    """The array at an anchor (A1#) as a frame (r, c, v). Where none is, no rows; shown as in a sheet (v is text), one row #REF!."""
+    if shown:
+        own = spill_array(placed, anchor_r, anchor_c).withColumn("v", F.col("v").cast("string"))
+        none = own.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1).alias("r"), F.lit(1).alias("c"), F.lit(REF).alias("v"))
+        return own.union(none)
     own = placed.where((F.col("anchor_r") == anchor_r) & (F.col("anchor_c") == anchor_c))
     return own.select((F.col("r") - anchor_r + 1).alias("r"), (F.col("c") - anchor_c + 1).alias("c"), "v")
 
@@ -102,14 +106,31 @@ def running_chain(df: DataFrame, step: Column, order: list[str], partition: list
 
 
 def dependencies(formulas: DataFrame) -> DataFrame:
-    """(target, source) edges of formulas(cell_id, raw): the single cells that each one names."""
-    from ..operators.references import cell_refs
+    """(target, source) edges of formulas(cell_id, raw): the cells that each one names, and its ranges, which are nodes of their own.
 
-    return formulas.select(F.upper("cell_id").alias("target"), F.explode(cell_refs(F.col("raw"))).alias("source"))
+    A range (A1:B9, A:C, 3:5) has edges to the formulas within it, found by an
+    equi-join on the column (of whole rows, on the row), so that many sums over
+    one column cost one edge each.
+    """
+    from ..operators.references import parse_cell, range_refs
+    from ..sources.sheets import column_letters
+
+    each = formulas.select(F.upper(F.regexp_replace("cell_id", r"\$", "")).alias("target"), F.explode(range_refs(F.col("raw"))).alias("ref")).select("target", "ref.*")
+    part = lambda c, r: F.concat(F.coalesce(column_letters(F.col(c) + 1), F.lit("")), F.coalesce((F.col(r) + 1).cast("string"), F.lit("")))
+    single = F.coalesce((F.col("first_row") == F.col("last_row")) & (F.col("first_col") == F.col("last_col")), F.lit(False))
+    name = F.when(single, part("first_col", "first_row")).otherwise(F.concat(part("first_col", "first_row"), F.lit(":"), part("last_col", "last_row")))
+    each = each.withColumn("single", single).withColumn("source", name)
+    ranges = each.where("not single").select("source", "first_row", "first_col", "last_row", "last_col").distinct()
+    cells = formulas.select(F.upper(F.regexp_replace("cell_id", r"\$", "")).alias("cell"), parse_cell(F.col("cell_id")).alias("at")).select("cell", F.col("at.row").alias("row"), F.col("at.col").alias("col"))
+    wide = ranges.where("first_col is not null").withColumn("_col", F.explode(F.sequence("first_col", "last_col")))
+    wide = wide.join(cells, F.col("_col") == F.col("col")).where(F.coalesce(F.col("row") >= F.col("first_row"), F.lit(True)) & F.coalesce(F.col("row") <= F.col("last_row"), F.lit(True)))
+    flat = ranges.where("first_col is null").withColumn("_row", F.explode(F.sequence("first_row", "last_row"))).join(cells, F.col("_row") == F.col("row"))
+    inside = wide.select(F.col("source").alias("target"), F.col("cell").alias("source")).union(flat.select(F.col("source").alias("target"), F.col("cell").alias("source")))
+    return each.select("target", "source").distinct().union(inside)
 
 
 def circular(edges: DataFrame, most_local: int = 500_000) -> DataFrame:
-    """(cell) of the cells on a cycle, or between cycles: what is left once cells without sources or without dependants go, round by round.
+    """(cell) of the cells on a cycle, or between cycles: what is left once nodes without sources or without dependants go, round by round. Ranges are nodes, but no cells.
 
     Rounds go on until none goes. Once at most most_local edges are left, one
     task peels them to the end, so that a long chain takes no round for each cell.
@@ -124,9 +145,9 @@ def circular(edges: DataFrame, most_local: int = 500_000) -> DataFrame:
         left = stored(left, "cycle")
         now = left.count()
         if now == size:
-            return left.select(F.col("target").alias("cell")).distinct()
+            return left.select(F.col("target").alias("cell")).distinct().where(~F.col("cell").contains(":"))
         size = now
-    return left.coalesce(1).mapInArrow(_peeled, "cell string")
+    return left.coalesce(1).mapInArrow(_peeled, "cell string").where(~F.col("cell").contains(":"))
 
 
 def _peeled(batches):

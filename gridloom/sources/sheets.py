@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.values import Value, kind_of, literal
 
 CELL = r"^\$?([A-Za-z]+)\$?([0-9]+)$"
+#: Names of built-in functions.
+BUILTIN = ("SUM", "AVERAGE", "MEAN", "AVG", "MIN", "MAX", "COUNT", "CONCAT", "ABS", "ROUND", "LEN", "UPPER", "LOWER", "IF", "FILTER", "SORT", "UNIQUE", "TRANSPOSE", "SEQUENCE")
 
 
 def letters(n: int) -> str:
@@ -65,14 +67,18 @@ class Sheet:
             name = self.columns[n - 1]
         kind = kind_of(self.df.schema[name].dataType)
         col = F.col(name)
+        if kind == "custom":
+            from ..functions.types import of_data_type
+
+            return of_data_type(col, self.df.schema[name].dataType)
         return Value(col.cast("double") if kind == "number" else col, kind)
 
     def named(self, **values: Value) -> Sheet:
-        """With more names; a name is neither a cell reference nor a logical value."""
+        """With more names; a name is neither a cell reference nor a logical value nor a built-in function."""
         import re
 
         for n in values:
-            if re.match(CELL, n) or n.upper() in ("TRUE", "FALSE") or not re.match(r"^[A-Za-z][A-Za-z0-9_.]*$", n):
+            if re.match(CELL, n) or n.upper() in ("TRUE", "FALSE", *BUILTIN) or not re.match(r"^[A-Za-z][A-Za-z0-9_.]*$", n):
                 raise ValueError(f"{n} cannot be a name")
         return Sheet(self.df, self.names | values)
 
@@ -105,28 +111,74 @@ def edits(rows: DataFrame, sheet: str = "main") -> DataFrame:
     )
 
 
+#: Kinds that a typed edit may have.
+KINDS = ("raw", "string", "number", "boolean", "empty", "custom")
+
+
+def typed_edits(rows: DataFrame, sheet: str = "main") -> DataFrame:
+    """cells of rows(cell_id, kind, value, tag, seq), with columns kind and tag: the value is read as that kind, whatever its text looks like. raw and empty edits are plain ones."""
+    known = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("no kind "), F.coalesce("kind", F.lit("NULL")), F.lit(" in "), F.col("cell_id"))))
+    plain = rows.withColumn("raw", F.when(F.col("kind") == "empty", "").otherwise(F.col("value"))).withColumn("_kind", F.when(~known.isin("raw", "empty"), F.col("kind")))
+    cells = edits(plain.select("cell_id", F.struct("raw", "_kind", "tag").alias("raw"), "seq"), sheet)
+    return cells.select("sheet", "r", "c", "seq", F.col("raw.raw").alias("raw"), F.col("raw._kind").alias("kind"), F.col("raw.tag").alias("tag"))
+
+
 def upsert(cells: DataFrame, new: DataFrame) -> DataFrame:
-    """The last write of each cell wins; an empty text deletes. Both are cells; new edits have greater seq."""
-    both = cells.unionByName(new)
-    last = both.groupBy("sheet", "r", "c").agg(F.max_by("raw", "seq").alias("raw"), F.max("seq").alias("seq"))
-    return last.where("raw <> ''").select("sheet", "r", "c", "seq", "raw")
+    """The last write of each cell wins, with its kind if it is a typed one; an empty text deletes, but an empty string is one. Both are cells; new edits have greater seq."""
+    both = cells.unionByName(new, allowMissingColumns=True)
+    more = [c for c in both.columns if c in ("kind", "tag")]
+    last = both.groupBy("sheet", "r", "c").agg(F.max_by(F.struct("raw", *more), "seq").alias("_last"), F.max("seq").alias("seq"))
+    gone = (F.col("_last.raw") == "") & (~F.coalesce(F.col("_last.kind") == "string", F.lit(False)) if "kind" in more else F.lit(True))
+    return last.where(~gone).select("sheet", "r", "c", "seq", "_last.*")
 
 
 def typed(cells: DataFrame) -> DataFrame:
-    """With the value that each text reads as: kind, num, str, bool."""
-    return cells.withColumn("_v", literal(F.col("raw"))).select(*cells.columns, "_v.*")
+    """With the value that each text reads as, or a typed edit says: kind, num, str, bool."""
+    own = [c for c in cells.columns if c not in ("kind", "tag")]
+    if "kind" not in cells.columns:
+        return cells.withColumn("_v", literal(F.col("raw"))).select(*own, "_v.*")
+    said, raw = F.col("kind"), F.col("raw")
+    as_said = F.struct(
+        F.when(said == "string", "text").otherwise(said).alias("kind"),
+        F.when(said == "number", raw.try_cast("double")).alias("num"),
+        F.when(said.isin("string", "custom"), raw).alias("str"),
+        F.when(said == "boolean", F.lower(raw) == "true").alias("bool"),
+    )
+    return cells.withColumn("_v", F.when(said.isNotNull(), as_said).otherwise(literal(raw))).select(*own, "tag", "_v.*")
+
+
+def read(cells: DataFrame, *ids: str) -> DataFrame:
+    """The cells of these ids ($ marks do not count); a missing one is empty and has no row."""
+    import re
 
+    wanted = F.lit(False)
+    for i in ids:
+        m = re.match(CELL, i)
+        if not m:
+            raise ValueError(f"{i} is no cell")
+        wanted = wanted | ((F.col("r") == int(m[2])) & (F.col("c") == _number(m[1])))
+    return cells.where(wanted)
 
-def read_sheet_text(spark: SparkSession, path: str, sheet: str = "main") -> DataFrame:
-    """cells of `.sheet` lines `ID: raw`; # starts a comment, the last line of a cell wins, an empty text clears."""
+
+def read_sheet_text(spark: SparkSession, path: str, sheet: str = "main", strict: bool = True) -> DataFrame:
+    """cells of `.sheet` lines `ID: raw`; # starts a comment, the last line of a cell wins, an empty text clears. strict: ValueError for a line of any other form."""
     lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    if strict and (bad := malformed(lines).orderBy("seq").first()) is not None:
+        raise ValueError(f"not a cell's line: {bad['value']}")
     return parse_lines(lines, sheet)
 
 
+LINE = r"^([A-Za-z]+[0-9]+):\s?(.*)$"
+
+
+def malformed(lines: DataFrame) -> DataFrame:
+    """The lines(value, seq) that are neither blank nor a comment nor a cell's."""
+    return lines.where(~F.col("value").rlike(LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+
+
 def parse_lines(lines: DataFrame, sheet: str = "main") -> DataFrame:
     """cells of lines(value, seq)."""
-    shape = r"^([A-Za-z]+[0-9]+):\s?(.*)$"
-    rows = lines.where(F.col("value").rlike(shape)).select(F.regexp_extract("value", shape, 1).alias("cell_id"), F.trim(F.regexp_extract("value", shape, 2)).alias("raw"), "seq")
+    rows = lines.where(F.col("value").rlike(LINE)).select(F.regexp_extract("value", LINE, 1).alias("cell_id"), F.trim(F.regexp_extract("value", LINE, 2)).alias("raw"), "seq")
     return upsert(edits(rows.limit(0), sheet), edits(rows, sheet))
 
 
@@ -169,7 +221,18 @@ def to_tsv(cells: DataFrame, top: int, left: int, bottom: int, right: int) -> Da
     return rows.join(at, "r", "left").select("r", F.array_join(F.transform(F.sequence(F.lit(left), F.lit(right)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(""))), "\t").alias("line"))
 
 
-def from_json(spark: SparkSession, path: str, sheet: str = "main") -> DataFrame:
-    """Cells of a JSON object {"A1": "raw", ...}."""
-    pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("cell_id", "raw"))
+def from_json(spark: SparkSession, path: str, sheet: str = "main", lines: bool = False) -> DataFrame:
+    """Cells of a JSON object {"A1": "raw", ...}, one a file (a task each); lines: one a line, which is how large stores are kept."""
+    pairs = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", "map<string,string>")).alias("cell_id", "raw"))
     return edits(pairs.withColumn("seq", F.lit(0)), sheet)
+
+
+def to_json(cells: DataFrame, path: str, lines: bool = False) -> None:
+    """What from_json() reads. One object holds all cells in a task; with lines each cell is an object of its own."""
+    name = F.concat(column_letters(F.col("c")), F.col("r").cast("string"))
+    if lines:
+        out = cells.select(F.to_json(F.create_map(name, "raw")).alias("value"))
+    else:
+        pairs = F.sort_array(F.collect_list(F.struct("c", "r", name.alias("name"), "raw")))
+        out = cells.agg(F.to_json(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["name"], x["raw"])))).alias("value")).coalesce(1)
+    out.write.mode("overwrite").text(path)

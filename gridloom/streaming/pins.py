@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.scratch import folder
+from ..plans.scratch import place
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -53,10 +53,7 @@ def pinned(stream: DataFrame, evaluate: Callable[[DataFrame], DataFrame], path:
 def run_to_end(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """All of a stream's present input, as a table: written by its sink, then read."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/gridloom-stream-{name}"
-    import uuid
-
-    path += "-" + uuid.uuid4().hex
+    path = place(spark, f"stream-{name}")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out")
