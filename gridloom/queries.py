@@ -293,16 +293,19 @@ def cells_upsert(spark, sf_dir):
     return sheets.upsert(cells.where(F.col("seq") % 2 == 0), cells.where(F.col("seq") % 2 == 1)).select("r", "c", "raw")
 
 
-@query(f"SELECT chr((64 + c)::INT) || r || ': ' || raw AS value FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY seq DESC) AS n FROM ({CELLS_SQL})) WHERE n = 1 AND raw <> '' AND c <= 26")
+LETTERS_SQL = "CASE WHEN c > 26 THEN 'A' || chr((38 + c)::INT) ELSE chr((64 + c)::INT) END"
+
+
+@query(f"SELECT {LETTERS_SQL} || r || ': ' || raw AS value FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY seq DESC) AS n FROM ({CELLS_SQL})) WHERE n = 1 AND raw <> ''")
 def sheet_text_lines(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    return sheets.sheet_lines(sheets.upsert(cells.limit(0), cells).where("c <= 26"))
+    return sheets.sheet_lines(sheets.upsert(cells.limit(0), cells))
 
 
-@query(f"SELECT chr((64 + c)::INT) || r AS cell, raw AS expected, raw || '!' AS shown FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY seq DESC) AS n FROM ({CELLS_SQL})) WHERE n = 1 AND raw <> '' AND c <= 26 AND r % 7 = 0")
+@query(f"SELECT {LETTERS_SQL} || r AS cell, raw AS expected, raw || '!' AS shown FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY seq DESC) AS n FROM ({CELLS_SQL})) WHERE n = 1 AND raw <> '' AND r % 7 = 0")
 def snapshot_verify(spark, sf_dir):
     """A snapshot against values that have changed in every seventh row."""
-    cells = sheets.upsert(_cells(spark, sf_dir).limit(0), _cells(spark, sf_dir)).where("c <= 26")
+    cells = sheets.upsert(_cells(spark, sf_dir).limit(0), _cells(spark, sf_dir))
     lines = sheets.snapshot_lines(cells, cells.select("r", "c", F.col("raw").alias("shown")))
     now = cells.select("r", "c", F.when(F.col("r") % 7 == 0, F.concat("raw", F.lit("!"))).otherwise(F.col("raw")).alias("shown"))
     return sheets.verify_snapshot(lines, now)
@@ -484,10 +487,11 @@ def parse_and_make_dates(spark, sf_dir):
     return o.select("o_orderkey", iso(temporal.PARSE_DATE(text)).alias("iso"), iso(temporal.PARSE_DATE(shown, "%d/%m/%Y")).alias("by_format"), day.alias("day"), iso(temporal.DATE(2023, 1, day)).alias("made"))
 
 
-@query("SELECT o_orderkey, (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE - o_orderdate::DATE AS days, ((o_orderdate::DATE + INTERVAL 1 MONTH)::DATE - o_orderdate::DATE) * 86400.0 AS seconds FROM orders")
+@query("SELECT o_orderkey, (e - d)::BIGINT AS days, (e - d)::DOUBLE * 86400 AS seconds FROM (SELECT o_orderkey, o_orderdate::DATE AS d, (o_orderdate::DATE + to_months((o_orderkey % 14)::INT) + to_days((o_orderkey % 40)::INT))::DATE AS e FROM orders)")
 def span_lengths(spark, sf_dir):
+    """Months and days that differ by row, as texts."""
     d = F.col("o_orderdate").cast("date")
-    span = temporal.PARSE_SPAN(F.lit("P1M"))
+    span = temporal.PARSE_SPAN(F.concat(F.lit("P"), F.col("o_orderkey") % 14, F.lit("M"), F.col("o_orderkey") % 40, F.lit("D")))
     return table(spark, sf_dir, "orders").select("o_orderkey", temporal.SPAN_TO_DAYS(span, d).cast("long").alias("days"), temporal.SPAN_TO_SECONDS(span, d).alias("seconds"))
 
 
@@ -497,12 +501,41 @@ def zones(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(temporal.TO_DATETIME_OF(z), "yyyy-MM-dd HH:mm:ss").alias("local"), temporal.TZ_OFFSET_SECONDS(z).alias("shift"))
 
 
-@query()
+def _berlin(t: str) -> str:
+    """SQL: offset of Europe/Berlin in hours at a UTC time."""
+    return f"CAST((epoch_us(timezone('Europe/Berlin', timezone('UTC', {t}))) - epoch_us({t})) // 3600000000 AS INT)"
+
+
+#: Times of day on the days of both changes, and on others.
+TURNS_SQL = "(SELECT event_id, date_trunc('second', CASE event_id % 3 WHEN 0 THEN TIMESTAMP '2024-03-31' + (ts - date_trunc('day', ts)) WHEN 1 THEN TIMESTAMP '2024-10-27' + (ts - date_trunc('day', ts)) ELSE ts END) AS t FROM events)"
+#: t is a wall clock. It may be read with the offset of winter or of summer; one, both (fold) or none (gap) of the readings shows it again.
+ZONE_RULES = f"""
+WITH k AS (SELECT *, {_berlin("t - INTERVAL 1 HOUR")} = 1 AS w, {_berlin("t - INTERVAL 2 HOUR")} = 2 AS s FROM {TURNS_SQL}),
+r AS (SELECT event_id, CASE WHEN s THEN t - INTERVAL 2 HOUR ELSE t - INTERVAL 1 HOUR END AS u, w <> s AS plain FROM k),
+o AS (SELECT *, {_berlin("u")} AS ou FROM r),
+n AS (SELECT *, u + to_hours(ou) + INTERVAL 1 DAY AS t2 FROM o),
+q AS (SELECT *, CASE WHEN {_berlin("t2 - INTERVAL 2 HOUR")} = 2 THEN t2 - INTERVAL 2 HOUR ELSE t2 - INTERVAL 1 HOUR END AS v FROM n),
+x AS (SELECT *, {_berlin("v")} AS ov, strftime(u + to_hours(ou), '%Y-%m-%dT%H:%M:%S') || '+0' || ou || ':00[Europe/Berlin]' AS zoned FROM q)
+SELECT event_id, zoned, ou = 2 AS dst, CASE WHEN plain THEN zoned END AS strict,
+       strftime(v + to_hours(ov), '%Y-%m-%dT%H:%M:%S') || '+0' || ov || ':00[Europe/Berlin]' AS next_day
+FROM x"""
+
+
+def _turns(spark, sf_dir):
+    t = F.col("ts").cast("timestamp_ntz")
+    clock = temporal.TO_TIME(t)
+    on = lambda day: temporal.TO_DATETIME(F.lit(day).cast("date"), clock)
+    k = F.col("event_id") % 3
+    chosen = F.when(k == 0, on("2024-03-31")).when(k == 1, on("2024-10-27")).otherwise(t)
+    return table(spark, sf_dir, "events").select("event_id", F.date_trunc("SECOND", chosen).cast("timestamp_ntz").alias("t"))
+
+
+@query(ZONE_RULES)
 def zone_rules(spark, sf_dir):
-    """Gaps, folds and daylight saving; tested against Python's zone rules."""
-    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("t"))
-    z = temporal.ZONED(F.col("t"), F.lit("Europe/Berlin"))
-    return e.select("event_id", temporal.ISO(z, "zoned").alias("zoned"), temporal.IS_DST(z).alias("dst"), temporal.ISO(temporal.DATEADD(z, temporal.DAYS(1), "zoned"), "zoned").alias("next_day"), temporal.ISO(temporal.ZONED(F.col("t"), F.lit("Europe/Berlin"), "reject"), "zoned").alias("strict"))
+    """Gaps, folds and daylight saving."""
+    rows = _turns(spark, sf_dir).withColumn("z", temporal.ZONED(F.col("t"), F.lit("Europe/Berlin")))
+    z = F.col("z")
+    return rows.select("event_id", temporal.ISO(z, "zoned").alias("zoned"), temporal.IS_DST(z).alias("dst"), temporal.ISO(temporal.DATEADD(z, temporal.DAYS(1), "zoned"), "zoned").alias("next_day"), temporal.ISO(temporal.ZONED(F.col("t"), F.lit("Europe/Berlin"), "reject"), "zoned").alias("strict"))
 
 
 @query("SELECT o_orderkey, (o_orderdate::DATE - DATE '1970-01-01')::DOUBLE AS n FROM orders")
@@ -543,16 +576,21 @@ def url_codes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", url.URL_ENCODE(u).alias("encoded"), url.URL_DECODE(url.URL_ENCODE(u)).alias("back"))
 
 
-@query("SELECT page_id, 'a b+c' AS found, '' AS missing FROM pages")
+@query("SELECT page_id, 'a b+' || page_id AS found, '' AS missing FROM pages")
 def url_params(spark, sf_dir):
-    u = F.concat(F.regexp_extract("url", r"^([a-z]+://[^?#]*)", 1), F.lit("?q=a+b%2Bc&q=2&page=3"))
+    u = F.concat(F.regexp_extract("url", r"^([a-z]+://[^?#]*)", 1), F.lit("?p=1&q=a+b%2B"), F.col("page_id").cast("string"), F.lit("&q=2&page=3"))
     return table(spark, sf_dir, "pages").select("page_id", url.URL_PARAM(u, "q").alias("found"), url.URL_PARAM(u, "none").alias("missing"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/x/z' AS joined, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/top?k=1' AS rooted FROM pages")
+URL_SITE, URL_FOLDER = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)", "CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*/)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*/)', 1) END"
+
+
+@query(f"SELECT page_id, {URL_SITE} || ({URL_FOLDER}) || 'n' || page_id || '/z?y=1' AS joined, {URL_SITE} || '/top' || page_id AS rooted, {URL_SITE} || CASE WHEN len(string_split({URL_FOLDER}, '/')) <= 2 THEN '/' ELSE regexp_replace({URL_FOLDER}, '[^/]+/$', '') END || 'up' AS up FROM pages")
 def url_join(spark, sf_dir):
-    base = F.concat(F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1), F.lit("/x/y/w"))
-    return table(spark, sf_dir, "pages").select("page_id", url.URL_JOIN(base, F.lit("./../z")).alias("joined"), url.URL_JOIN(base, F.lit("/top?k=1")).alias("rooted"))
+    """Names in the page's own folder, at its site's root, and one folder up."""
+    base, n = F.col("url"), F.col("page_id").cast("string")
+    joined = url.URL_JOIN(base, F.concat(F.lit("./n"), n, F.lit("/z?y=1")))
+    return table(spark, sf_dir, "pages").select("page_id", joined.alias("joined"), url.URL_JOIN(base, F.concat(F.lit("/top"), n)).alias("rooted"), url.URL_JOIN(base, F.lit("../up")).alias("up"))
 
 
 @query("SELECT p_partkey, p_size * 1000.0 AS metres, round(p_size * 1000 / 1609.344, 6) AS miles, p_size + 0.5 AS added, p_size > 10 AS far, '#UNIT!' AS mismatch FROM part")
@@ -561,10 +599,13 @@ def unit_arithmetic(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", units.CONVERT(q, "m").alias("metres"), F.round(units.CONVERT(q, "mi"), 6).alias("miles"), F.round(units.add(q, half)["mag"], 9).alias("added"), (units.compare(q, ten) > 0).alias("far"), units.error(q, time).alias("mismatch"))
 
 
-@query("SELECT p_partkey, round(p_size / 0.44704, 6) AS mph, CASE WHEN p_size % 2 = 0 THEN 'm/s' END AS unit FROM part WHERE p_size % 2 = 0")
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN round(p_size / 0.44704, 6) WHEN 1 THEN round(p_size / 3.6 / 0.44704, 6) WHEN 2 THEN p_size::DOUBLE END AS mph, CASE p_size % 4 WHEN 0 THEN 'm/s' WHEN 1 THEN 'km/h' WHEN 2 THEN 'mph' END AS unit FROM part")
 def unit_texts(spark, sf_dir):
-    q = units.parse(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, " m/s").otherwise(" bananas")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(units.CONVERT(q, "mph"), 6).alias("mph"), q["unit"].alias("unit")).where("unit is not null")
+    """Texts in four units, one of them unknown."""
+    rest = F.col("p_size") % 4
+    text = F.concat(F.col("p_size").cast("string"), F.when(rest == 0, " m/s").when(rest == 1, "km / h").when(rest == 2, " mph").otherwise(" bananas"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", units.parse(text).alias("q"))
+    return rows.select("p_partkey", F.round(units.CONVERT(F.col("q"), "mph"), 6).alias("mph"), F.col("q.unit").alias("unit"))
 
 
 # ---- what users add
@@ -633,12 +674,10 @@ def stream_windows(spark, sf_dir):
 @query("SELECT count(*)::DOUBLE AS n, round(sum(v), 4) AS total FROM (SELECT arg_max(value, event_id) AS v FROM events GROUP BY user_id)")
 def stream_pin(spark, sf_dir):
     """The latest value of each user, pinned from a stream; formulas over the snapshot."""
-    import uuid
-
-    from .plans.scratch import folder
+    from .plans.scratch import place
 
     stream = pins.stream_of(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "value")
-    path = f"{folder(spark)}/gridloom-pin-{uuid.uuid4().hex}"
+    path = place(spark, "pin")
 
     def evaluate(snapshot):
         v = Sheet(snapshot)["value"]
@@ -647,3 +686,6 @@ def stream_pin(spark, sf_dir):
     pins.pinned(stream, evaluate, path, ["user_id"], "event_id").awaitTermination()
     last = max(int(r["result"]) for r in spark.read.parquet(path + "/result=*").select(F.regexp_extract(F.input_file_name(), r"result=(\d+)", 1).alias("result")).distinct().collect())
     return spark.read.parquet(f"{path}/result={last}")
+
+
+from . import formula_queries, temporal_queries  # noqa: E402, F401  (they register themselves)

@@ -1,5 +1,6 @@
 """Cell plane: edits, text sheets, snapshots, spills, cycles; and positions over many partitions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import arrays
@@ -27,12 +28,16 @@ def test_typed(spark):
 
 def test_sheet_text(spark, tmp_path):
     at = tmp_path / "book.sheet"
-    at.write_text('# sums\nA1: =SUM(B1:B3)\nB1: 10\nB2: 20\nB2: 21\nB3: 30\nC1: x\nC1:\n')
+    at.write_text('# pears by week\nD4: =MAX(E2:E4)\n\nE2: 7\nE3: 8\nE3: 9\nE4: 5\nF2: x\nF2:\n')
     got = sheets.read_sheet_text(spark, str(at))
-    assert ids(got) == {"A1": "=SUM(B1:B3)", "B1": "10", "B2": "21", "B3": "30"}
-    assert [r.value for r in sheets.sheet_lines(got).collect()] == ["A1: =SUM(B1:B3)", "B1: 10", "B2: 21", "B3: 30"]
+    assert ids(got) == {"D4": "=MAX(E2:E4)", "E2": "7", "E3": "9", "E4": "5"}
+    assert [r.value for r in sheets.sheet_lines(got).collect()] == ["D4: =MAX(E2:E4)", "E2: 7", "E3: 9", "E4: 5"]
     sheets.write_sheet_text(got, str(tmp_path / "out"))
     assert ids(sheets.read_sheet_text(spark, str(tmp_path / "out"))) == ids(got)
+    at.write_text("A1: 5\n  A2: 6\n")
+    with pytest.raises(ValueError, match="A2: 6"):
+        sheets.read_sheet_text(spark, str(at))
+    assert ids(sheets.read_sheet_text(spark, str(at), strict=False)) == {"A1": "5"}
 
 
 def test_snapshot(spark):
@@ -53,6 +58,41 @@ def test_tsv_and_json(spark, tmp_path):
     assert [r.line for r in sheets.to_tsv(got, 2, 3, 3, 4).orderBy("r").collect()] == ["1\t2", "\tz"]
     (tmp_path / "x.json").write_text('{"A1": "5", "B2": "=A1"}')
     assert ids(sheets.from_json(spark, str(tmp_path / "x.json"))) == {"A1": "5", "B2": "=A1"}
+    for lines in (False, True):
+        sheets.to_json(got, str(tmp_path / "out.json"), lines)
+        assert ids(sheets.from_json(spark, str(tmp_path / "out.json"), lines=lines)) == ids(got)
+
+
+def test_typed_edits(spark):
+    """A kind stays until a raw edit comes; an unknown one is an error that names the cell."""
+    schema = "cell_id string, kind string, value string, tag string, seq long"
+    rows = [("A1", "string", "42", None, 1), ("A2", "string", "42", None, 1), ("A2", "raw", "42", None, 2), ("A3", "string", "=B1", None, 1), ("A4", "custom", "12", "money", 1), ("A5", "number", "7", None, 1), ("A5", "empty", None, None, 2), ("A6", "string", "", None, 1)]
+    cells = sheets.typed_edits(spark.createDataFrame(rows, schema))
+    got = {r.r: (r.kind, r.num, r.str, r.tag) for r in sheets.typed(sheets.upsert(cells.limit(0), cells)).collect()}
+    assert got == {1: ("text", None, "42", None), 2: ("number", 42.0, None, None), 3: ("text", None, "=B1", None), 4: ("custom", None, "12", "money"), 6: ("text", None, "", None)}
+    assert sheets.read(cells, "$A$5", "B9").count() == 2
+    with pytest.raises(Exception, match="B2"):
+        sheets.typed_edits(spark.createDataFrame([("B2", "bytes", "x", None, 1)], schema)).collect()
+
+
+def test_shapes(spark):
+    def frame(rows):
+        return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(rows, 1) for j, v in enumerate(row, 1)], "r int, c int, v double")
+
+    def cells_of(df):
+        return {(r.r, r.c): r.v for r in df.collect()}
+
+    minus = lambda x, y: x - y
+    column, row, grid = frame([[10], [20]]), frame([[1, 2, 3]]), frame([[1, 2, 3], [4, 5, 6]])
+    assert cells_of(arrays.broadcast(column, row, minus)) == {(i, j): 10.0 * i - j for i in (1, 2) for j in (1, 2, 3)}
+    assert cells_of(arrays.broadcast(row, column, minus)) == {(i, j): j - 10.0 * i for i in (1, 2) for j in (1, 2, 3)}
+    assert cells_of(arrays.broadcast(column, grid, minus)) == {(i, j): 10.0 * i - 3 * (i - 1) - j for i in (1, 2) for j in (1, 2, 3)}
+    assert cells_of(arrays.broadcast(grid, row, minus)) == {(i, j): 3.0 * (i - 1) for i in (1, 2) for j in (1, 2, 3)}
+    assert cells_of(arrays.broadcast(grid, frame([[1]]), minus))[2, 3] == 5.0
+    bad = arrays.broadcast(column, frame([[1], [2], [3]]), minus).collect()
+    assert len(bad) == 1 and bad[0].v is None and bad[0].error.startswith("#VALUE!")
+    with pytest.raises(ValueError):
+        arrays.align(column, frame([[1], [2], [3]]), minus)
 
 
 def arrays_of(spark, rows):

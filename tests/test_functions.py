@@ -46,6 +46,14 @@ def ntz(s):
         (lambda: t.ISO(t.DAYS(0), "span"), "PT0S"),
         (lambda: t.ISO(t.PARSE_TIME(F.lit("14:30")), "time"), "14:30:00"),
         (lambda: t.TIMEZONE(F.lit("+0530")), "+05:30"),
+        (lambda: t.TIMEZONE(F.lit("Foo/Bar")), None),
+        (lambda: t.TIMEZONE(F.lit("+1930")), None),
+        (lambda: t.TIMEZONE(F.lit("Z")), "UTC"),
+        (lambda: t.friendly(t.span_times(t.SPAN(days=2, hours=3), -1)), "2d 3h ago"),
+        (lambda: t.order(t.WEEKS(1), t.DAYS(7), "span"), 0),
+        (lambda: t.order(t.MONTHS(1), t.DAYS(30), "span"), 1),
+        (lambda: t.FORMAT(t.TIME(7, 5, 9), "%H-%M-%S", "time"), "07-05-09"),
+        (lambda: t.ISO(t.PARSE_ZONED(F.lit("15.06.2024 12:00 +0200"), "%d.%m.%Y %H:%M %z"), "zoned"), "2024-06-15T12:00:00+02:00[+02:00]"),
         (lambda: t.DAYS(1.5), None),
         (lambda: t.ISO(t.difference(ntz("2024-01-03 01:00:00"), ntz("2024-01-01 00:00:00"), "datetime"), "span"), "P2DT1H"),
         (lambda: t.ISO(t.PARSE_DATETIME(F.lit("27/04/2025 14:30"), "%d/%m/%Y %H:%M"), "datetime"), "2025-04-27T14:30:00"),
@@ -101,26 +109,26 @@ def test_parse_zoned(spark):
     assert one(spark, t.number(z, "zoned")) == 1718467200.0
 
 
-U = "https://user@example.com:8443/blog/2025/post-slug?ref=hn&q=hi%20there#sec-2"
+U = "https://reader@Shop.test:9090/fruit/pears/green-ones?sort=up&q=two%20kilos&q=x#prices"
 
 
 @pytest.mark.parametrize(
     ("f", "want"),
     [
         (url.URL_SCHEME, "https"),
-        (url.URL_HOST, "example.com"),
-        (url.URL_PORT, 8443.0),
-        (url.URL_PATH, "/blog/2025/post-slug"),
-        (url.URL_QUERY, "ref=hn&q=hi%20there"),
-        (url.URL_FRAGMENT, "sec-2"),
+        (url.URL_HOST, "shop.test"),
+        (url.URL_PORT, 9090.0),
+        (url.URL_PATH, "/fruit/pears/green-ones"),
+        (url.URL_QUERY, "sort=up&q=two%20kilos&q=x"),
+        (url.URL_FRAGMENT, "prices"),
         (url.URL_VALID, True),
-        (lambda u: url.URL_PARAM(u, "q"), "hi there"),
+        (lambda u: url.URL_PARAM(u, "q"), "two kilos"),
         (lambda u: url.URL_PARAM(u, "no"), ""),
-        (lambda u: url.URL_PATH_SEGMENT(u, 3), "post-slug"),
-        (lambda u: url.URL_PATH_SEGMENT(u, -1), "post-slug"),
+        (lambda u: url.URL_PATH_SEGMENT(u, 3), "green-ones"),
+        (lambda u: url.URL_PATH_SEGMENT(u, -1), "green-ones"),
         (lambda u: url.URL_PATH_SEGMENT(u, 9), ""),
         (lambda u: url.URL_PATH_SEGMENT(u, 0), None),
-        (lambda u: url.URL_JOIN(u, F.lit("../x?y=1")), "https://user@example.com:8443/blog/x?y=1"),
+        (lambda u: url.URL_JOIN(u, F.lit("../nuts?y=1")), "https://reader@Shop.test:9090/fruit/nuts?y=1"),
         (lambda u: url.URL_JOIN(u, F.lit("//other.org/z")), "https://other.org/z"),
     ],
 )
@@ -129,10 +137,10 @@ def test_url(spark, f, want):
 
 
 def test_url_edges(spark):
-    assert one(spark, url.URL_VALID(F.lit("not a url"))) is False
-    assert one(spark, url.URL_VALID(F.lit("mailto:foo@example.com"))) is True
-    assert one(spark, url.URL_PATH(F.lit("https://x.com"))) == "/"
-    assert one(spark, url.URL_PORT(F.lit("https://x.com:443/"))) == 0.0
+    assert one(spark, url.URL_VALID(F.lit("plain words"))) is False
+    assert one(spark, url.URL_VALID(F.lit("mailto:shop@shop.test"))) is True
+    assert one(spark, url.URL_PATH(F.lit("https://shop.test"))) == "/"
+    assert one(spark, url.URL_PORT(F.lit("https://shop.test:443/"))) == 0.0
     assert one(spark, url.URL_DECODE(F.lit("a+b%20c%zz"))) == "a+b c%zz"
     assert one(spark, url.URL_ENCODE(F.lit("a b-_.~*é"))) == "a%20b%2D%5F%2E%7E%2A%C3%A9"
 
@@ -144,22 +152,42 @@ def test_units(spark):
     assert one(spark, units.error(q("3 km"), q("2 seconds"))) == "#UNIT!"
     assert one(spark, units.add(q("3 km"), q("2 seconds"))) is None
     assert one(spark, units.number(units.divide(q("4 km"), q("2 km")))) == 2.0
-    assert one(spark, q("3 bananas")) is None
+    assert one(spark, q("3 bananas")) is None and one(spark, q("3 km/bananas")) is None
+    assert round(one(spark, units.CONVERT(units.power(q("20 feet"), 1), "m")), 3) == 6.096
+    with pytest.raises(KeyError):
+        units.CONVERT(q("3 km"), "bananas")
 
 
 @pytest.mark.parametrize(
     ("f", "formula", "want"),
     [
-        (lambda f: refs.stamp_deleted(f, [1, 2], []), "=A1+B2+C3", "=A1+#REF!+#REF!"),
-        (lambda f: refs.stamp_deleted(f, [1], []), "=SUM(A:B)", "=SUM(A:#REF!)"),
-        (lambda f: refs.adjust_deleted(f, cols=[0]), "=A1:D1", "=A1:C1"),
-        (lambda f: refs.adjust_deleted(f, cols=[1]), "=B1+C1", "=#REF!+B1"),
-        (lambda f: refs.adjust_inserted(f, cols=[1, 1]), "=B2", "=D2"),
-        (lambda f: refs.adjust_inserted(f, cols=[1]), "=$B$2", "=$C$2"),
-        (lambda f: refs.shift(f, -1, 0), "=A2*B1*4", "=A1*#REF!*4"),
-        (lambda f: refs.shift(f, 0, 25, max_col=26), "=A1:B5", "=#REF!"),
-        (lambda f: refs.shift(f, 1, 1), '=A1&"A1"&$A$1&SUM(B2)', '=B2&"A1"&$A$1&SUM(C3)'),
-        (lambda f: refs.move_columns(f, 0, 1, 2), "=A1+B1+C1+D1", "=C1+A1+B1+D1"),
+        (lambda f: refs.stamp_deleted(f, [3, 4], []), "=C7+D8+E9", "=C7+#REF!+#REF!"),
+        (lambda f: refs.stamp_deleted(f, [3], []), "=SUM(C:D)", "=SUM(C:#REF!)"),
+        (lambda f: refs.stamp_deleted(f, [2, 3], []), "=SUM(C:D)", "=SUM(#REF!)"),
+        (lambda f: refs.stamp_deleted(f, [], [2]), "=SUM(3:3)", "=SUM(#REF!)"),
+        (lambda f: refs.stamp_deleted(f, [], [2]), "=MAX(C3#)", "=MAX(#REF!#)"),
+        (lambda f: refs.adjust_deleted(f, cols=[5]), "=E7:H7", "=E7:G7"),
+        (lambda f: refs.adjust_deleted(f, cols=[4, 7]), "=E7:H7", "=E7:F7"),
+        (lambda f: refs.adjust_deleted(f, cols=[3]), "=D9+F9", "=#REF!+E9"),
+        (lambda f: refs.adjust_deleted(f, cols=[1]), "=D2:B4", "=B2:C4"),
+        (lambda f: refs.adjust_deleted(f, cols=[8]), "=D2:B4", "=D2:B4"),
+        (lambda f: refs.adjust_deleted(f, cols=[0]), "=$F$2", "=E2"),
+        (lambda f: refs.adjust_deleted(f, rows=[5]), "=SUM(4:9)", "=SUM(4:8)"),
+        (lambda f: refs.adjust_deleted(f, cols=[0]), "=#REF!+D1", "=#REF!+D1"),
+        (lambda f: refs.adjust_inserted(f, cols=[3, 3]), "=D4", "=F4"),
+        (lambda f: refs.adjust_inserted(f, cols=[3], rows=[0]), "=$D$4+d3", "=$E$5+E4"),
+        (lambda f: refs.adjust_inserted(f, cols=[4]), "=SUM(D:F)+d3", "=SUM(D:G)+d3"),
+        (lambda f: refs.shift(f, -3, 0), "=D5*E3*6", "=D2*#REF!*6"),
+        (lambda f: refs.shift(f, 0, 23, max_col=26), "=C2:D7", "=#REF!"),
+        (lambda f: refs.shift(f, 2, 1), '=C3&"C3"&$C$3&SUM(D4)', '=D5&"C3"&$C$3&SUM(E6)'),
+        (lambda f: refs.shift(f, 2, 1), "=$C:$D+4:6+rate+LOG10(C3)", "=$C:$D+6:8+rate+LOG10(D5)"),
+        (lambda f: refs.move_columns(f, 2, 1, 4), "=C1+D1+E1+F1", "=E1+C1+D1+F1"),
+        (lambda f: refs.move_columns(f, 5, 1, 4), "=D2:E9+SUM(D:E)", "=D2:E9+SUM(D:F)"),
+        (lambda f: refs.move_columns(f, 5, 1, 4, True), "=$D2:E$9", "=$D2:F$9"),
+        (lambda f: refs.move_rows(f, 6, 1, 4), "=C7+D5+SUM(7:7)+C5:C6", "=C5+D6+SUM(5:5)+C5:C6"),
+        (lambda f: refs.move_rows(f, 6, 1, 4, True), "=C5:C6", "=C6:C7"),
+        (lambda f: refs.move_rows(f, 6, 1, 6), "=C7", "=C7"),
+        (lambda f: refs.shift(f, 1, 1), "no formula C3", "no formula C3"),
     ],
 )
 def test_rewrites(spark, f, formula, want):
@@ -188,4 +216,10 @@ def test_registry(spark):
             return F.when(text.rlike("^[0-9]*[02468]$"), text)
 
     r.add_type(Even())
+    v = r.read("even", F.lit("12"))
+    assert one(spark, (v == r.value("even", F.lit("12"))).col) is True and one(spark, (v < v).col) is False
+    assert one(spark, r.read("even", F.lit("13")).out("x")) == "#VALUE!" and one(spark, (v + 1).out("x")) == "121"
+    rows = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 5.0), (3, None)], "g int, v double")
+    got = r.over(rows, "spread", lambda d: d.v.max() - d.v.min() if d.v.notna().all() else 1 / 0, "double", "g").collect()
+    assert sorted((x.g, x.spread if x.error is None else x.error[:7]) for x in got) == [(1, 1.0), (2, 0.0), (3, "#VALUE!")]
     assert one(spark, r.literal(F.lit("12")))["tag"] == "even" and one(spark, r.literal(F.lit("13"))) is None

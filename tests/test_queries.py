@@ -1,6 +1,7 @@
 """Every sheet query against DuckDB on the smallest tables."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -23,7 +24,7 @@ def plain(rows):
     def one(v):
         if v is None or (isinstance(v, float) and math.isnan(v)):
             return None
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
+        if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool):
             return float(v)
         return str(v)
 
