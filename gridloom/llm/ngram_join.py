@@ -45,7 +45,7 @@ SMALL_BITS = 2048
 #: Classes of a bucket that are compared within one task; a larger bucket is cut into pairs of such parts.
 PART = 1500
 #: Candidates of a pivot that meet its set in one place.
-SALT = 256
+SALT = 64
 
 
 def fingerprint(own: np.ndarray) -> bytes:
@@ -159,8 +159,9 @@ def _buckets(docs: DataFrame, k: int, percent: int, range_bytes: int, flush: int
             sets = np.concatenate([np.frombuffer(s, dtype="<u8").reshape(-1, 2) for _, s in held])
             order = np.argsort(signs, kind="stable")
             signs, sets = signs[order], sets[order]
-            first = np.concatenate(([True], signs[1:] != signs[:-1]))
-            alone = first & np.append(first[1:], True)
+            first = np.ones(len(signs), dtype=bool)
+            first[1:] = signs[1:] != signs[:-1]
+            alone = first & np.append(first[1:], True)[: len(first)]
             signs, sets = signs[~alone], sets[~alone]
             order = np.lexsort((sets[:, 1], sets[:, 0], signs))
             signs, sets = signs[order], sets[order]
