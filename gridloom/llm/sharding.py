@@ -90,7 +90,8 @@ def reshard(rows: DataFrame, shards: int, capacities: list[int] | None = None) -
 
     capacities: bytes for each new shard; without them all are equal.
     """
-    rows = rows.withColumn("_at", F.xxhash64("doc_id", F.lit("order")))
+    own = [c for c in ("_file", "_row") if c in rows.columns]  # rows of one doc_id are spread by where they stand
+    rows = rows.withColumn("_at", F.xxhash64("doc_id", *own, F.lit("order")))
     sizes = {r["old"]: r["n"] for r in rows.groupBy("old").agg(F.sum("size").alias("n")).collect()}  # one row for each old shard
     supply = [int(sizes.get(i, 0)) for i in range(max(sizes, default=-1) + 1)]
     capacity = capacities or even(sum(supply), shards)
@@ -128,7 +129,8 @@ def sized(docs: DataFrame, overhead: int = 16, old_shards: int = 32) -> DataFram
 
 def place(docs: DataFrame, shards: int = 40, overhead: int = 16, old_shards: int = 32) -> DataFrame:
     """(doc_id, size, text_crc32, old, law, shard, slot, grown_shard) for every document."""
-    placed = reshard(kept(sized(docs, overhead, old_shards), "shard-sizes"), shards)
+    rows = sized(docs, overhead, old_shards).withColumn("_row", F.monotonically_increasing_id())
+    placed = reshard(kept(rows, "shard-sizes"), shards).drop("_row")
     return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -166,7 +168,7 @@ def read_shards(spark: SparkSession, path: str, shards: list[int] | None = None)
     there = F.lit(False)
     for version, own in by_version.items():
         there = there | ((F.col("version") == version) & F.col("shard").isin(own))
-    return spark.read.option("basePath", f"{path}/files").option("mergeSchema", True).parquet(f"{path}/files").where(there).drop("version")
+    return spark.read.option("basePath", f"{path}/files").option("mergeSchema", len(by_version) > 1).parquet(f"{path}/files").where(there).drop("version")
 
 
 def _located(docs: DataFrame, names: list[str]) -> DataFrame:
