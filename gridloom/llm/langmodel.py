@@ -13,7 +13,8 @@ blocks of texts travel to the segments of their hash ranges, and levels and
 exact counts come back to the blocks (`routed`).  Scores are the same.
 
 Probability: P(w|h) = a c(hw)/c(h) + (1 - a) P(w), P(w) = (c(w) + 0.1)/(N + 0.1 (V + 1)),
-with all c from the filter; a text's first word follows an end.
+with all c from the filter; a text's first word follows an end.  The weight a was
+chosen on held-out texts (those of sf0.1: README).
 
 The base score needs exact counts of words.  Up to `most_words` of them are
 broadcast (16 bytes each); with more, texts' words travel to the counts' ranges
@@ -261,11 +262,11 @@ def _exact(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, folds: int = 10, weight: float = 0.2, most_words: int = 6_000_000, most_bits: int = 1 << 29) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, weight: float = 0.2, most_words: int = 6_000_000, most_bits: int = 1 << 29, bits_each: float = 8.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; learns from those that are not held out."""
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", held_out(folds).alias("held_out"))
-    ranges = count(rows.where(~F.col("held_out")))
+    ranges = count(rows.where(~F.col("held_out")), bits_each=bits_each)
     fitted = model(ranges, weight, most_words, most_bits)
     if fitted.bits is None:
         return routed(rows, ranges, fitted)

@@ -214,11 +214,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6000
                     yield pa.RecordBatch.from_arrays([pa.array([float(quality[chunk.first + i])]), pa.array([f.index[a:b].astype("<i4").tobytes()]), pa.array([f.value[a:b].tobytes()])], names=["quality", "index", "value"])
 
     whole = kept(chosen.mapInArrow(rows, "quality double, index binary, value binary"), "quality-sample")
-    order = [F.crc32("index"), F.crc32("value"), F.octet_length("index")]
-    sizes = whole.select(*[c.alias(f"o{i}") for i, c in enumerate(order)]).withColumn("through", 2 * F.sum("o2").over(Window.orderBy("o0", "o1", "o2")))  # at most `sample` rows
+    order = [c.cast("long").alias(f"o{i}") for i, c in enumerate((F.crc32("index"), F.crc32("value"), F.octet_length("index")))]
+    sizes = whole.select(*order).withColumn("through", 2 * F.sum("o2").over(Window.orderBy("o0", "o1", "o2")))  # at most `sample` rows
     most = sizes.where(F.col("through") > sample_bytes).agg(F.min(F.struct("o0", "o1", "o2")).alias("most")).first()["most"]
     if most is not None:
-        whole = whole.where(F.struct(*order) < F.struct(*[F.lit(v) for v in most]))
+        whole = whole.where(F.struct(*order) < F.struct(*[F.lit(v).cast("long").alias(f"o{i}") for i, v in enumerate(most)]))
     got = whole.collect()  # at most `sample` rows of sample_bytes
     got.sort(key=lambda r: (zlib.crc32(r["index"]), zlib.crc32(r["value"]), r["quality"]))
     held = [Features(np.frombuffer(r["index"], dtype="<i4").astype(np.int64), np.frombuffer(r["value"], dtype="<f4"), np.array([0])) for r in got]

@@ -139,7 +139,8 @@ def dedup(rows: DataFrame, cosine: float = 0.98, tables: int = 4) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of rows(vec_id, embedding, label)."""
     rows = pick(rows, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long"), "embedding", "label")
     fit = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite("embedding") & F.exists("embedding", lambda x: x != 0)
-    vector = F.transform("embedding", lambda x: x + x * 0)  # no -0.0
+    zero = F.lit(0).cast(rows.schema["embedding"].dataType.elementType)
+    vector = F.transform("embedding", lambda x: x + zero)  # no -0.0
     named = rows.select("vec_id", "label", F.coalesce(fit, F.lit(False)).alias("fit"), vector.alias("vector"))
     named = named.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit("second"), "vector"), "code": F.xxhash64("label")})
     classes = named.where("fit").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("weight"), F.first("code").alias("code"), F.first("vector").alias("vector"))

@@ -129,7 +129,7 @@ def vectors():
     for i in range(400, 500):  # near copies in a chain, and exact copies
         v = np.array(rows[i - 40][1]) + rng.standard_normal(64) * (0.012 if i % 2 else 0.0)
         rows.append((i, v.astype(np.float32).tolist(), rows[i - 40][2]))
-    rows += [(500, None, 1), (501, [float("nan")] * 64, 1), (502, [0.0] * 64, 1), (503, [None] + [1.0] * 63, 1), (504, rows[0][1], None), (505, [1.0, 2.0], 1), (506, [float("inf")] * 64, 1), (7, rows[7][1], 1)]
+    rows += [(500, None, 1), (501, [float("nan")] * 64, 1), (502, [0.0] * 64, 1), (503, [None] + [1.0] * 63, 1), (504, rows[0][1], None), (505, [1.0, 2.0], 1), (506, [float("inf")] * 64, 1), (7, rows[7][1], 1), (507, [0.0, 1.0], 1), (508, [-0.0, 2.0], 1), (509, [-0.0, 1.0], 1)]
     return rows
 
 
@@ -222,6 +222,35 @@ def test_language_model(docs, none, most_words):
     assert langmodel.score(none).count() == 0
 
 
+def test_scores_against_exact_counts(docs):
+    """With a filter too wide for chance hits a score is that of the quantised counts, worked out by hand."""
+    rows = documents()
+    spoken = [[*words_of((r[1] or "").translate(FOLD)), "\n"] for r in rows]
+    out = [zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows]
+    single, double = Counter(), Counter()
+    for t, o in zip(spoken, out):
+        if not o:
+            single.update(t)
+            double.update(zip(["\n", *t], t))
+
+    def quantised(counts):
+        level = {w: 1 + int(np.floor(np.log(c) / np.log(1.5) + 1e-9)) for w, c in counts.items()}
+        mean = {q: np.mean([counts[w] for w in counts if level[w] == q]) for q in set(level.values())}
+        return {w: max(m for q, m in mean.items() if q <= level[w]) for w in counts}
+
+    one, two = quantised(single), quantised(double)
+    floor = sum(single.values()) + 0.1 * (len(single) + 1)
+
+    def p(h, w):
+        c = one.get(h, 0.0)
+        a = 0.2 if c else 0.0
+        return a * min(two.get((h, w), 0.0), c) / max(c, 1) + (1 - a) * (one.get(w, 0.0) + 0.1) / floor
+
+    want = sorted((r[0], round(sum(log10(p(h, w)) for h, w in zip(["\n", *t], t)), 4)) for r, t in zip(rows, spoken))
+    got = langmodel.score(docs, bits_each=400.0).collect()
+    assert sorted((r.doc_id, round(r.score, 4)) for r in got) == want
+
+
 def test_filter_counts():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**64, 20000, dtype=np.uint64))
@@ -338,6 +367,8 @@ def test_quality(docs, none, spark):
     assert sum(r.predicted == r.doc_id % 2 for r in held) >= 0.97 * len(held)
     assert quality.accepted(docs, labels).columns == docs.columns
     assert quality.classify(none, labels).count() == 0
+    few = quality.train(texts, labels.where("doc_id < 400"), sample_bytes=60_000)  # about a hundred rows' features
+    assert 0.3 < 1 / (1 + np.exp(-few.bias)) < 0.7 and few.linear.any() and not quality.train(texts, labels.where("doc_id < 400"), sample_bytes=10).linear.any()
     bare = quality.classify(texts, labels.where("false")).first()
     assert bare.score == 0.5
 
