@@ -134,7 +134,7 @@ def falling(length: list[int], room: int, weight=lambda i: 1.0) -> tuple[list, l
     return bins, fill
 
 
-def evolve(length: list[int], start: list[tuple[list, list]], room: int, population: int, generations: int, rng: random.Random, idle: int = 12) -> tuple[list, list]:
+def evolve(length: list[int], start: list[tuple[list, list]], room: int, population: int, generations: int, rng: random.Random, idle: int = 4) -> tuple[list, list]:
     """The best solution found; ends early at lower_bound(), or after `idle` generations without a better one."""
     least = lower_bound(length, room)
     alive = list(start) or [falling(length, room)]
@@ -180,14 +180,16 @@ def _seed(room: int):
     return run
 
 
-def _epoch(room: int, population: int, generations: int, last: bool):
+def _epoch(room: int, population: int, effort: int, last: bool):
     def run(key, items: pd.DataFrame) -> pd.DataFrame:
         group, island = int(key[0]), int(key[1])
         elites = sorted(c for c in items.columns if c.startswith("bin") and items[c].notna().all())
         items = items.sort_values("uid").reset_index(drop=True)
         length = items["length"].tolist()
         start = [_bins_of(items, c, length) for c in elites]
-        return _packed(group, island, items, evolve(length, start, room, population, generations, random.Random(f"{group} {island} {last}")), room)
+        generations = max(2, effort // max(1, len(length) * (population // 2)))
+        found = evolve(length, start, room, population, generations, random.Random(f"{group} {island} {last}"), max(2, generations // 2))
+        return _packed(group, island, items, found, room)
 
     return run
 
@@ -195,19 +197,19 @@ def _epoch(room: int, population: int, generations: int, last: bool):
 PLACED = "group long, island int, uid long, length int, bin long, offset long, fill long, bins long, solved boolean"
 
 
-def evolved(hard: DataFrame, room: int, islands: int, population: int, generations: int) -> DataFrame:
+def evolved(hard: DataFrame, room: int, islands: int, population: int, effort: int) -> DataFrame:
     """The rows of PLACED of the best packing found for each group of hard(group, uid, length, bin0), bin0 being its first packing."""
     apart = F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))
-    first = kept(hard.withColumn("island", apart).groupBy("group", "island").applyInPandas(_epoch(room, population, generations, False), PLACED), "pack-epoch")
+    first = kept(hard.withColumn("island", apart).groupBy("group", "island").applyInPandas(_epoch(room, population, effort, False), PLACED), "pack-epoch")
     # Migration: every island of a group gets the elites of all, the best packing wins.
     elites = first.groupBy("group", "uid", "length").agg(*[F.max(F.when(F.col("island") == i, F.col("bin"))).alias(f"bin{i}") for i in range(islands)])
-    second = kept(elites.withColumn("island", apart).groupBy("group", "island").applyInPandas(_epoch(room, population, generations, True), PLACED), "pack-epoch")
+    second = kept(elites.withColumn("island", apart).groupBy("group", "island").applyInPandas(_epoch(room, population, effort, True), PLACED), "pack-epoch")
     best = second.groupBy("group").agg(F.min(F.struct("bins", "island")).alias("best")).select(F.col("group").alias("_group"), F.col("best.island").alias("_island"))  # one row a group
     return second.join(best, (F.col("group") == F.col("_group")) & (F.col("island") == F.col("_island"))).drop("_group", "_island")
 
 
-def arrange(items: DataFrame, room: int, group_size: int = 8192, islands: int = 2, population: int = 12, generations: int = 40, rounds: int = 3) -> DataFrame:
-    """(uid, sequence_id, offset) of items(uid, length), each shorter than room."""
+def arrange(items: DataFrame, room: int, group_size: int = 8192, islands: int = 2, population: int = 12, effort: int = 60_000, rounds: int = 3) -> DataFrame:
+    """(uid, sequence_id, offset) of items(uid, length), each shorter than room. effort: pieces that the crossovers of an island may handle in an epoch, so that small groups evolve for longer."""
     done = None
     for k in range(rounds):
         groups = max(1, -(-items.count() // group_size))
@@ -215,7 +217,7 @@ def arrange(items: DataFrame, room: int, group_size: int = 8192, islands: int =
         found = kept(dealt.groupBy("group").applyInPandas(_seed(room), PLACED), "pack-seeds")
         hard = found.where("not solved")
         if hard.limit(1).count():
-            found = found.where("solved").unionByName(evolved(hard.select("group", "uid", "length", F.col("bin").alias("bin0")), room, islands, population, generations))
+            found = found.where("solved").unionByName(evolved(hard.select("group", "uid", "length", F.col("bin").alias("bin0")), room, islands, population, effort))
         found = found.select("uid", "length", "offset", "fill", (F.lit(k + 1) * F.lit(1 << 56) + F.col("group") * (1 << 24) + F.col("bin")).alias("sequence_id"))
         final = k == rounds - 1 or groups == 1
         good = found if final else found.where(F.col("fill") >= room - room // 128)

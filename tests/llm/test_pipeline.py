@@ -147,5 +147,5 @@ def test_islands_gain_on_hard_groups(spark):
     assert least <= len(best[0]) < min(plain, first)
     assert packing.lower_bound([600] * 5, 1000) == 5 and packing.lower_bound([400] * 5, 1000) == 3 and packing.lower_bound([], 10) == 0
     items = spark.createDataFrame(list(enumerate(length)), "uid long, length int")
-    got = packing.arrange(items, room, population=24, generations=80).collect()
+    got = packing.arrange(items, room, population=24, effort=300_000).collect()
     assert len(got) == 90 and len({r.sequence_id for r in got}) < plain
