@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import core, temporal, units, url
 from .types import TYPES
-from .values import VALUE, Value
+from .values import VALUE, Value, bound
 
 DATES, CLOCKS, ANY = ("date", "datetime", "zoned"), ("time", "datetime", "zoned"), ("date", "time", "datetime", "zoned")
 
@@ -120,15 +120,23 @@ def call(name: str, *args: object) -> Value:
     fn = FUNCTIONS[key]
     if not fn.least <= len(args) <= len(fn.takes):
         return _refused(fn, args)
-    given, failed, values = [], F.lit(False), []
+    given = [None if i in fn.fixed else Value.of(x) for i, x in enumerate(args)]
+    for i, (v, kinds) in enumerate(zip(given, fn.takes)):
+        if v is not None and (_kind(v) not in kinds or (i and kinds == ANY and _kind(v) != _kind(given[0]))):
+            return _refused(fn, args)
+    made = lambda *values: _made(key, fn, args, list(values))
+    values = [v for v in given if v is not None]
+    return made(*values) if fn.f is temporal.IS_DST or not values else bound(values, made)
+
+
+def _made(key: str, fn: Function, args: tuple, values: list[Value]) -> Value:
+    """The value of checked arguments; values: those that are not fixed."""
+    given, failed, rest = [], F.lit(False), list(values)
     for i, (x, kinds) in enumerate(zip(args, fn.takes)):
         if i in fn.fixed:
             given.append(x)
             continue
-        v = Value.of(x)
-        values.append(v)
-        if _kind(v) not in kinds or (i and kinds == ANY and _kind(v) != _kind(values[0])):
-            return _refused(fn, args)
+        v = rest.pop(0)
         failed = failed | v.col.isNull()
         if kinds == DATES and _kind(v) != "date":
             given.append(_civil(v))
@@ -140,12 +148,8 @@ def call(name: str, *args: object) -> Value:
     err = F.when(failed | out.isNull(), units.UNIT_ERROR if key == "CONVERT" else VALUE)
     before = [v.err for v in values if v.err is not None]
     err = F.coalesce(*before, err) if before else err
-    return _made(fn, args, F.when(err.isNull(), out), err)
-
-
-def _made(fn: Function, args: tuple, out: Column, err: Column) -> Value:
-    gives = fn.gives if isinstance(fn.gives, str) else _kind(Value.of(args[fn.gives]))
-    return Value(out, "custom" if gives in TYPES else gives, err, TYPES.get(gives))
+    gives = fn.gives if isinstance(fn.gives, str) else _kind(values[fn.gives])
+    return Value(F.when(err.isNull(), out), "custom" if gives in TYPES else gives, err, TYPES.get(gives))
 
 
 def _refused(fn: Function, args: tuple) -> Value:

@@ -93,6 +93,24 @@ def _unlike(order: Column) -> Column:
     return order != 0
 
 
+def bound(values: list[Value], f: Callable[..., Value | None]) -> Value | None:
+    """f of the values. Where one of them can fail, each stands once in the plan, as a struct of value and error, and so does the result: formulas may nest to any depth."""
+    if all(v.err is None for v in values):
+        return f(*values)
+    none, found = F.lit(None).cast("string"), []
+    packed = [v.both if v.both is not None else F.struct(v.col.alias("value"), (none if v.err is None else v.err).alias("error")) for v in values]
+
+    def body(s: Column) -> Column:
+        inner = [Value(s[f"a{i}"]["value"], v.kind, None if v.err is None else s[f"a{i}"]["error"], v.handler) for i, v in enumerate(values)]
+        found.append(f(*inner))
+        out = found[-1]
+        return none if out is None else F.struct(out.col.alias("value"), (none if out.err is None else out.err).alias("error"))
+
+    both = let(F.struct(*[p.alias(f"a{i}") for i, p in enumerate(packed)]), body)
+    out = found[-1]
+    return None if out is None else Value(both["value"], out.kind, both["error"], out.handler, both)
+
+
 @dataclass(eq=False)
 class Value:
     """A typed column of a sheet; operators follow the sheet's rules and keep to expressions."""
@@ -101,6 +119,8 @@ class Value:
     kind: str
     err: Column | None = None
     handler: CustomType | None = None
+    #: struct<value, error>, of which col and err are the fields, where they were worked out together.
+    both: Column | None = None
 
     @staticmethod
     def of(x: object) -> Value:
@@ -180,12 +200,18 @@ class Value:
 
     def _asked(self, op: str, other: Value) -> Value | None:
         """What the handlers make of self op other; None if there are none or they decline."""
-        for v in (self, other):
-            if v.handler is not None and (out := v.handler.binary(op, self, other)) is not None:
-                out = out if isinstance(out, Value) else Value(out, "custom", None, v.handler)
-                err = self.error(other, out)
-                return Value(out.col if err is None else F.when(err.isNull(), out.col), out.kind, err, out.handler)
-        return None
+        if self.handler is None and other.handler is None:
+            return None
+
+        def made(a: Value, b: Value) -> Value | None:
+            for v in (a, b):
+                if v.handler is not None and (out := v.handler.binary(op, a, b)) is not None:
+                    out = out if isinstance(out, Value) else Value(out, "custom", None, v.handler)
+                    err = a.error(b, out)
+                    return Value(out.col if err is None else F.when(err.isNull(), out.col), out.kind, err, out.handler)
+            return None
+
+        return bound([self, other], made)
 
     def _arith(self, op: str, other: object, f, fail: Callable[[Value], Column] | None = None) -> Value:
         other = Value.of(other)
@@ -286,6 +312,11 @@ class Value:
 
     def _compare(self, other: object, test) -> Value:
         other = Value.of(other)
+        if "custom" in (self.kind, other.kind):
+            return bound([self, other], lambda a, b: Value._compared(a, b, test))
+        return self._compared(other, test)
+
+    def _compared(self, other: Value, test) -> Value:
         err = self.error(other)
         if "custom" in (self.kind, other.kind):
             failed = next((f for v in (self, other) if v.handler is not None and (f := v.handler.mismatch(self, other)) is not None), None)
