@@ -13,8 +13,8 @@ blocks of texts travel to the segments of their hash ranges, and levels and
 exact counts come back to the blocks (`routed`).  Scores are the same.
 
 Probability: P(w|h) = a c(hw)/c(h) + (1 - a) P(w), P(w) = (c(w) + 0.1)/(N + 0.1 (V + 1)),
-with all c from the filter; a text's first word follows an end.  The weight a was
-chosen on held-out texts (those of sf0.1: README).
+with all c from the filter; a text's first word follows an end.  The weight a is
+a parameter; its default was not tuned on held-out texts.
 
 The base score needs exact counts of words.  Up to `most_words` of them are
 broadcast (16 bytes each); with more, texts' words travel to the counts' ranges
