@@ -8,9 +8,11 @@ A reader probes j = 1, 2, ... until a miss and takes the mean count of the last
 level, so that all counts of an order still sum to what was counted.
 
 Size: `bits_each` bits for each entry (n-gram and level), whatever the corpus.
-A filter of at most `most_bits` (64 MB) is broadcast; with more, the probes of
-blocks of texts travel to the segments of their hash ranges, and levels and
-exact counts come back to the blocks (`routed`).  Scores are the same.
+A corpus whose filter takes at most `most_bits` (64 MB), as its bytes alone show,
+is counted first and the filter broadcast.  With more, blocks of texts send their
+distinct words and pairs once: the task of a hash range counts them, builds the
+range's segment, probes it for all who sent, and levels and exact counts come
+back to the blocks (`routed`).  Scores are the same.
 
 Probability: P(w|h) = a c(hw)/c(h) + (1 - a) P(w), P(w) = (c(w) + 0.1)/(N + 0.1 (V + 1)),
 with all c from the filter; a text's first word follows an end.  The weight a is
@@ -36,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import kept, pick
-from .text import Chunk, U64, avalanche, begin, chunks, sliced
+from .text import Chunk, U64, avalanche, begin, binaries, chunks, sliced
 
 END = U64(0x656E64206F662074)
 PROBES = 4
 FLUSH = 1_500_000
 #: Bits that positions() can address in a segment.
 ADDRESSED = 1 << 32
+#: Bytes of text in a block that sends its n-grams together, and of text whose n-grams a hash range gets.
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 
 
 def token_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +98,28 @@ def segment(parts: list[tuple[np.ndarray, np.ndarray]], base: float, bits_each:
     return np.packbits(bits, bitorder="little"), size
 
 
+def spread(parts: list[tuple[np.ndarray, np.ndarray]], base: float) -> list[list[float]]:
+    """For each order, of each level the number of n-grams and the sum of their counts."""
+    out = []
+    for _, counts in parts:
+        q = levels(counts, base)
+        out += [np.bincount(q).astype(float).tolist(), np.bincount(q, weights=counts).tolist()]
+    return out
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers of 64 bits in as many bytes each as the greatest needs; the first byte tells how many."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def widened(raw: memoryview | bytes) -> np.ndarray:
+    width = raw[0]
+    full = np.zeros(((len(raw) - 1) // width, 8), dtype=np.uint8)
+    full[:, :width] = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(-1, width)
+    return full.view("<u8").reshape(-1)
+
+
 @dataclass
 class Counts:
     """What scoring needs: the filter's segments, the level means of both orders, N, V and, within the bound, exact counts of words."""
@@ -121,8 +147,12 @@ class Counts:
         return self.means[order - 1][self.level(keys, order)]
 
     def level(self, keys: np.ndarray, order: int) -> np.ndarray:
+        return self.run(keys, len(self.means[order - 1]) - 1)
+
+    def run(self, keys: np.ndarray, most: int = 255) -> np.ndarray:
+        """How many levels from 1 on the filter has of each key."""
         found, alive = np.zeros(len(keys), dtype=np.uint8), np.arange(len(keys))
-        for j in range(1, len(self.means[order - 1])):
+        for j in range(1, most + 1):
             alive = alive[self.has(keys[alive], j)]
             if not len(alive):
                 break
@@ -157,7 +187,7 @@ def held_out(folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, range_bytes: int = 8 << 20) -> DataFrame:
+def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row for each hash range: exact word counts, the filter's segment, and for each order and level the number of n-grams and their sum."""
     text_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(4, math.ceil(math.log2(max(1, text_bytes / range_bytes))))
@@ -194,10 +224,7 @@ def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, range_byte
         def close(at: int, held: list[list]) -> pa.RecordBatch:
             parts = [counted(np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]).astype(np.int64)) for own in held]
             packed, size = segment(parts, base, bits_each, ADDRESSED)
-            means = []
-            for _, counts in parts:
-                q = levels(counts, base)
-                means += [np.bincount(q).astype(float).tolist(), np.bincount(q, weights=counts).tolist()]
+            means = spread(parts, base)
             (keys, counts), _ = parts
             return pa.RecordBatch.from_arrays(
                 [pa.array([at], pa.int32()), pa.array([keys.tobytes()]), pa.array([counts.astype("<u8").tobytes()]), pa.array([packed.tobytes()]), pa.array([size], pa.int64()), pa.array([means], pa.list_(pa.list_(pa.float64()))), pa.array([int(counts.sum())], pa.int64()), pa.array([len(keys)], pa.int64())],
@@ -220,11 +247,10 @@ def count(docs: DataFrame, base: float = 1.5, bits_each: float = 8.0, range_byte
     return kept(packed.repartition("range").sortWithinPartitions("range").mapInArrow(reduce_side, RANGES), "lm-counts")
 
 
-def model(ranges: DataFrame, weight: float, most_words: int, most_bits: int) -> Counts:
-    """Gathers the bounded parts: segments, if they are at most most_bits in all (else bits is None), and with them, if they are at most most_words, the exact word counts."""
-    size = ranges.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n"), F.sum("size").alias("bits")).first()
+def model(ranges: DataFrame, weight: float, most_words: int, whole_filter: bool) -> Counts:
+    """Gathers the bounded parts: the level means, the segments if whole_filter (else bits is None), and with them, if they are at most most_words, the exact word counts."""
+    size = ranges.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     total, distinct = int(size["n"] or 0), int(size["v"] or 0)
-    whole_filter = int(size["bits"] or 0) <= most_bits
     exact = whole_filter and distinct <= most_words
     wanted = ["range", "size", "means", *(["bits"] if whole_filter else []), *(["keys1", "counts1"] if exact else [])]
     rows = sorted(ranges.select(*wanted).toLocalIterator(), key=lambda r: r["range"])
@@ -266,10 +292,12 @@ def score(docs: DataFrame, folds: int = 10, weight: float = 0.2, most_words: int
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; learns from those that are not held out."""
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", held_out(folds).alias("held_out"))
+    # n bytes hold n / 2 words and the texts' ends at most, as many pairs, and a level is never above its count.
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("docs")).first()
+    if bits_each * ((size["n"] or 0) + 3 * size["docs"]) > most_bits:
+        return routed(rows, size["n"] or 0, weight, bits_each)
     ranges = count(rows.where(~F.col("held_out")), bits_each=bits_each)
-    fitted = model(ranges, weight, most_words, most_bits)
-    if fitted.bits is None:
-        return routed(rows, ranges, fitted)
+    fitted = model(ranges, weight, most_words, True)
     sent = spark.sparkContext.broadcast(fitted)
     total, distinct = fitted.total, fitted.distinct
     shift, floor, exact = fitted.shift, fitted.floor(), fitted.words is not None
@@ -348,77 +376,134 @@ def _with_uid(function):
     return run
 
 
-BLOCKS = "block long, range int, doc_id array<long>, held_out array<boolean>, text array<string>, levels1 binary, counts1 binary, levels2 binary"
-ASKED = "range int, asked int, block long, keys1 binary, counts1 binary, keys2 binary, bits binary, size long"
+BLOCKS = "block long, range int, doc_id array<long>, held_out array<boolean>, ends array<long>, text binary, levels1 binary, counts1 binary, levels2 binary"
+ASKED = "range int, block long, keys1 binary, counts1 binary, keys2 binary, counts2 binary"
+ANSWERS = "block long, range int, levels1 binary, counts1 binary, levels2 binary, size long, means array<array<double>>, total long, distinct long"
 
 
-def routed(rows: DataFrame, ranges: DataFrame, fitted: Counts) -> DataFrame:
-    """score() with a filter larger than may be broadcast.
+def routed(rows: DataFrame, text_bytes: int, weight: float, bits_each: float, base: float = 1.5, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """score() with a filter larger than may be broadcast; rows(doc_id, text, held_out).
 
-    Texts are held in blocks.  A block asks each hash range once for its distinct
-    words and pairs; a range answers a level for each and the words' exact counts,
-    in the order asked.  Hash ranges in rising order are the sorted keys again.
+    Texts are held in blocks, compressed.  A block sends each hash range once its
+    distinct words and pairs, sorted, as differences, with their counts in the
+    block's training texts (0: only asked for).  The range's task adds the counts
+    up, builds the segment and answers a level for each n-gram and the words'
+    exact counts, in the order sent.  Hash ranges in rising order are the sorted
+    keys again.  A row of no block has the range's level means.
     """
-    shift, means, total, distinct, weight = fitted.shift, fitted.means, fitted.total, fitted.distinct, fitted.weight
+    shift = 64 - max(4, math.ceil(math.log2(max(1, text_bytes / range_bytes))))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                part = batch.slice(chunk.first, len(chunk))
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(chunk)], pa.int32()), part.column(i)) for i in (0, 2, 1)]
-                none = pa.array([None], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(3).slice(0, 1), pa.array([-1], pa.int32()), *lists, none, none, none], names=["block", "range", "doc_id", "held_out", "text", "levels1", "counts1", "levels2"])
+        import zstandard
+        from pyspark import TaskContext
+
+        begin()
+        name, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> pa.RecordBatch:
+            doc_ids, texts, outs = (pa.chunked_array([b.column(i) for b in held]).combine_chunks() for i in range(3))
+            (chunk,) = chunks(texts, 1 << 60)
+            raw = zstandard.ZstdCompressor(level=1).compress(chunk.data.tobytes())
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(chunk)], pa.int32()), own) for own in (doc_ids, outs, pa.array(chunk.offsets[1:], pa.int64()))]
+            none = pa.array([None], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([-1], pa.int32()), *lists, pa.array([raw], pa.binary()), none, none, none], names=["block", "range", "doc_id", "held_out", "ends", "text", "levels1", "counts1", "levels2"])
 
-    def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (chunk,) = chunks(texts, 1 << 60)
-        tokens, of = token_hashes(chunk)
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= block_bytes:
+                yield flush()
+                name, held, size = name + 1, [], 0
+        if sum(b.num_rows for b in held):
+            yield flush()
+
+    def grams(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of a block's tokens and pairs, and the documents' offsets."""
+        import zstandard
+
+        offsets = np.concatenate(([0], ends)).astype(np.int64)
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(zstandard.ZstdDecompressor().decompress(raw))])
+        tokens, lengths = zip(*((own, np.diff(of)) for own, of in map(token_hashes, chunks(texts))))
+        tokens, of = np.concatenate(tokens), np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
         return tokens, pair_hashes(tokens, of), of
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
+        edges = np.arange(1 << (64 - shift), dtype=U64) << U64(shift)
         for batch in batches:
             for i, name in enumerate(batch.column(0).to_pylist()):
-                tokens, pairs, _ = grams(batch.column(1)[i].values)
-                held = [np.unique(tokens), np.unique(pairs)]
-                parts = [(keys >> U64(shift)).astype(np.int64) for keys in held]
-                wanted = np.unique(np.concatenate(parts))
+                tokens, pairs, of = grams(batch.column(3)[i].as_py(), batch.column(2)[i].values.to_numpy())
+                learnt = np.repeat(~batch.column(1)[i].values.to_numpy(zero_copy_only=False), np.diff(of)).astype(np.int64)
                 columns = []
-                for keys, part in zip(held, parts):
-                    cuts = zip(np.searchsorted(part, wanted).tolist(), np.searchsorted(part, wanted, side="right").tolist())
-                    columns.append(pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()))
-                n = len(wanted)
-                none = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(wanted.astype(np.int32)), pa.array([1] * n, pa.int32()), pa.array([name] * n, pa.int64()), columns[0], none, columns[1], none, pa.nulls(n, pa.int64())], names=["range", "asked", "block", "keys1", "counts1", "keys2", "bits", "size"])
+                for values in (tokens, pairs):
+                    keys, counts = counted(values, learnt)
+                    cuts = [*np.searchsorted(keys, edges).tolist(), len(keys)]
+                    columns.append([narrow(np.diff(keys[a:b], prepend=e)) for a, b, e in zip(cuts, cuts[1:], edges)])
+                    columns.append([narrow(counts[a:b]) for a, b in zip(cuts, cuts[1:])])
+                n = len(edges)
+                yield from sliced(pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array([name] * n, pa.int64()), *(pa.array(own, pa.binary()) for own in columns)], names=["range", "block", "keys1", "counts1", "keys2", "counts2"]))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, lm, words = None, None, None
+        import zstandard
+
+        begin()
+
+        def close(at: int, blocks: list[int], held: list[list]) -> Iterator[pa.RecordBatch]:
+            sent, parts = [], []
+            for own in held:
+                lengths = [len(k) for k, _ in own]
+                keys, back = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+                counts = np.bincount(back, weights=np.concatenate([c for _, c in own]), minlength=len(keys)).astype(np.int64)
+                own.clear()
+                sent.append((keys, back, counts, np.concatenate(([0], np.cumsum(lengths)))))
+                parts.append((keys[counts > 0], counts[counts > 0]))
+            packed, size = segment(parts, base, bits_each, ADDRESSED)
+            lm = Counts(63, packed, np.zeros(2, dtype=np.int64), np.full(2, size), [], 0, 0, None, weight)
+            press = zstandard.ZstdCompressor(level=1).compress
+            columns = []
+            for keys, back, counts, cuts in sent:
+                found = lm.run(keys)[back]
+                columns.append([press(found[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])])
+                columns.append([narrow(counts[back[a:b]]) for a, b in zip(cuts, cuts[1:])])
+            columns = [pa.array([*own, None], pa.binary()) for own in columns[:3]]
+            n, own = len(blocks), parts[0][1]
+            last = lambda x, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array([x], kind)])
+            many = pa.list_(pa.list_(pa.float64()))
+            yield from sliced(pa.RecordBatch.from_arrays([pa.array([*blocks, None], pa.int64()), pa.array([at] * (n + 1), pa.int32()), *columns, last(size, pa.int64()), last(spread(parts, base), many), last(int(own.sum()), pa.int64()), last(len(own), pa.int64())], names=["block", "range", "levels1", "counts1", "levels2", "size", "means", "total", "distinct"]))
+
+        at, blocks, held = None, [], [[], []]
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, (name, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                keys1 = np.frombuffer(batch.column(3)[i].as_py(), dtype="<u8")
-                if not asked:
-                    size, bits = batch.column(7)[i].as_py(), np.frombuffer(batch.column(6)[i].as_py(), dtype=np.uint8)
-                    at, words = name, (keys1, np.frombuffer(batch.column(4)[i].as_py(), dtype="<u8"))
-                    lm = Counts(63, bits, np.zeros(2, dtype=np.int64), np.full(2, size), means, total, distinct, None, weight)
-                    continue
-                keys2, here = np.frombuffer(batch.column(5)[i].as_py(), dtype="<u8"), at == name
-                found = [lm.level(keys, k) if here else np.zeros(len(keys), dtype=np.uint8) for k, keys in ((1, keys1), (2, keys2))]
-                counts = _exact(keys1, *words).astype("<u8") if here else np.zeros(len(keys1), dtype="<u8")
-                for own, value in zip(out, (batch.column(2)[i].as_py(), name, found[0].tobytes(), counts.tobytes(), found[1].tobytes())):
-                    own.append(value)
-            n = len(out[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_())), pa.nulls(n, pa.list_(pa.string())), *(pa.array(own, pa.binary()) for own in out[2:])],
-                names=["block", "range", "doc_id", "held_out", "text", "levels1", "counts1", "levels2"],
-            )
+            raws = [binaries(batch.column(i)) for i in range(2, 6)]
+            for i, (part, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if part != at:
+                    if blocks:
+                        yield from close(at, blocks, held)
+                    at, blocks, held = part, [], [[], []]
+                blocks.append(name)
+                for k, own in enumerate(held):
+                    own.append(((U64(part) << U64(shift)) + np.cumsum(widened(raws[2 * k][i]), dtype=U64), widened(raws[2 * k + 1][i])))
+        if blocks:
+            yield from close(at, blocks, held)
+
+    blocks = kept(rows.select("doc_id", "text", "held_out").mapInArrow(block, BLOCKS), "lm-blocks")
+    asked = blocks.select("block", "held_out", "ends", "text").mapInArrow(ask, ASKED)
+    answers = kept(asked.repartition("range").sortWithinPartitions("range").mapInArrow(answer, ANSWERS), "lm-answers")
+    fitted = model(answers.where("block IS NULL"), weight, 0, False)
+    means, total, distinct = fitted.means, fitted.total, fitted.distinct
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        begin()
         lm = Counts(63, None, None, None, means, total, distinct, None, weight)
+        plain = zstandard.ZstdDecompressor().decompress
 
-        def scores(docs: list[pa.Array], parts: list[list[bytes]]) -> pa.RecordBatch:
-            tokens, pairs, of = grams(docs[2])
-            level1, counts, level2 = (np.frombuffer(b"".join(own), dtype=kind) for own, kind in zip(parts, ("u1", "<u8", "u1")))
+        def scores(docs: list, parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            tokens, pairs, of = grams(docs[3], docs[2].to_numpy())
+            level1, counts, level2 = (np.concatenate(own) for own in parts)
             own, back = np.unique(tokens, return_inverse=True)
-            single, pair = means[0][level1], means[1][level2][np.unique(pairs, return_inverse=True)[1]]
+            single, pair = (m[np.minimum(found, len(m) - 1)] for m, found in zip(means, (level1, level2)))
+            pair = pair[np.unique(pairs, return_inverse=True)[1]]
             base = np.add.reduceat(lm.base(counts.astype(float))[back], of[:-1])
             known = np.add.reduceat((counts > 0).astype(np.int64)[back], of[:-1])
             score = lm.interpolated(of, single[back], pair, single[np.searchsorted(own, END)])
@@ -430,17 +515,15 @@ def routed(rows: DataFrame, ranges: DataFrame, fitted: Counts) -> DataFrame:
                 if part < 0:
                     if docs:
                         yield scores(docs, parts)
-                    docs, parts = [batch.column(k)[i].values for k in (2, 3, 4)], [[], [], []]
+                    docs, parts = [*(batch.column(k)[i].values for k in (2, 3, 4)), batch.column(5)[i].as_py()], [[], [], []]
                 else:
-                    for own, k in zip(parts, (5, 6, 7)):
-                        own.append(batch.column(k)[i].as_py())
+                    level1, counts, level2 = (batch.column(k)[i].as_py() for k in (6, 7, 8))
+                    for own, found in zip(parts, (np.frombuffer(plain(level1), dtype=np.uint8), widened(counts), np.frombuffer(plain(level2), dtype=np.uint8))):
+                        own.append(found)
         if docs:
             yield scores(docs, parts)
 
-    blocks = kept(rows.withColumn("uid", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "uid").mapInArrow(block, BLOCKS), "lm-blocks")
     none = F.lit(None)
-    held = ranges.select("range", F.lit(0).alias("asked"), none.cast("long").alias("block"), "keys1", "counts1", none.cast("binary").alias("keys2"), "bits", "size")
-    asked = blocks.select("block", "text").mapInArrow(ask, ASKED)
-    answers = held.union(asked).repartition("range").sortWithinPartitions("range", "asked").mapInArrow(answer, BLOCKS)
-    out = blocks.union(answers).repartition("block").sortWithinPartitions("block", "range").mapInArrow(close, SCORES)
+    back = answers.where("block IS NOT NULL").select("block", "range", none.cast("array<long>").alias("doc_id"), none.cast("array<boolean>").alias("held_out"), none.cast("array<long>").alias("ends"), none.cast("binary").alias("text"), "levels1", "counts1", "levels2")
+    out = blocks.union(back).repartition("block").sortWithinPartitions("block", "range").mapInArrow(close, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

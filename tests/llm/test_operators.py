@@ -207,6 +207,25 @@ def test_language_model_beyond_the_broadcast_bound(docs):
         langmodel.segment([(np.arange(2000, dtype=np.uint64), np.ones(2000))], 1.5, 8.0, 1 << 12)
 
 
+def test_language_model_sends_each_block_once(spark, monkeypatch):
+    """Beyond the broadcast bound texts go in large compressed blocks, which ask and count in one shuffle."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, made(300, rng)) for i in range(1500)], "doc_id long, text string").coalesce(1)
+    made_tables, kept = {}, langmodel.kept
+    monkeypatch.setattr(langmodel, "kept", lambda df, name: made_tables.setdefault(name, kept(df, name)))
+    got = langmodel.score(docs, most_bits=1 << 12)
+    assert got.count() == 1500 and "lm-counts" not in made_tables
+    blocks = made_tables["lm-blocks"]
+    assert blocks.count() == 1  # before: one for each 256 KB
+    assert blocks.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] < 0.7 * docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"]
+
+
+def test_narrow_numbers():
+    for values in ([], [0], [255, 0], [256], [2**64 - 1, 3]):
+        values = np.array(values, dtype=np.uint64)
+        assert langmodel.widened(langmodel.narrow(values)).tolist() == values.tolist()
+
+
 @pytest.mark.parametrize("most_words", [6_000_000, 10])
 def test_language_model(docs, none, most_words):
     rows = documents()
