@@ -29,7 +29,7 @@ from __future__ import annotations
 import heapq
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import kept, pick, running, shielded
@@ -85,13 +85,26 @@ def even(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
+#: The order of the rows of a bucket, and within a shard.
+TIES = ["_at", "doc_id", "size"]
+
+
+def _at(rows: DataFrame) -> Column:
+    """A row's place in the order of a shard; rows of one doc_id are spread by where they stand."""
+    return F.xxhash64("doc_id", *[c for c in ("_file", "_row") if c in rows.columns], F.lit("order"))
+
+
+def _bucket() -> Column:
+    """The leading part of the order in which an old shard is cut: falling size classes, each in 64 parts."""
+    return F.floor(F.log2(F.col("size") + 1) * 32) * -64 + F.shiftright("_at", 58) + 32
+
+
 def reshard(rows: DataFrame, shards: int, capacities: list[int] | None = None) -> DataFrame:
     """Adds shard and slot (gapless from 0 within a shard) to rows(doc_id, size, old, ...); old: the present shard, from 0.
 
     capacities: bytes for each new shard; without them all are equal.
     """
-    own = [c for c in ("_file", "_row") if c in rows.columns]  # rows of one doc_id are spread by where they stand
-    rows = rows.withColumn("_at", F.xxhash64("doc_id", *own, F.lit("order")))
+    rows = rows.withColumn("_at", _at(rows))
     sizes = {r["old"]: r["n"] for r in rows.groupBy("old").agg(F.sum("size").alias("n")).collect()}  # one row for each old shard
     supply = [int(sizes.get(i, 0)) for i in range(max(sizes, default=-1) + 1)]
     capacity = capacities or even(sum(supply), shards)
@@ -104,15 +117,13 @@ def reshard(rows: DataFrame, shards: int, capacities: list[int] | None = None) -
         for j in sorted((j for k, j in flow if k == i), key=lambda j: (j != i, j)):
             at += flow[(i, j)]
             cuts.append((i, at, j))
-    spread = F.shiftright("_at", 58) + 32
-    bucket = F.floor(F.log2(F.col("size") + 1) * 32) * -64 + spread
-    rows = running(rows, "old", [F.col("_at"), F.col("doc_id"), F.col("size")], F.col("size"), bucket, "_through")
+    rows = running(rows, "old", TIES, F.col("size"), _bucket(), "_through")
     ends = {i: [(c[1], c[2]) for c in cuts if c[0] == i] for i in range(len(supply))}
     table = F.create_map(*[x for i, own in ends.items() if own for x in (F.lit(i), F.array(*[F.struct(F.lit(e).cast("long").alias("end"), F.lit(j).alias("to")) for e, j in own]))]) if cuts else None
     middle = F.col("_through") * 2 - F.col("size")
     to = F.lit(0) if table is None else F.coalesce(F.element_at(F.filter(table[F.col("old")], lambda c: c["end"] * 2 > middle), 1)["to"], F.element_at(table[F.col("old")], -1)["to"])
     rows = rows.withColumn("shard", to.cast("int"))
-    rows = running(rows, "shard", [F.col("_at"), F.col("doc_id"), F.col("size")], F.lit(1), F.shiftright("_at", 54), "slot")
+    rows = running(rows, "shard", TIES, F.lit(1), F.shiftright("_at", 54), "slot")
     return rows.withColumn("slot", (F.col("slot") - 1).cast("long")).drop("_at", "_through")
 
 
@@ -151,10 +162,14 @@ def _versions(spark: SparkSession, path: str) -> dict[int, int]:
 
 def commit(rows: DataFrame, path: str, shards: list[int]) -> None:
     """Writes rows (with shard and slot) as the next version of those shards in the store at path."""
-    spark = rows.sparkSession
-    version = max(_versions(spark, path).values(), default=-1) + 1
     parts = F.pmod(F.xxhash64("slot"), F.lit(16))
-    ordered = rows.repartition("shard", parts).sortWithinPartitions("shard", "slot")
+    _write(rows.repartition("shard", parts).sortWithinPartitions("shard", "slot"), path, shards)
+
+
+def _write(ordered: DataFrame, path: str, shards: list[int]) -> None:
+    """commit() of rows that lie as they are to be written."""
+    spark = ordered.sparkSession
+    version = max(_versions(spark, path).values(), default=-1) + 1
     ordered.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/files/version={version}")
     spark.createDataFrame([(s, version) for s in shards], "shard int, version int").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
@@ -179,6 +194,31 @@ def _located(docs: DataFrame, names: list[str]) -> DataFrame:
         return kept(docs.select(*names, F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row")), "shard-rows")
 
 
+def _moved(docs: DataFrame, placed: DataFrame, affected: list[int]) -> DataFrame:
+    """The rows of docs (with _file, _row, size, old) that placed puts into the affected shards, with shard and slot, in 16 parts a shard.
+
+    Whole rows are shuffled once.  What an old shard gives a new one is a run of
+    its order, so a row finds its shard by the runs' last keys, a row for each
+    edge of the flow, and its slot from the numbers of rows before its part of
+    the shard (1,024 parts).
+    """
+    key = F.struct(_bucket().alias("bucket"), *TIES)
+    placed = placed.withColumn("_at", _at(placed))
+    runs = placed.groupBy("old", "shard").agg(F.max(key).alias("end"))
+    runs = runs.groupBy(F.col("old").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("_runs"))
+    part = F.shiftright("_at", 54)
+    before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(F.col("shard").alias("_shard"), part.alias("_part")).agg(F.count("*").alias("_n"))
+    counts = counts.select("_shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = docs.withColumn("_at", _at(docs)).join(F.broadcast(runs), F.col("old") == F.col("_of"))
+    rows = rows.withColumn("shard", F.filter("_runs", lambda r: r["end"] >= key)[0]["shard"]).drop("_of", "_runs")
+    rows = rows.where(F.col("shard").isin(affected)).withColumn("_file_part", F.shiftright("_at", 60)).repartition("shard", "_file_part")
+    inside = Window.partitionBy("shard", "_file_part", part).orderBy(*TIES)
+    rows = rows.withColumn("_inside", F.row_number().over(inside))
+    rows = rows.join(F.broadcast(counts), (F.col("shard") == F.col("_shard")) & (part == F.col("_part")))
+    return rows.withColumn("slot", (F.col("_inside") - 1 + F.col("_before")).cast("long"))
+
+
 def _file_names(columns: list[str]) -> list[str | None]:
     """Names in the files: of such as differ in case alone the later ones get their place as a suffix; None: not written."""
     out: list[str | None] = []
@@ -208,9 +248,8 @@ def rewrite(docs: DataFrame, path: str, shards: int = 40, overhead: int = 16, ol
     whole = ["doc_id", "size", "text_crc32", "old", "shard", "slot"]
     if not affected:
         return placed.select(whole), affected
-    where = placed.where(F.col("shard").isin(affected)).select(F.col("_file").alias("_of"), F.col("_row").alias("_at"), "shard", "slot")
-    moved = docs.join(where, (F.col("_file") == F.col("_of")) & (F.col("_row") == F.col("_at")))
-    commit(moved.select(*[F.col(c).alias(n) for c, n in inner.items()], "slot", "shard"), path, affected)
+    moved = _moved(docs.select("*", size, F.col("_old").alias("old")), placed, affected)
+    _write(moved.select(*[F.col(c).alias(n) for c, n in inner.items()], "slot", "shard"), path, affected)
     back = read_shards(docs.sparkSession, path, affected).select("doc_id", size, crc, F.col("_old").alias("old"), F.col("shard").cast("int").alias("shard"), "slot")
     return placed.where(~F.col("shard").isin(affected)).select(whole).union(back), affected
 

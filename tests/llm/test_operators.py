@@ -482,6 +482,22 @@ def test_shard_files(docs, spark, tmp_path):
     assert Counter((r.doc_id, r.text, r.shard) for r in sharding.read_shards(spark, str(tmp_path / "again")).collect()) == Counter((r.doc_id, texts[r.doc_id, r["size"]], r.shard) for r in where)
 
 
+def test_resharding_shuffles_whole_rows_once(spark, tmp_path):
+    """A row finds its shard and slot by itself, as it was placed, and no join on files and rows shuffles its text."""
+    rng = random.Random(8)
+    rows = [(rng.choice((None, 7, i)), rng.choice(("", "same", made(rng.randrange(60), rng)))) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = sharding._located(spark.read.parquet(str(tmp_path / "docs")), ["doc_id", "text"])
+    docs = docs.select("*", (F.octet_length("text") + 16).cast("long").alias("size"), sharding._present(5).alias("old"))
+    placed = tables.kept(sharding.reshard(docs.drop("text"), 7), "placements")
+    affected = [0, 2, 3, 4, 6]
+    moved = sharding._moved(docs, placed, affected)
+    name = lambda d: sorted((r["_file"], r["_row"], r["shard"], r["slot"]) for r in d.collect())
+    assert name(moved) == name(placed.where(F.col("shard").isin(affected)))
+    plan = moved._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "SortMergeJoin" not in plan
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(1)
     for _ in range(20):
