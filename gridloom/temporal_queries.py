@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import core, sheet, temporal, types, units
 from .functions.custom import CustomType, Registry
-from .functions.values import Value
+from .functions.values import Value, held
 from .operators import arrays
 from .plans import workbook
 from .queries import TURNS_SQL, _turns, query, table
@@ -56,6 +56,7 @@ def zoned_compare(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumn("z", temporal.ZONED(F.col("t"), F.lit("UTC")))
     one = types.value("zoned", F.col("z"))
     other = sheet.call("IN_TZ", one + sheet.call("HOURS", Value(F.col("event_id") % 2, "number")), "Asia/Tokyo")
+    rows, other = held(rows, "other", other)
     return rows.select("event_id", (one == other).col.alias("same"), (other > one).col.alias("later"), sheet.call("FORMAT", one, "%H:%M:%S %Q").col.alias("utc"), sheet.call("ISO", other - one).col.alias("apart"))
 
 

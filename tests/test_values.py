@@ -5,8 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.functions import core
-from gridloom.functions.values import Value, literal, render_number, text_number
+from gridloom.functions import core, sheet, temporal, types
+from gridloom.functions.values import Value, held, literal, render_number, text_number
 from gridloom.sources.sheets import Sheet, column_letters, column_number, letters
 
 
@@ -104,3 +104,16 @@ def test_names(spark):
     with pytest.raises(KeyError):
         s["ZZ"]
     assert s.named(Tax=Value.of(0.05))["TAX"].kind == "number"
+
+
+def test_results_that_may_fail_are_evaluated_once(spark):
+    """Within a formula a function's result stands once, and what depends on constants alone is folded."""
+    rows = spark.range(3).select("id", temporal.ZONED(F.lit("2024-06-15 12:00:00").cast("timestamp_ntz"), F.lit("UTC")).alias("z")).localCheckpoint()
+    one = types.value("zoned", F.col("z"))
+    other = sheet.call("IN_TZ", one + sheet.call("HOURS", Value(F.col("id") % 2, "number")), "Asia/Tokyo")
+    plan = rows.select(other.col.alias("other"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("timestampadd(MICROSECOND") == 1 and "regexp_extract" not in plan
+    rows, other = held(rows, "other", other)
+    assert [(r[0], r[1]) for r in rows.select((one == other).col, sheet.call("ISO", other).col).collect()] == [(True, "2024-06-15T21:00:00+09:00[Asia/Tokyo]"), (False, "2024-06-15T22:00:00+09:00[Asia/Tokyo]"), (True, "2024-06-15T21:00:00+09:00[Asia/Tokyo]")]
+    wrong = sheet.call("IN_TZ", one + sheet.call("HOURS", Value(F.col("id") / 2, "number")), "No/Zone")
+    assert [tuple(r) for r in rows.select(wrong.col["tz"], wrong.err).collect()] == [(None, "#VALUE!")] * 3
