@@ -26,7 +26,8 @@ _LOWER[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+BLANKS = frozenset([0x20, *range(0x09, 0x0E)])
+_BLANK[[*BLANKS]] = True
 #: Bytes of text that are handled at once, and the longest span that is hashed by a polynomial.
 CHUNK_BYTES, SHORT = 1 << 18, 32
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

@@ -3,15 +3,19 @@
 Encoding: a tokenizer that never joins a blank to what stands before it encodes
 a text as its pieces, one after the other.  Each distinct piece is encoded once
 by the tokenizers library and kept; texts are then put together by array work.
+For the same reason new pieces that begin with a blank are encoded thousands at a
+time, as one text; with a byte-level vocabulary the ids' bytes tell where each ends.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import pick
-from .text import Chunk, chunks, spare
+from .text import BLANKS, Chunk, chunks, spare
 
 #: The blanks of Unicode outside ASCII, in UTF-8.
 WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -40,8 +44,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.blanks, self.most = Tokenizer.from_file(path), blanks, most_bytes
+        self.widths = self._widths() if blanks else None
         self.forget()
 
+    def _widths(self) -> np.ndarray | None:
+        """The bytes of each id; None where the ids of a text do not hold its bytes, one after the other."""
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        if made["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space"):
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)  # a letter for each byte
+        added = {t["id"]: len(t["content"].encode()) for t in made["added_tokens"]}
+        out = np.zeros(max([*vocabulary.values(), *added], default=-1) + 1, dtype=np.int64)
+        out[np.fromiter(vocabulary.values(), dtype=np.int64, count=len(vocabulary))] = [*map(len, vocabulary)]
+        out[list(added)] = list(added.values())
+        return out
+
     def size(self, more: int = 0) -> int:
         """Bytes that are kept, with `more` pieces of some four ids."""
         return 20 * (self.n + more) + 4 * (self.used + 4 * more)
@@ -53,21 +71,41 @@ class Encoder:
     def direct(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all pieces, how many each has)."""
+        ids = self.direct(pieces)
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum())), lengths
+
+    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """_ids() of pieces that begin with a blank and end with none, as one text; one by one if an id should reach over a piece's end."""
+        ids = np.array(self.direct([b"".join(pieces)])[0], dtype=np.int32)
+        ends, wanted = np.cumsum(self.widths[ids]), np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        last = np.searchsorted(ends, wanted)
+        if ends[-1] != wanted[-1] or (ends[last] != wanted).any():
+            return self._ids(pieces)
+        return ids, np.diff(last, prepend=-1)
+
     def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """hashes: sorted, none known yet."""
-        ids = [own for at in range(0, len(pieces), LEARNT) for own in self.direct(pieces[at : at + LEARNT])]
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        total = int(lengths.sum())
-        while self.n + len(ids) + 1 > len(self.begin):
+        whole = np.fromiter((p[0] in BLANKS and p[-1] not in BLANKS for p in pieces), dtype=bool, count=len(pieces)) if self.widths is not None else np.zeros(len(pieces), dtype=bool)
+        order, made = [], []
+        for own, encode in ((np.flatnonzero(whole), self._joined), (np.flatnonzero(~whole), self._ids)):
+            order.append(own)
+            made += [encode([pieces[i] for i in own[at : at + LEARNT].tolist()]) for at in range(0, len(own), LEARNT)]
+        ids, lengths = (np.concatenate(own) for own in zip(*made))
+        n, total = len(pieces), len(ids)
+        while self.n + n + 1 > len(self.begin):
             self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used : self.used + total] = np.fromiter((x for own in ids for x in own), dtype=np.int32, count=total)
-        self.begin[self.n + 1 : self.n + len(ids) + 1] = self.used + np.cumsum(lengths)
+        self.flat[self.used : self.used + total] = ids
+        self.begin[self.n + 1 : self.n + n + 1] = self.used + np.cumsum(lengths)
+        entry = np.empty(n, dtype=np.int32)
+        entry[np.concatenate(order)] = np.arange(self.n, self.n + n, dtype=np.int32)
         where = np.searchsorted(self.keys, hashes)
-        self.keys = np.insert(self.keys, where, hashes)
-        self.at = np.insert(self.at, where, np.arange(self.n, self.n + len(ids), dtype=np.int32))
-        self.n, self.used = self.n + len(ids), self.used + total
+        self.keys, self.at = np.insert(self.keys, where, hashes), np.insert(self.at, where, entry)
+        self.n, self.used = self.n + n, self.used + total
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of each document's ids)."""

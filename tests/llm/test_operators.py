@@ -9,6 +9,7 @@ from math import log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -284,6 +285,26 @@ def test_filter_counts():
     assert (lm.probe(unseen, 1) > 0).mean() < 0.03
 
 
+def test_new_pieces_are_encoded_as_one_text():
+    """As the whole text is, whatever its blanks, letters and added tokens; pieces after blanks take one call for thousands."""
+    rng = random.Random(3)
+    odd = ["", " ", "a\n", " a  b\t\tc \n\n d ", "x<|endoftext|>y z", " <|endoftext|> ", "it's 'll don't", "caf\u00e9 \u4f60\u597d \U0001f600\U0001f600 e\u0301", "\x1c a\x1f b\x00 c", "a\u00a0b \u2003 c", "1234 5,6.7 --- ..."]
+    texts = odd + [rng.choice((" ", "\n", "  ")).join(f"{rng.randrange(1 << 30):x}" for _ in range(300)) for _ in range(10)]
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    calls, direct = [], encoder.direct
+    encoder.direct = lambda own: calls.append(len(own)) or direct(own)
+    for most in (1 << 20, 1):
+        for chunk in text.chunks(pa.array(texts), most):
+            ids, of = encoder.encode(chunk)
+            for i in range(len(chunk)):
+                assert ids[of[i] : of[i + 1]].tolist() == direct([texts[chunk.first + i].encode()])[0]
+        encoder.forget()
+    calls.clear()
+    (chunk,) = text.chunks(pa.array(texts[len(odd) :]))
+    encoder.encode(chunk)
+    assert sum(calls) <= 1 + 10  # before: one for each of some 3,000 pieces
+
+
 def test_token_files(docs, none, spark, tmp_path):
     path, rows = public_tokenizers.path("word_bpe_49k.json"), sorted(documents(), key=lambda r: r[0])
     tokenizer = Tokenizer.from_file(path)
