@@ -5,6 +5,12 @@ a text as its pieces, one after the other.  Each distinct piece is encoded once
 by the tokenizers library and kept; texts are then put together by array work.
 For the same reason new pieces that begin with a blank are encoded thousands at a
 time, as one text; with a byte-level vocabulary the ids' bytes tell where each ends.
+
+A vocabulary that marks ends of words merges within runs of letters, of signs,
+and single digits, case aside.  Where the tokenizer is of that known form, plain
+words are cut into those runs here, A-Z folded, and new runs are encoded
+thousands at a time, as one text with blanks between; the marks tell where each
+ends.  All other words are encoded whole, by the tokenizer.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -29,6 +36,65 @@ from .text import BLANKS, Chunk, chunks, spare
 WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+#: The normalizer and the split for which runs() finds what is merged.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+#: Kinds of bytes. OTHER makes its word one that is encoded whole: apostrophes (contractions), "<" (added tokens), controls and what PLAIN lacks.
+BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
+_KIND = np.full(256, OTHER, dtype=np.uint8)
+_KIND[0x21:0x7F] = SIGN
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+_KIND[0x30:0x3A] = DIGIT
+_KIND[[*BLANKS]] = BLANK
+_KIND[[*b"'<"]] = OTHER
+_FOLD = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+
+
+def _plain(c: str) -> bool:
+    """A letter that stays one, alone and whatever stands beside it, when normalized and lower-cased."""
+    low = c.lower()
+    return len(low) == 1 and all(unicodedata.category(x)[0] == "L" and unicodedata.normalize("NFC", x) == x for x in (c, low)) and c != "\u03a3"
+
+
+#: By code point: the letters of two bytes in Latin, Greek and Cyrillic that are cut out as those of ASCII are.
+PLAIN = np.zeros(1 << 11, dtype=bool)
+PLAIN[[c for c in range(0xC0, 0x482) if _plain(chr(c))]] = True
+
+
+def runs(chunk: Chunk) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the chunk with A-Z folded in plain words; start and end byte of each run, and the number of runs before each document; which runs are whole words that are not plain)."""
+    data, n = chunk.data, len(chunk.data)
+    kind, edge = _KIND[data], np.zeros(n + 1, dtype=bool)
+    edge[chunk.offsets] = True
+    lead = np.flatnonzero(data[:-1] >> 5 == 0b110)
+    after = data[lead + 1]
+    lead = lead[PLAIN[(data[lead] & 0x1F).astype(np.int64) << 6 | after & 0x3F] & (after >> 6 == 0b10) & ~edge[lead + 1]]
+    kind[lead] = kind[lead + 1] = LETTER
+    solid = kind != BLANK
+    first, cut = solid.copy(), kind == DIGIT
+    first[1:] &= ~solid[:-1] | edge[1:-1]
+    cut[1:] |= solid[1:] & (kind[1:] != kind[:-1])
+    cut |= first
+    folded, whole = _FOLD[data], np.zeros(n, dtype=bool)
+    if len(other := np.flatnonzero(kind == OTHER)):
+        last = solid.copy()
+        last[:-1] &= ~solid[1:] | edge[1:-1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        own = np.unique(np.searchsorted(starts, other, side="right") - 1)
+        steps = np.zeros(n + 1, dtype=np.int8)
+        steps[starts[own]] += 1
+        steps[ends[own]] -= 1
+        whole = np.cumsum(steps[:-1], dtype=np.int8).astype(bool)
+        cut &= first | ~whole
+        folded = np.where(whole, data, folded)
+    last = solid.copy()
+    last[:-1] &= ~solid[1:] | cut[1:]
+    starts = np.flatnonzero(cut)
+    return Chunk(folded, chunk.offsets, chunk.first), starts, np.flatnonzero(last) + 1, np.searchsorted(starts, chunk.offsets), whole[starts]
+
+
 #: Pieces that the tokenizer takes at a time, and bytes of text whose ids are made at a time.
 LEARNT, BYTES = 4096, 1 << 19
 
@@ -44,7 +110,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.blanks, self.most = Tokenizer.from_file(path), blanks, most_bytes
-        self.widths = self._widths() if blanks else None
+        self.widths, self.marks = (self._widths(), None) if blanks else (None, self._marks())
         self.forget()
 
     def _widths(self) -> np.ndarray | None:
@@ -60,6 +126,20 @@ class Encoder:
         out[list(added)] = list(added.values())
         return out
 
+    def _marks(self) -> np.ndarray | None:
+        """Which ids end a run; None where the tokenizer is not one for runs()."""
+        made = json.loads(self.tokenizer.to_str())
+        model, added, mark = made["model"], made["added_tokens"], made["model"].get("end_of_word_suffix")
+        steps = [{k: v for k, v in step.items() if k != "trim_offsets"} for step in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if made["normalizer"] != NORMALIZER or steps != [SPLIT, LEVEL] or model["type"] != "BPE" or model["dropout"] or not mark:
+            return None
+        if any(t["normalized"] or t["content"][0] != "<" for t in added):
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        out = np.zeros(max([*vocabulary.values(), *(t["id"] for t in added)], default=-1) + 1, dtype=bool)
+        out[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        return out
+
     def size(self, more: int = 0) -> int:
         """Bytes that are kept, with `more` pieces of some four ids."""
         return 20 * (self.n + more) + 4 * (self.used + 4 * more)
@@ -86,11 +166,24 @@ class Encoder:
             return self._ids(pieces)
         return ids, np.diff(last, prepend=-1)
 
-    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        """hashes: sorted, none known yet."""
-        whole = np.fromiter((p[0] in BLANKS and p[-1] not in BLANKS for p in pieces), dtype=bool, count=len(pieces)) if self.widths is not None else np.zeros(len(pieces), dtype=bool)
+    def _spaced(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """_ids() of runs of plain words, as one text; one by one if they should not have one mark each."""
+        ids = np.array(self.direct([b" ".join(pieces)])[0], dtype=np.int32)
+        last = np.flatnonzero(self.marks[ids])
+        if len(last) != len(pieces) or last[-1] != len(ids) - 1:
+            return self._ids(pieces)
+        return ids, np.diff(last, prepend=-1)
+
+    def learn(self, hashes: np.ndarray, pieces: list[bytes], alone: np.ndarray | None = None) -> None:
+        """hashes: sorted, none known yet. alone: of runs(), the pieces that are not of plain words."""
+        if alone is not None:
+            whole = ~alone
+        elif self.widths is not None:
+            whole = np.fromiter((p[0] in BLANKS and p[-1] not in BLANKS for p in pieces), dtype=bool, count=len(pieces))
+        else:
+            whole = np.zeros(len(pieces), dtype=bool)
         order, made = [], []
-        for own, encode in ((np.flatnonzero(whole), self._joined), (np.flatnonzero(~whole), self._ids)):
+        for own, encode in ((np.flatnonzero(whole), self._joined if alone is None else self._spaced), (np.flatnonzero(~whole), self._ids)):
             order.append(own)
             made += [encode([pieces[i] for i in own[at : at + LEARNT].tolist()]) for at in range(0, len(own), LEARNT)]
         ids, lengths = (np.concatenate(own) for own in zip(*made))
@@ -111,7 +204,11 @@ class Encoder:
         """(all ids, offsets of each document's ids)."""
         if self.blanks and WIDE_BLANK.search(chunk.data.tobytes()):
             return self._one_by_one(chunk)
-        starts, ends, of = chunk.units() if self.blanks else chunk.words()
+        alone = None
+        if self.marks is not None:
+            chunk, starts, ends, of, alone = runs(chunk)
+        else:
+            starts, ends, of = chunk.units() if self.blanks else chunk.words()
         if not len(starts):
             return np.zeros(0, dtype=np.int32), np.zeros(len(chunk) + 1, dtype=np.int64)
         own, first, back = np.unique(chunk.hashes(starts, ends, lower=False), return_index=True, return_inverse=True)
@@ -121,7 +218,8 @@ class Encoder:
         new = self.keys[where] != own if len(self.keys) else np.ones(len(own), dtype=bool)
         if new.any():
             raw = chunk.data.tobytes()
-            self.learn(own[new], [raw[starts[i] : ends[i]] for i in first[new]])
+            fresh = first[new]
+            self.learn(own[new], [raw[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist())], None if alone is None else alone[fresh])
             where = np.searchsorted(self.keys, own)
         entry = self.at[where].astype(np.int64)[back]
         begin = self.begin[entry]

@@ -305,6 +305,33 @@ def test_new_pieces_are_encoded_as_one_text():
     assert sum(calls) <= 1 + 10  # before: one for each of some 3,000 pieces
 
 
+def test_runs_of_plain_words_are_encoded_as_one_text():
+    """As the whole text is, whatever its cases, signs, marks, contractions and added tokens; each run once, thousands in one call."""
+    rng = random.Random(5)
+    odd = ["", " ", "\n a\t\tB ", "Don't DON'T it's's !'s 'll'd' rock'n'roll", "x<|endoftext|>Y <|ENDOFTEXT|> <|startoftext|><a></w> b</w>", "a1b22 3.14,15 x_y--z...*** #|", "\u00c9t\u00e9 \u00c4\u00d6### \u00df$$$ a\u00d7b \u00bd\u00b2 \u00aa. \u0130stanbul I\u0307."]
+    odd += ["e\u0301# E\u0301. h\u0331 H\u0331 \u1e96 \u00fc\u0304 \u0304a", "\u0391\u03a3.\u0392 \u039f\u0394\u039f\u03a3 \u03b1\u0374 \u0395\u03bb\u03bb\u03ac\u03b4\u03b1.", "\u041f\u0440\u0438\u0432\u0435\u0442, \u041c\u0418\u0420!1 \u0438\u0306", "\u4f60\u597d,\U0001f600. a\u2014b a\u00a0b\u2003 c\u0085d", "\x1ca \x1fB\x00c\x7f D\x07"]
+    letters = "abcXYZ019.,*'<|>-\u00e9\u00c9\u00df\u0130\u0301\u03a3\u03c3\u0416\u01c5\u00d7 \u00a0\u4f60\x1c\n"
+    odd += ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(500)]
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    calls, direct = [], encoder.direct
+    encoder.direct = lambda own: calls.append(len(own)) or direct(own)
+    whole = direct([t.encode() for t in odd])
+    for most in (1 << 20, 300, 1):
+        for chunk in text.chunks(pa.array(odd), most):
+            ids, of = encoder.encode(chunk)
+            for i in range(len(chunk)):
+                assert ids[of[i] : of[i + 1]].tolist() == whole[chunk.first + i]
+        encoder.forget()
+    cut = [b"a#\xc3", b"\xa9#b \xe9 #\xc3 \x80#", b"\xc3\xa9#\xa9#"]  # no UTF-8
+    ids, of = encoder.encode(text.Chunk(np.frombuffer(b"".join(cut), dtype=np.uint8), np.cumsum([0, *map(len, cut)]), 0))
+    assert [ids[a:b].tolist() for a, b in zip(of, of[1:])] == direct(cut)
+    calls.clear()
+    words = ["".join(rng.choices("abcdefgh\u00e9", k=8)) for _ in range(1000)]
+    (chunk,) = text.chunks(pa.array([" ".join(w + end for w in words for end in (".", ",", "***", "")), " ".join(words).title()]))
+    encoder.encode(chunk)
+    assert sum(calls) <= 1100  # before: one for each of 5,000 words; the title's letters outside ASCII are not folded
+
+
 def test_token_files(docs, none, spark, tmp_path):
     path, rows = public_tokenizers.path("word_bpe_49k.json"), sorted(documents(), key=lambda r: r[0])
     tokenizer = Tokenizer.from_file(path)
